@@ -4,7 +4,9 @@ A window function puts one group into one task.  ``spread`` cuts groups that are
 too large for that into blocks along the sort column and copies the last
 ``rows_back`` rows before each block into it, so that frames of up to
 ``rows_back`` preceding rows give the same result as on the uncut group.  Groups
-that are not hot keep the plain single-shuffle plan and pay one narrow count.
+that are not hot keep the plain single-shuffle plan and pay one narrow count.  Only
+where a hot group exists are the rows written to the shared folder, once per step that
+reads them more than once, so that a lost executor repeats no earlier shuffle.
 
 The tables that describe the cut are broadcast.  Their size is bounded by
 construction: a group is hot only above ``hot_rows / max_blocks`` rows, so there
@@ -21,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.session import materialise
+
 BLOCK, HALO, BASE, HOT = "_block", "_halo", "_base", "_hot"
 
 
@@ -73,14 +77,15 @@ class Spread:
                 self.df.withColumns({n: F.lit(None).cast(types[n].dataType) for n in partials})
             )
         agg = F.max if how == "max" else F.sum
+        written = materialise(self.df)
         per_block = (
-            self.df.where(F.col(HOT))
+            written.where(F.col(HOT))
             .groupBy(*self.keys, BLOCK)
             .agg(*[agg(c).alias(n) for n, c in partials.items()])
         )
         earlier = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         carried = per_block.select(*self.keys, BLOCK, *[agg(n).over(earlier).alias(n) for n in partials])
-        return self.with_df(_join_null_safe(self.df, F.broadcast(carried), [*self.keys, BLOCK], "left"))
+        return self.with_df(_join_null_safe(written, F.broadcast(carried), [*self.keys, BLOCK], "left"))
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -108,6 +113,8 @@ def spread(
     if not heavy["groups"]:
         return Spread(df, list(keys), list(keys), False)
 
+    # the steps below read the rows several times, so write what lies upstream once
+    df = materialise(df)
     target = max(limits.min_rows, math.ceil(heavy["rows"] / limits.max_blocks))
     at = F.col(order).cast("double")
     hot = (

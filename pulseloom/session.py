@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "pulseloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,3 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="pulseloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back: lineage ends, columns can still be pruned."""
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
