@@ -10,8 +10,9 @@ reads them more than once, so that a lost executor repeats no earlier shuffle.
 
 The tables that describe the cut are broadcast.  Their size is bounded by
 construction: a group is hot only above ``hot_rows / max_blocks`` rows, so there
-are at most ``max_blocks`` hot groups, ``2 * max_blocks`` blocks and
-``slices_per_block`` times as many slices, whatever the data size.
+are at most ``max_blocks`` hot groups and ``2 * max_blocks`` blocks, whatever the
+data size.  Cut points are quantiles of the sort column, so bursts do not fill
+one block.  Only a single sort value that holds more rows than a block stays whole.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ BLOCK, HALO, BASE, HOT = "_block", "_halo", "_base", "_hot"
 class Limits:
     min_rows: int = 1_000_000
     max_blocks: int = 20_000
-    slices_per_block: int = 8
 
 
 DEFAULT = Limits()
+_CUTS = 4096  # quantile steps per hot group
+_FAN = 64  # cut points are looked up in two levels of this width
 
 
 @dataclass
@@ -117,38 +119,39 @@ def spread(
     df = materialise(df)
     target = max(limits.min_rows, math.ceil(heavy["rows"] / limits.max_blocks))
     at = F.col(order).cast("double")
+    steps = [k / _CUTS for k in range(1, _CUTS)]
+    pieces = F.least(F.ceil(F.col("n") / F.lit(target)), F.lit(_CUTS)).cast("int")
+    hot_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > target)
     hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .where(F.col("n") > target)
-        .withColumn("_slices", F.ceil(F.col("n") / F.lit(target)) * F.lit(limits.slices_per_block))
-        .select(*keys, "_lo", "_slices", ((F.col("_hi") - F.col("_lo")) / F.col("_slices")).alias("_width"))
+        _join_null_safe(df.select(*dict.fromkeys([*keys, order])), F.broadcast(hot_keys), keys, "inner")
+        .groupBy(*keys, "n").agg(F.percentile_approx(at, steps, 10_000).alias("_q"))
+        .withColumn("_cuts", F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(pieces - 1, F.lit(1))),
+            lambda k: F.get(F.col("_q"), (k * F.lit(_CUTS) / pieces).cast("int") - 1))))
+        .select(*keys, F.transform(
+            F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / F.lit(_FAN)).cast("int")),
+            lambda i: F.slice(F.col("_cuts"), i * _FAN + 1, _FAN)).alias("_fans"))
     )
-    slice_of = F.when(F.col("_width") > 0, F.least(
-        F.col("_slices") - 1, F.floor((at - F.col("_lo")) / F.col("_width")))).otherwise(F.lit(0)).cast("long")
-
-    per_slice = (
-        _join_null_safe(df.select(*dict.fromkeys([*keys, order])), F.broadcast(hot), keys, "inner")
-        .withColumn("_slice", slice_of)
-        .groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # block = number of cut points at or below the sort value
+    coarse = F.size(F.filter(F.col("_fans"), lambda fan: F.get(fan, F.lit(0)) <= at))
+    fine = F.size(F.filter(F.get(F.col("_fans"), coarse - 1), lambda cut: cut <= at))
+    block_of = (
+        F.when(F.col("_fans").isNull(), F.lit(None))
+        .when(at.isNull() | (coarse == 0), F.lit(0))
+        .otherwise((coarse - 1) * _FAN + fine).cast("long")
     )
-    by_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = per_slice.withColumn("_before", F.coalesce(F.sum("_n").over(by_slice), F.lit(0))).withColumn(
-        BLOCK, F.floor(F.col("_before") / F.lit(target)).cast("long"))
+    located = _join_null_safe(df, F.broadcast(hot), keys, "left").withColumn(BLOCK, block_of)
     by_block = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        slices.groupBy(*keys, BLOCK)
-        .agg(F.sum("_n").alias("_n"), F.min("_before").alias("_offset"))
+        located.where(F.col("_fans").isNotNull())
+        .groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_tail", F.least(F.col("_n"), F.lit(rows_back)))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(by_block), F.lit(0)))
         .withColumn("_tails_before", F.coalesce(F.sum("_tail").over(by_block), F.lit(0)))
     )
-    placed = _join_null_safe(slices.select(*keys, "_slice", BLOCK), blocks, [*keys, BLOCK], "inner").select(
-        *keys, "_slice", BLOCK, "_offset", "_tail", "_tails_before")
-
     tagged = _join_null_safe(
-        _join_null_safe(df, F.broadcast(hot), keys, "left").withColumn("_slice", slice_of),
-        F.broadcast(placed), [*keys, "_slice"], "left",
-    ).drop("_lo", "_width", "_slices", "_slice")
+        located.drop("_fans"),
+        F.broadcast(blocks.drop("_n")), [*keys, BLOCK], "left")
     base = F.col("_offset") - F.least(F.col("_offset"), F.lit(rows_back))
     own = tagged.withColumns({
         HOT: F.col(BLOCK).isNotNull(),
