@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseloom.schemas import WILDCARD_DESTINATIONS
 
@@ -32,7 +33,7 @@ def _canonical(text: str) -> str:
     return str(getattr(address, "ipv4_mapped", None) or address)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_ipv6(values: pd.Series) -> pd.Series:
     """One parse per distinct text of the batch."""
     codes, texts = pd.factorize(values)
@@ -82,7 +83,7 @@ def _inside(number: Column, blocks: list[str]) -> Column:
     return out
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _ipv6_private(values: pd.Series) -> pd.Series:
     def private(text):
         try:
