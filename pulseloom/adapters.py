@@ -108,28 +108,44 @@ def flows_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _decimal_text(value, digits: int):
+    """An integer as text with ``digits`` decimals."""
+    unit = 10 ** digits
+    return F.concat(F.floor(value / F.lit(unit)).cast("long").cast("string"), F.lit("."),
+                    F.lpad((value % unit).cast("string"), digits, "0"))
+
+
+def _item(texts: list[str], index):
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (index + 1).cast("int"))
+
+
 def beacon_csv_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a beacon-tool export, all text, one per customer and priority."""
+    """Rows of a beacon-tool export, all text, one per customer and priority, in three captures.
+
+    Two captures hold 0-1 scores and the third 0-100 scores.
+    """
     o = table(spark, sf_dir, "orders")
-    g = o.groupBy("o_custkey", "o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"), F.min("o_orderkey").alias("first_key"))
-    c = F.col("o_custkey")
+    g = o.groupBy(F.col("o_custkey").alias("c"), "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("top"),
+        F.min("o_orderkey").alias("first_key"))
+    c, key = F.col("c"), F.col("first_key")
+    score = F.floor(F.col("top") / F.lit(5000)).cast("long")
     return g.select(
-        F.col("first_key").alias("row_no"),
-        F.element_at(F.array(F.lit(""), F.lit("High"), F.lit("low"), F.lit("critical"), F.lit(" medium "), F.lit("")),
-                     (c % 6 + 1).cast("int")).alias("severity"),
+        key.alias("row_no"),
+        F.concat(F.lit("cap"), (c % 3).cast("string")).alias("source_file"),
+        _item(["", "High", "low", "critical", " medium ", ""], c % 6).alias("severity"),
         F.concat(F.lit("c"), c.cast("string")).alias("source_ip"),
         F.when(c % 10 == 0, "::").when(c % 10 == 1, "").otherwise(F.col("o_orderpriority")).alias("dst"),
-        F.when(c % 8 == 3, "").otherwise((F.col("first_key") % 5 + 440).cast("string")).alias("port"),
-        F.concat((F.col("first_key") % 7 + 8000).cast("string"),
-                 F.when(c % 5 == 0, "").otherwise(F.lit(":TCP:http"))).alias("port_proto_service"),
-        F.when(c % 9 == 4, "-").otherwise(
-            F.format_string("%.4f", F.col("top") / 500000.0)).alias("beacon_score"),
-        F.format_string("%.2f", F.col("top") / 12.0).alias("duration"),
-        F.format_string("%.3f", (F.col("n") % 4) / 4.0).alias("c2_over_dns_score"),
+        F.when(c % 8 == 3, "").otherwise((key % 5 + 440).cast("string")).alias("port"),
+        F.concat((key % 7 + 8000).cast("string"), F.when(c % 5 == 0, "").otherwise(F.lit(":TCP:http")))
+        .alias("port_proto_service"),
+        F.when(c % 9 == 4, "-").when(c % 3 == 2, _decimal_text(score, 2)).otherwise(_decimal_text(score, 4))
+        .alias("beacon_score"),
+        _decimal_text(F.floor(F.col("top") / F.lit(12)).cast("long"), 2).alias("duration"),
+        _decimal_text((F.col("n") % 4) * 250, 3).alias("c2_over_dns_score"),
         F.when(c % 7 == 0, (c * 3).cast("string")).otherwise(F.lit("")).alias("subdomains"),
-        F.col("n").cast("string").alias("connection_count"),
-        F.format_string("%.1f", F.col("top")).alias("total_bytes"),
+        F.concat(F.col("n").cast("string"), F.lit(".7")).alias("connection_count"),
+        F.when(c % 6 == 1, "n/a").otherwise(F.col("top").cast("string")).alias("total_bytes"),
         F.when(c % 4 == 0, F.concat(F.lit("["), F.col("n").cast("string"), F.lit(", 2.5]")))
         .when(c % 4 == 1, F.lit("[1, \"x\"]")).when(c % 4 == 2, F.lit("not json")).otherwise(F.lit(""))
         .alias("ts_intervals"),
@@ -138,38 +154,88 @@ def beacon_csv_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections_from_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two detectors over the same customers, with repeated, blank and wildcard keys."""
+    c = F.substring("source_ip", 2, 20).cast("long")
     rules = beacon_csv_from_orders(spark, sf_dir).select(
         F.col("row_no").alias("ord"),
         F.col("source_ip").alias("src_ip"),
         F.col("dst").alias("dst_ip"),
         F.col("port").alias("dst_port"),
-        F.when(F.substring("source_ip", 2, 20).cast("long") % 5 == 0, "").otherwise(F.lit("TCP")).alias("protocol"),
-        F.round(F.coalesce(F.expr("try_cast(beacon_score as double)"), F.lit(0.0)) * 100, 2).alias("beacon_score"),
+        F.when(c % 5 == 0, "").otherwise(F.lit("TCP")).alias("protocol"),
+        (F.coalesce(F.col("beacon_score").try_cast("double"), F.lit(0.0)) * 100).alias("beacon_score"),
         F.col("duration").cast("double").alias("long_conn_value"),
         (F.col("c2_over_dns_score").cast("double") * 1000).alias("c2_over_dns_value"),
-        F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high"), F.lit("base")),
-                     (F.col("row_no") % 4 + 1).cast("int")).alias("threat_category"),
-        F.col("connection_count").cast("long").alias("connection_count"),
+        _item(["low", "medium", "high", "base"], F.col("row_no") % 4).alias("threat_category"),
+        F.col("connection_count").cast("double").cast("long").alias("connection_count"),
         F.col("row_no").alias("total_bytes"),
     )
     o = table(spark, sf_dir, "orders")
-    g = o.groupBy("o_custkey", "o_orderpriority").agg(
-        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
+    g = o.groupBy(F.col("o_custkey").alias("c"), "o_orderpriority").agg(
         F.max("o_orderkey").alias("last_key"), F.min("o_orderkey").alias("first_key"))
-    c = F.col("o_custkey")
-    sequences = g.where((c % 3) != 1).select(
-        F.col("last_key").alias("ord"),
-        F.concat(F.lit("c"), c.cast("string")).alias("src"),
+    c, last = F.col("c"), F.col("last_key")
+    sequences = g.select(
+        last.alias("ord"),
+        F.concat(F.when(c % 3 == 1, "d").otherwise(F.lit("c")), c.cast("string")).alias("src"),
         F.col("o_orderpriority").alias("dst"),
         F.when(c % 8 == 3, "").otherwise((F.col("first_key") % 5 + 440).cast("string")).alias("port"),
         F.when(c % 6 == 0, "").when(c % 6 == 2, "udp").otherwise(F.lit("tcp")).alias("proto"),
-        F.round(F.col("cents") % 1000 / 10.0, 1).alias("confidence"),
-        F.element_at(F.array(F.lit("Low"), F.lit("Medium"), F.lit("High"), F.lit("Critical")),
-                     (F.col("last_key") % 4 + 1).cast("int")).alias("risk"),
+        ((last % 1000) / F.lit(10.0)).alias("confidence"),
+        _item(["Low", "Medium", "High", "Critical"], last % 4).alias("risk"),
     )
     return rules, sequences
 
 
+def web_logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP, TLS and DNS fields per event, in five captures."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    n = F.col("event_id")
+    return e.select(
+        n.alias("row_no"),
+        F.concat(F.lit("cap"), (F.col("user_id") % 5).cast("string")).alias("source_file"),
+        F.concat(F.lit("10.1.0."), F.col("user_id").cast("string")).alias("orig_h"),
+        F.when(n % 3 == 0, F.concat(F.lit("8.8.8."), k)).otherwise(F.concat(F.lit("192.168.1."), k)).alias("resp_h"),
+        _item(["80", "443"], n % 2).alias("resp_p"),
+        F.when(n % 4 == 0, "-").when(n % 4 == 1, " ").otherwise(F.concat(F.lit("www."), F.col("event_type")))
+        .alias("host"),
+        F.concat(F.lit("ua"), (n % 5).cast("string")).alias("user_agent"),
+        F.concat(F.lit("/p/"), n.cast("string")).alias("uri"),
+        F.concat(F.lit("q"), n.cast("string"), F.lit(".example")).alias("query"),
+        F.concat(F.lit("ja3-"), k).alias("ja3"),
+        F.concat(F.lit("cipher-"), (n % 3).cast("string")).alias("cipher"),
+        F.when(n % 6 == 0, "(empty)").otherwise(F.concat(F.lit("sni-"), (F.col("user_id") % 7).cast("string")))
+        .alias("server_name"),
+        F.when(n % 9 == 0, "-").otherwise(_item(["TLSv12", "TLSv13"], n % 2)).alias("version"),
+    )
+
+
+def mixtape_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored detector rows: one per event, with short interval histograms."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    n, u = F.col("event_id"), F.col("user_id")
+    empty = F.array().cast("array<double>")
+    value = F.col("value")
+    return e.select(
+        n.alias("row_no"),
+        F.concat(F.when(n % 2 == 0, "::ffff:10.2.0.").otherwise(F.lit(" 10.2.0.")), (u % 250).cast("string")).alias("src"),
+        F.when(n % 5 == 0, "::").otherwise(F.concat(F.lit("172.16.0."), k.cast("string"))).alias("dst"),
+        F.when(n % 3 == 0, F.concat(F.lit("host"), k.cast("string"))).otherwise(F.lit("")).alias("fqdn"),
+        F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.lit("8080")))
+        .otherwise(F.array(F.concat((n % 3 + 80).cast("string"), F.lit(":tcp:http")), F.lit("53:udp:dns")))
+        .alias("port_proto_service"),
+        k.alias("count"),
+        (value / 100).alias("beacon_score"),
+        F.when(n % 7 != 0, value / 200).alias("ts_score"),
+        (value / 300).alias("ds_score"), (value / 400).alias("dur_score"), (value / 500).alias("hist_score"),
+        F.when(n % 6 == 0, empty).otherwise(F.array(k * 1.0, k + 5.0, (n % 9) * 1.0)).alias("ts_intervals"),
+        F.when(n % 6 == 0, empty).otherwise(F.array((n % 4) * 1.0, F.lit(2.0), (k % 3) * 1.0)).alias("ts_interval_counts"),
+        F.array(value, value * 2).alias("ds_sizes"), F.array(F.lit(1.0), F.lit(2.0)).alias("ds_size_counts"),
+        value.alias("total_duration"), (k * 10).alias("total_bytes"),
+        (value / 50).alias("long_conn_score"), (value / 60).alias("c2_over_dns_score"),
+        (n % 11).alias("subdomain_count"), F.lit(0.0).alias("threat_intel_score"),
+    )
+
+
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score in [0, 1] from their length, four decimals."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
@@ -204,3 +270,20 @@ def queries_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").alias("query_label"),
         F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1)).alias("vector"),
     )
+
+
+def feature_rows_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections with every feature that is not a gap statistic."""
+    c = connections_from_events(spark, sf_dir)
+    n = F.col("event_id")
+    orig, resp = n % 13 + 1, n % 17
+    orig_bytes, resp_bytes = F.col("orig_bytes"), n % 3000
+    return c.withColumns({
+        "orig_packets": orig, "resp_packets": resp, "resp_bytes": resp_bytes,
+        "packet_ratio": orig / (orig + resp),
+        "byte_ratio": F.when(orig_bytes + resp_bytes > 0, orig_bytes / (orig_bytes + resp_bytes)).otherwise(F.lit(0.0)),
+        "packet_iat_min": F.col("duration") / 8, "packet_iat_max": F.col("duration") / 2,
+        "packet_iat_mean": F.col("duration") / 4, "packet_iat_stddev": F.col("duration") / 16,
+        **{f"packet_iat_{i}": F.col("duration") / (i + 2) for i in range(5)},
+        "direction_confidence": (n % 2).cast("double"),
+    })

@@ -22,7 +22,7 @@ def first_rows(df: DataFrame, keys: list[str], order: str, columns: list[str], n
     top = df.select(*keys, order, *columns).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     listed = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *columns))).alias("_rows"))
     return listed.select(
-        *keys, *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+        *keys, *[F.col(f"_rows.{c}").alias(c) for c in columns])
 
 
 def connection_summary(conn: DataFrame) -> DataFrame:
@@ -118,7 +118,8 @@ def series_rows(threats: DataFrame, conn: DataFrame, limits: Limits = DEFAULT) -
             return F.lit(0).cast("long")
         text = F.trim(F.coalesce(F.col(name), F.lit("")))
         number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
-        return F.greatest(number.try_cast("long"), F.lit(0).cast("long"))
+        whole = number.try_cast("long")
+        return F.when(whole < 0, F.lit(0).cast("long")).otherwise(whole)
 
     c = endpoints.with_canonical(endpoints.with_canonical(conn, "orig_h", "_src"), "resp_h", "_dst")
     c = c.select("_src", "_dst", F.col("resp_p").alias("_port"), F.trim("ts").try_cast("double").alias("ts"),

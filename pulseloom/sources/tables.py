@@ -148,7 +148,8 @@ def parse_merged_threats(rows: DataFrame) -> DataFrame:
     json = rows.withColumn("_j", F.from_json("feature_json", FEATURE_JSON))
     fallback = {"protocol", "source_file", "dataset_label"}
     return json.select("threat_index", *[
-        (F.coalesce(F.col(f"_j.{n}"), F.col(n), blank) if n in fallback else F.col(f"_j.{n}")).alias(n)
+        (F.coalesce(F.col(f"_j.{n}"), *([F.col(n)] if n in rows.columns else []), blank)
+         if n in fallback else F.col(f"_j.{n}")).alias(n)
         for n in names])
 
 
