@@ -262,13 +262,15 @@ def documents_as_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per embedding: its vector turned by one place, so that no query is its own document."""
+    """One query per embedding: its vector mixed with itself turned by one place, in five strengths."""
     e = table(spark, sf_dir, "embeddings")
     v = F.col("embedding").cast("array<double>")
+    turned = F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1))
+    share = (F.col("vec_id") % 5) / F.lit(4.0)
     return e.select(
         F.col("vec_id").alias("query_id"),
         F.col("label").alias("query_label"),
-        F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1)).alias("vector"),
+        F.zip_with(v, turned, lambda a, b: a * (1 - share) + b * share).alias("vector"),
     )
 
 
@@ -287,3 +289,105 @@ def feature_rows_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         **{f"packet_iat_{i}": F.col("duration") / (i + 2) for i in range(5)},
         "direction_confidence": (n % 2).cast("double"),
     })
+
+
+def hourly_rows_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled connection rows, all text; time runs a hundred times faster so that hours fill up."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    n, u = F.col("event_id"), F.col("user_id")
+    return e.select(
+        n.alias("row_no"),
+        F.concat(F.lit("f"), (n % 3).cast("string")).alias("source_file"),
+        _decimal_text(F.floor(epoch_micros(F.col("ts")) / F.lit(100)).cast("long"), 6).alias("ts"),
+        F.when(n % 9 == 0, "-").otherwise(F.col("value").cast("string")).alias("duration"),
+        F.concat(F.lit(" h"), (u % 10).cast("string")).alias("src_ip"),
+        F.col("event_type").alias("dest_ip"),
+        _item(["443", "8443", "22", "", "53"], u % 10 % 5).alias("dest_port"),
+        F.when(u % 10 == 7, "icmp").when(u % 10 == 3, "UDP").otherwise(F.lit("TCP ")).alias("protocol"),
+        F.when(u % 10 == 6, "DNS").otherwise(F.lit("")).alias("service"),
+        F.when(n % 4 == 0, "0").otherwise(k.cast("string")).alias("orig_bytes"),
+        F.when(n % 4 == 0, "-").otherwise((n % 1500).cast("string")).alias("resp_bytes"),
+        (k + 20).cast("string").alias("orig_ip_bytes"),
+        F.lit("40").alias("resp_ip_bytes"),
+        (n % 5).cast("string").alias("orig_pkts"),
+        F.lit("2.9").alias("resp_pkts"),
+        _item(["SF", "S0", "", "REJ"], k % 4).alias("conn_state"),
+        _item(["ShAD", "Dd", " "], k % 3).alias("history"),
+        _item(["none", "", "Discovery", "Command and Control"], (k + u) % 4).alias("mitre_attack_tactics"),
+    )
+
+
+def intelligence_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intelligence objects: customers as group mentions, parts as techniques, suppliers as
+    software, line items as relationships."""
+    def ref(external_id, url):
+        return F.array(
+            F.struct(F.lit("other").alias("source_name"), F.lit("x").alias("external_id"), F.lit("u").alias("url")),
+            F.struct(F.lit("mitre-attack").alias("source_name"), external_id.alias("external_id"), url.alias("url")))
+
+    def text(c):
+        return c.cast("string")
+
+    none = F.lit(None)
+    no_phase = none.cast("array<struct<phase_name:string>>")
+    phase = lambda p: F.array(F.struct(p.alias("phase_name")))
+    c, p, s = F.col("c_custkey"), F.col("p_partkey"), F.col("s_suppkey")
+
+    def objects(df, file_ord, pos, type_, id_, name, aliases, description, refs, phases, source, target, relation):
+        return df.select(
+            file_ord.cast("int").alias("file_ord"), pos.cast("long").alias("pos"), type_.alias("type"), id_.alias("id"),
+            name.cast("string").alias("name"), aliases.cast("array<string>").alias("aliases"),
+            description.cast("string").alias("description"), refs.alias("external_references"),
+            phases.alias("kill_chain_phases"), source.cast("string").alias("source_ref"),
+            target.cast("string").alias("target_ref"), relation.cast("string").alias("relationship_type"))
+
+    groups = objects(
+        table(spark, sf_dir, "customer"), c % 2, c, F.lit("intrusion-set"),
+        F.concat(F.lit("intrusion-set--"), text(F.col("c_nationkey"))),
+        F.when(c % 11 != 0, F.col("c_name")),
+        F.when(c % 5 != 0, F.array(F.col("c_mktsegment"), F.concat(F.lit("N"), text(c % 4)))),
+        F.concat(F.repeat(F.lit("desc "), (c % 200).cast("int")), F.col("c_name")),
+        F.when(c % 3 == 0, F.slice(ref(none.cast("string"), none.cast("string")), 1, 1)).otherwise(
+            ref(F.concat(F.lit("G"), text(c)), F.concat(F.lit("https://groups.example/"), text(c)))),
+        no_phase, none, none, none)
+    t = p % 150
+    techniques = objects(
+        table(spark, sf_dir, "part"), p % 2, p + 100_000_000, F.lit("attack-pattern"),
+        F.concat(F.lit("attack-pattern--"), text(t)), F.col("p_name"), none,
+        F.concat(F.col("p_type"), F.lit("  "), F.col("p_brand")),
+        ref(F.concat(F.lit("T"), text(t + 1000), F.when(t % 2 == 0, ".001").otherwise(F.lit(""))),
+            F.concat(F.lit("https://techniques.example/"), text(t))),
+        phase(F.when(t % 3 == 0, "command-and-control").otherwise(F.lit("discovery"))), none, none, none)
+    kind = F.when(s % 40 % 2 == 0, "malware").otherwise(F.lit("tool"))
+    software = objects(
+        table(spark, sf_dir, "supplier"), s % 2, s + 200_000_000, kind, F.concat(kind, F.lit("--"), text(s % 40)),
+        F.col("s_name"), none, F.concat(F.lit("tool of "), F.col("s_name")),
+        ref(F.lit("S1"), F.lit("https://software.example/")), no_phase, none, none, none)
+    li = table(spark, sf_dir, "lineitem")
+    x = F.col("l_partkey") % 42
+    target = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("attack-pattern--"), text(F.col("l_partkey") % 160)))
+    target = target.otherwise(F.concat(F.when(x % 2 == 0, "malware--").otherwise(F.lit("tool--")), text(x)))
+    order = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+    relations = objects(
+        li, F.lit(0), order + 300_000_000, F.lit("relationship"), F.lit("relationship--"), none, none,
+        F.when(F.col("l_orderkey") % 4 == 0, "").otherwise(
+            F.concat(F.lit("used in "), text(F.col("l_orderkey")), F.lit(" (Citation: note 7)"))),
+        F.lit(None).cast("array<struct<source_name:string,external_id:string,url:string>>"), no_phase,
+        F.concat(F.lit("intrusion-set--"), text(F.col("l_suppkey") % 30)), target,
+        F.when(F.col("l_returnflag") == "N", "mitigates").otherwise(F.lit("uses")))
+    return groups.unionByName(techniques).unionByName(software).unionByName(relations)
+
+
+def threats_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One threat per embedding, to go with :func:`queries_from_embeddings`."""
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        v.alias("query_id"),
+        _item(["none", "Discovery", "C2"], v % 3).alias("label"),
+        (v % 110).cast("double").alias("beacon_score"),
+        (v * 7 % 1000).cast("double").alias("c2_over_dns_value"),
+        (v * 101 % 40000).cast("double").alias("long_conn_value"),
+        _item(["443", "8443", "53", "80", ""], v % 5).alias("dst_port"),
+        _item(["", "771,49195"], v % 2).alias("tls_ja3"),
+    )

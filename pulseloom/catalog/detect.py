@@ -398,7 +398,7 @@ def agg9(spark, d):
 @query("sc24_top_frequencies", """
 WITH h AS (
   SELECT event_id, list_filter([(event_id % 4)::DOUBLE, 2.0::DOUBLE, (json_extract(props, '$.k')::BIGINT % 3)::DOUBLE],
-         c -> c > 0) AS c FROM events WHERE event_id % 6 <> 0)
+         lambda c: c > 0) AS c FROM events WHERE event_id % 6 <> 0)
 SELECT event_id, round(list_reverse_sort(c)[1] / list_sum(c), 6) AS first,
        round(coalesce(list_reverse_sort(c)[2] / list_sum(c), 0), 6) AS second FROM h""")
 def sc24(spark, d):

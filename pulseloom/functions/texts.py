@@ -204,9 +204,13 @@ def labelled_value(text: Column, label: str) -> Column:
     return F.trim(F.regexp_extract(text, rf"(?m)^{label}:(.*)$", 1))
 
 
+# Fixed value: white space of any script, including the separators U+001C to U+001F.
+WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "))
 
 
 def text_digest(text: Column) -> Column:
@@ -215,9 +219,9 @@ def text_digest(text: Column) -> Column:
 
 def without_citations(text: Column) -> Column:
     """Squeeze white space and drop '(Citation: ...)' marks."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
-    cut = F.regexp_replace(flat, r"(?i)\s*\(Citation:\s*[^)]+\)", "")
-    return F.trim(F.regexp_replace(cut, r"\s{2,}", " "))
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
+    cut = F.regexp_replace(flat, r"(?i) *\(Citation: *[^)]+\)", "")
+    return F.trim(F.regexp_replace(cut, " {2,}", " "))
 
 
 __all__ = [

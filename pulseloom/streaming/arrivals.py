@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulseloom.operators.connections import connections_from_packets
 from pulseloom.plans.beacons import beacon_alerts
-from pulseloom.schemas import PACKETS
+from pulseloom.schemas import IDLE_SECONDS, PACKETS
 from pulseloom.session import shared_folder
 
 
 def start_arrivals(spark: SparkSession, folder: str, out: str, threshold: float, *, checkpoint: str | None = None,
-                   files_per_trigger: int = 100, available_now: bool = False):
+                   files_per_trigger: int = 100, available_now: bool = False,
+                   idle_seconds: float = IDLE_SECONDS):
     """Watch a folder of packet tables; each micro-batch runs the batch plan and writes its alerts.
 
     A batch that is repeated after a failure overwrites its own folder, so alerts appear once.
     """
     def analyse(batch: DataFrame, batch_id: int) -> None:
-        connections = connections_from_packets(batch)
+        connections = connections_from_packets(batch, idle_seconds)
         beacon_alerts(connections, ["conn_start"], threshold).write.mode("overwrite").parquet(
             f"{out.rstrip('/')}/batch_id={batch_id}")
 
