@@ -28,4 +28,4 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from pulseloom.catalog import core, detect, evaluate, hourly, knowledge  # noqa: F401
+    from pulseloom.catalog import core, detect, evaluate, hourly, knowledge, streams  # noqa: F401

@@ -168,13 +168,13 @@ def win3(spark, d):
 @query("agg1_connection_rows", f"""WITH {CONN_ROWS}
 SELECT CASE WHEN key_forward THEN '10.0.0.' || user_id ELSE '192.0.2.1' END AS src_ip,
        CASE WHEN key_forward THEN '192.0.2.1' ELSE '10.0.0.' || user_id END AS dst_ip,
-       conn_start, round(start_time, 5) AS start_time, round(duration, 5) AS duration, orig_packets, resp_packets,
+       conn_start, round(start_time, 6) AS start_time, round(duration, 6) AS duration, orig_packets, resp_packets,
        orig_bytes, resp_bytes, round(orig_packets / (orig_packets + resp_packets), 6) AS packet_ratio,
        round(orig_bytes / (orig_bytes + resp_bytes), 6) AS byte_ratio, direction_confidence
 FROM crow""")
 def agg1(spark, d):
     rows = connections.connection_rows(split_packets(spark, d))
-    out = rounded(rounded(rows, 5, "start_time", "duration"), 6, "packet_ratio", "byte_ratio")
+    out = rounded(rows, 6, "start_time", "duration", "packet_ratio", "byte_ratio")
     return out.select("src_ip", "dst_ip", "conn_start", "start_time", "duration", "orig_packets", "resp_packets",
                       "orig_bytes", "resp_bytes", "packet_ratio", "byte_ratio", "direction_confidence")
 
@@ -193,9 +193,9 @@ def agg2(spark, d):
         user.alias("user_id"), forward.alias("key_forward"), "conn_start", *IAT_FEATURES)
 
 
-@query("win4_connection_gap", f"WITH {GAP} SELECT event_id, round(flow_gap, 5) AS flow_gap FROM gap")
+@query("win4_connection_gap", f"WITH {GAP} SELECT event_id, round(flow_gap, 6) AS flow_gap FROM gap")
 def win4(spark, d):
-    return rounded(gap_rows(spark, d), 5, "flow_gap").select("event_id", "flow_gap")
+    return rounded(gap_rows(spark, d), 6, "flow_gap").select("event_id", "flow_gap")
 
 
 @query("win5_rolling_gaps", f"""WITH {ROLL}
@@ -223,16 +223,16 @@ def sc25(spark, d):
 
 @query("top1_feature_order", f"""WITH {CONN_ROWS}
 SELECT CASE WHEN key_forward THEN '10.0.0.' || user_id ELSE '192.0.2.1' END AS src_ip, conn_start,
-       round(start_time, 5) AS start_time
+       round(start_time, 6) AS start_time
 FROM crow ORDER BY 1, 3""")
 def top1(spark, d):
     rows = connections.feature_order(connections.connection_rows(split_packets(spark, d)))
-    return rounded(rows, 5, "start_time").select("src_ip", "conn_start", "start_time")
+    return rounded(rows, 6, "start_time").select("src_ip", "conn_start", "start_time")
 
 
 @query("win6_sequence_windows", f"""WITH {WINDOWS}
-SELECT src_ip, dst_ip, window_index, round(window_start_time, 5) AS window_start_time,
-       round(window_end_time, 5) AS window_end_time, round(first_flow_gap, 4) AS first_flow_gap,
+SELECT src_ip, dst_ip, window_index, round(window_start_time, 6) AS window_start_time,
+       round(window_end_time, 6) AS window_end_time, round(first_flow_gap, 4) AS first_flow_gap,
        round(first_gap_cv, 6) AS first_gap_cv, round(content, 2) AS content, 30 AS n_values
 FROM win""")
 def win6(spark, d):
@@ -240,7 +240,7 @@ def win6(spark, d):
     w = sequences.windows_on(gaps.gap_features_on(s, TIE), TIE, features=["flow_gap", "gap_rolling_cv", "duration"])
     total = F.aggregate(F.col("steps").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
     w = w.withColumns({"content": F.round(total, 2), "n_values": F.size("steps")})
-    w = rounded(w, 5, "window_start_time", "window_end_time")
+    w = rounded(w, 6, "window_start_time", "window_end_time")
     return rounded(rounded(w, 4, "first_flow_gap"), 6, "first_gap_cv").select(
         "src_ip", "dst_ip", "window_index", "window_start_time", "window_end_time", "first_flow_gap", "first_gap_cv",
         "content", "n_values")
@@ -265,10 +265,10 @@ def win8(spark, d):
     return kept.select("src_ip", "dst_ip", "window_index", "window_start_time")
 
 
-@query("agg12_sequence_coverage", f"""WITH {CONN}, sizes AS (SELECT source_file, count(*) AS n FROM conn GROUP BY ALL, src_ip, dst_ip)
+@query("agg12_sequence_coverage", f"""WITH {CONN}, sizes AS (SELECT source_file, count(*) AS n FROM conn GROUP BY source_file, src_ip, dst_ip)
 SELECT source_file, sum(n)::BIGINT AS connection_rows, count(*) AS connection_groups,
        count(*) FILTER (n >= 10) AS groups_with_sequence
-FROM sizes GROUP BY source_file""".replace("GROUP BY ALL, src_ip, dst_ip", "GROUP BY source_file, src_ip, dst_ip"))
+FROM sizes GROUP BY source_file""")
 def agg12(spark, d):
     return sequences.sequence_coverage(conn(spark, d))
 
@@ -412,21 +412,20 @@ def d8(spark, d):
 
 
 @query("set1_union_of_files", f"""WITH {CONN}, {FLOWS.strip()}
-SELECT source_file, src_ip, dst_ip, count(*) AS n, round(max(start_time), 4) AS last_start FROM (
+SELECT source_file, src_ip, dst_ip, count(*) AS n, round(max(start_time), 6) AS last_start FROM (
   SELECT source_file, src_ip, dst_ip, start_time FROM conn UNION ALL
   SELECT source_file, src_ip, dst_ip, start_time FROM flow) GROUP BY ALL""")
 def set1(spark, d):
     columns = ["source_file", "src_ip", "dst_ip", "start_time"]
     both = conn(spark, d).select(*columns).unionByName(A.flows_from_lineitem(spark, d).select(*columns))
     return both.groupBy("source_file", "src_ip", "dst_ip").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("start_time"), 4).alias("last_start"))
+        F.count(F.lit(1)).alias("n"), F.round(F.max("start_time"), 6).alias("last_start"))
 
 
 @query("chk2_classes_per_split", """
-SELECT element_at(['train', 'val', 'test'], (user_id % 5 % 3 + 1)::INT)[1] AS split,
+SELECT (['train', 'val', 'test'])[user_id % 5 % 3 + 1] AS split,
        count(DISTINCT CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS classes
-FROM events GROUP BY ALL""".replace("element_at(['train', 'val', 'test'], (user_id % 5 % 3 + 1)::INT)[1]",
-                                    "(['train', 'val', 'test'])[(user_id % 5 % 3 + 1)::INT]"))
+FROM events GROUP BY ALL""")
 def chk2(spark, d):
     return A.labelled_connections(spark, d).groupBy("split").agg(F.countDistinct("label").alias("classes"))
 

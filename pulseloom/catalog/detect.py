@@ -184,7 +184,7 @@ def src3(spark, d):
                        F.struct(F.lit(1).alias("block"), F.col("row_no").alias("line")).alias("at"),
                        text.alias("value"))
     names = ["#fields", "ts", "id.orig_h", "id.resp_h", "id.resp_p", "proto", "orig_bytes", "row"]
-    head = rows.select(body["path"] if False else F.when(odd, "odd").otherwise(F.lit("even")).alias("path")).distinct()
+    head = rows.select(F.when(odd, "odd").otherwise(F.lit("even")).alias("path")).distinct()
     head = head.select("path", F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("line")).alias("at"),
                        F.when(F.col("path") == "odd", "\t".join(names)).otherwise(
                            F.lit("\t".join([*names, "resp_bytes"]))).alias("value"))
@@ -507,11 +507,11 @@ def jn5(spark, d):
 
 
 @query("prj8_web_flow_rows", f"""WITH {LOG}
-SELECT 'log' AS source_file, orig_h AS src_ip, resp_h AS dst_ip, resp_p AS dst_port, round(ts, 5) AS start_time,
+SELECT 'log' AS source_file, orig_h AS src_ip, resp_h AS dst_ip, resp_p AS dst_port, round(ts, 6) AS start_time,
        orig_pkts + resp_pkts AS packet_nb, orig_pkts AS packet_nb_orig, resp_pkts AS packet_nb_resp
 FROM lg WHERE proto = 'tcp' AND resp_p IN ('80', '443')""")
 def prj8(spark, d):
-    rows = rounded(logs.web_flow_rows(_conn_log(spark, d), "log"), 5, "start_time")
+    rows = rounded(logs.web_flow_rows(_conn_log(spark, d), "log"), 6, "start_time")
     return rows.select("source_file", "src_ip", "dst_ip", "dst_port", "start_time", "packet_nb", "packet_nb_orig",
                        "packet_nb_resp")
 
@@ -587,10 +587,10 @@ def _series(spark, d):
 
 
 @query("win7_behaviour_series", f"""WITH {SERIES}
-SELECT threat_id, index, round(gap, 4) AS interval_seconds,
+SELECT threat_id, index, round(gap, 6) AS interval_seconds,
        round(CASE WHEN gap > 0 THEN 60 / gap ELSE 0 END, 6) AS frequency_per_minute, total_bytes FROM series""")
 def win7(spark, d):
-    out = rounded(rounded(_series(spark, d), 4, "interval_seconds"), 6, "frequency_per_minute")
+    out = rounded(_series(spark, d), 6, "interval_seconds", "frequency_per_minute")
     return out.select("threat_id", "index", "interval_seconds", "frequency_per_minute", "total_bytes")
 
 
@@ -707,9 +707,8 @@ def agg18_edges(spark, d):
 
 
 @query("snk4_export_rows", f"""WITH {DETECTIONS}
-SELECT 'c' || (rank % 2) AS source_file, threat_category, sources AS detection_sources, max(i) AS last_index, count(*) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY rank % 2 ORDER BY rank) AS i FROM merged JOIN prio ON name = threat_category)
-GROUP BY 1, 2, 3""".replace("max(i) AS last_index, ", ""))
+SELECT 'c' || (rank % 2) AS source_file, threat_category, sources AS detection_sources, count(*) AS n
+FROM merged JOIN prio ON name = threat_category GROUP BY ALL""")
 def snk4(spark, d):
     m = _merged(spark, d)
     m = m.withColumn("source_file", F.concat(F.lit("c"), (rules.priority(F.col("threat_category")) % 2).cast("string")))

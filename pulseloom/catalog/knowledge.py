@@ -400,24 +400,24 @@ def ev6(spark, d):
     return evaluation.frequency(_details(spark, d), "attribution_decision")
 
 
-@query("sc29_association_rows", f"""WITH {SEARCH}
+@query("sc29_association_rows", f"""WITH {SEARCH},
+near AS (SELECT *, techniques[1:5] AS five FROM cand WHERE candidate_rank <= 3)
 SELECT query_id, candidate_rank, name, printf('%.1f%%', score * 100) AS association,
-       coalesce(nullif(array_to_string(list_filter(['T1071.001', 'T1571', 'x'], lambda x: false), ''), ''), CASE
-         WHEN list_contains(techniques[1:5], 'T1071.001') AND list_contains(techniques[1:5], 'T1571') THEN
-           CASE WHEN list_position(techniques[1:5], 'T1071.001') < list_position(techniques[1:5], 'T1571')
-                THEN '应用层协议：Web 协议、T1571' ELSE 'T1571、应用层协议：Web 协议' END
-         WHEN list_contains(techniques[1:5], 'T1071.001') THEN '应用层协议：Web 协议'
-         WHEN list_contains(techniques[1:5], 'T1571') THEN 'T1571'
-         ELSE '当前网络证据与该组织画像存在有限通信行为相似性。' END) AS matching_behaviors
-FROM cand WHERE candidate_rank <= 3""".replace("""coalesce(nullif(array_to_string(list_filter(['T1071.001', 'T1571', 'x'], lambda x: false), ''), ''), CASE""", "CASE").replace("性。' END) AS", "性。' END AS"))
+       CASE WHEN list_contains(five, 'T1071.001') AND list_contains(five, 'T1571') THEN
+              CASE WHEN list_position(five, 'T1071.001') < list_position(five, 'T1571')
+                   THEN '应用层协议：Web 协议、T1571' ELSE 'T1571、应用层协议：Web 协议' END
+            WHEN list_contains(five, 'T1071.001') THEN '应用层协议：Web 协议'
+            WHEN list_contains(five, 'T1571') THEN 'T1571'
+            ELSE '当前网络证据与该组织画像存在有限通信行为相似性。' END AS matching_behaviors
+FROM near""")
 def sc29(spark, d):
     names = spark.sql("SELECT 'T1071.001' AS technique_id, '应用层协议：Web 协议' AS display_name")
     return retrieval.association_rows(_candidates(spark, d), names, F.array(F.lit("T1071.001"), F.lit("T1571")))
 
 
 @query("set9_distinct_in_order", f"""WITH {SEARCH}
-SELECT query_id, candidate, array_to_string(k.techniques, ';') AS c2_techniques
-FROM cand JOIN known k ON k.query_id = cand.query_id AND k.group_id = candidate""".replace("SELECT query_id, candidate,", "SELECT cand.query_id, candidate,"))
+SELECT cand.query_id, candidate, array_to_string(k.techniques, ';') AS c2_techniques
+FROM cand JOIN known k ON k.query_id = cand.query_id AND k.group_id = candidate""")
 def set9(spark, d):
     return _candidates(spark, d).select("query_id", "candidate", F.array_join("c2_techniques", ";").alias("c2_techniques"))
 
