@@ -173,7 +173,7 @@ SELECT CASE WHEN key_forward THEN '10.0.0.' || user_id ELSE '192.0.2.1' END AS s
        round(orig_bytes / (orig_bytes + resp_bytes), 6) AS byte_ratio, direction_confidence
 FROM crow""")
 def agg1(spark, d):
-    rows = connections.connection_rows(split_packets(spark, d))
+    rows = connections.connections_from_packets(A.packets_from_events(spark, d), DAY)
     out = rounded(rows, 6, "start_time", "duration", "packet_ratio", "byte_ratio")
     return out.select("src_ip", "dst_ip", "conn_start", "start_time", "duration", "orig_packets", "resp_packets",
                       "orig_bytes", "resp_bytes", "packet_ratio", "byte_ratio", "direction_confidence")
@@ -186,7 +186,7 @@ SELECT user_id, key_forward, conn_start, round(g_min, 4) AS packet_iat_min, roun
        round(g4, 4) AS packet_iat_4
 FROM crow""")
 def agg2(spark, d):
-    rows = connections.connection_rows(split_packets(spark, d))
+    rows = connections.connections_from_packets(A.packets_from_events(spark, d), DAY)
     forward = F.col("src_ip") != "192.0.2.1"
     user = F.substring(F.when(forward, F.col("src_ip")).otherwise(F.col("dst_ip")), 8, 20).cast("long")
     return rounded(rows, 4, *IAT_FEATURES).select(
@@ -226,7 +226,7 @@ SELECT CASE WHEN key_forward THEN '10.0.0.' || user_id ELSE '192.0.2.1' END AS s
        round(start_time, 6) AS start_time
 FROM crow ORDER BY 1, 3""")
 def top1(spark, d):
-    rows = connections.feature_order(connections.connection_rows(split_packets(spark, d)))
+    rows = connections.feature_order(connections.connections_from_packets(A.packets_from_events(spark, d), DAY))
     return rounded(rows, 6, "start_time").select("src_ip", "conn_start", "start_time")
 
 
@@ -319,7 +319,7 @@ FROM events""")
 def prj6(spark, d):
     e = A.table(spark, d, "events").select(
         "event_id", F.col("value").alias("a"), F.lit("-").alias("b"), F.get_json_object("props", "$.k").alias("c"))
-    v = sequences.feature_vector(["a", "b", "c"])
+    v = sequences.feature_vector(e, ["a", "b", "c"])
     text = F.array_join(F.transform(v, lambda x: x.cast("double").cast("decimal(18,4)").cast("string")), ";")
     return e.select("event_id", text.alias("vector"))
 

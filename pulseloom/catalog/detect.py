@@ -344,7 +344,7 @@ def sc3(spark, d):
         .when(n % 4 == 1, F.concat(v4, F.lit(" ")))
         .when(n % 4 == 2, F.concat(F.lit("2001:DB8:0:0:0:0:0:"), (n % 7 + 1).cast("string")))
         .otherwise(F.lit(" not an address")).alias("raw"))
-    return endpoints.with_canonical(e, "raw", "endpoint").select("event_id", "endpoint")
+    return e.select("event_id", endpoints.canonical("raw").alias("endpoint"))
 
 
 @query("ud5_address_parser", """
@@ -354,7 +354,7 @@ def ud5(spark, d):
     even, u = F.col("event_id") % 2 == 0, F.col("user_id") % 9
     e = A.table(spark, d, "events").select(F.when(even, F.concat(F.lit("FE80:0000::0"), (u + 1).cast("string")))
         .otherwise(F.concat(F.lit("::ffff:192.0.2."), u.cast("string"))).alias("raw"))
-    return endpoints.with_canonical(e, "raw", "endpoint").groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy(endpoints.canonical_ipv6("raw").alias("endpoint")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jn13_private_address", """
@@ -371,7 +371,7 @@ def jn13(spark, d):
     n = F.col("event_id")
     parts = [(n * 7919) % 256, (n * 104729) % 256, F.col("user_id") % 256, n % 256]
     e = A.table(spark, d, "events").select("event_id", F.concat_ws(".", *[p.cast("string") for p in parts]).alias("address"))
-    return endpoints.with_private_flag(e, "address", "private")
+    return e.withColumn("private", endpoints.is_private("address"))
 
 
 @query("agg9_histogram_statistics", """

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from pulseloom.schemas import WILDCARD_DESTINATIONS
 
-_MAPPED_V4 = r"(?i)^::ffff:(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$"
-_IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+_MAPPED = rf"(?i)^::ffff:({_OCTET}(?:\.{_OCTET}){{3}})$"
+_TAIL = rf"^(.*:)({_OCTET})\.({_OCTET})\.({_OCTET})\.({_OCTET})$"
 
 # IPv4 blocks that are not globally reachable, as CIDR text.
 PRIVATE_V4 = [
@@ -35,78 +37,116 @@ def _canonical(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def canonical_ipv6(values: pd.Series) -> pd.Series:
-    """One parse per distinct text of the batch."""
+    """The canonical form by a Python parser, for checks; each distinct text of a batch is parsed once."""
     codes, texts = pd.factorize(values)
     parsed = pd.Series([_canonical(t) for t in texts], dtype=object)
     return parsed.reindex(codes).reset_index(drop=True).where(codes >= 0, None)
 
 
-def canonical_text(value: Column) -> Column:
-    """Trim and unwrap ``::ffff:a.b.c.d`` in the JVM; other IPv6 text stays as written."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(text, _MAPPED_V4, 1), F.lit("")), text)
+# The address functions are SQL text: one parse per use instead of a tree built node by node.
+def _let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and use it by name in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def with_canonical(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the canonical form of an address column.
+def _groups_sql(text: str) -> str:
+    """The eight groups of IPv6 text without leading zeros, lower case; null if it is no IPv6 address."""
+    octets = [f"int(regexp_extract(t, r'{_TAIL}', {i}))" for i in range(2, 6)]
+    dotted = (f"concat(regexp_extract(t, r'{_TAIL}', 1), lower(hex({octets[0]} * 256 + {octets[1]})), ':', "
+              f"lower(hex({octets[2]} * 256 + {octets[3]})))")
+    plain = f"lower(CASE WHEN t RLIKE r'{_TAIL}' THEN {dotted} ELSE t END)"
+    halves = [f"filter(split(coalesce(get(h, {i}), ''), ':', -1), x -> x <> '')" for i in (0, 1)]
+    missing = "(8 - size(a) - size(b))"
+    valid = (
+        f"CASE size(h) WHEN 2 THEN {missing} >= 1 WHEN 1 THEN {missing} = 0 ELSE false END "
+        "AND p RLIKE '^[0-9a-f:]+$' AND NOT contains(p, ':::') "
+        "AND (startswith(p, '::') OR NOT startswith(p, ':')) AND (endswith(p, '::') OR NOT endswith(p, ':')) "
+        "AND forall(concat(a, b), x -> length(x) <= 4)")
+    full = f"transform(concat(a, array_repeat('0', greatest({missing}, 0)), b), x -> regexp_replace(x, '^0+(?=.)', ''))"
+    body = f"CASE WHEN {valid} THEN {full} END"
+    return _let(text, "t", _let(plain, "p", _let("split(p, '::', -1)", "h", _let(
+        halves[0], "a", _let(halves[1], "b", body)))))
 
-    Only text with a colon that is not an IPv4-mapped address needs a parser.  Those values are
-    parsed once per distinct text and joined back; everything else stays in the JVM.
-    """
-    simple = canonical_text(F.col(source))
-    needs = simple.contains(":")
-    odd = df.where(needs).select(F.trim(F.col(source)).alias("_odd")).distinct()
-    parsed = odd.select("_odd", canonical_ipv6("_odd").alias("_parsed"))
-    keyed = df.withColumn("_simple", simple).withColumn("_odd_key", F.when(needs, F.trim(F.col(source))))
-    joined = keyed.join(parsed, keyed["_odd_key"] == parsed["_odd"], "left")
-    return joined.withColumn(target, F.coalesce("_parsed", "_simple")).drop("_odd", "_odd_key", "_simple", "_parsed")
-
-
-def is_wildcard(dst: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(dst, F.lit("")))).isin(*WILDCARD_DESTINATIONS)
 
+def _shortest_sql(groups: str) -> str:
+    """Join the groups, with the longest, leftmost run of at least two zero groups as '::'."""
+    def without(run):
+        zeros = ":0" * run + ":"
+        cut = (f"concat(substr(f, 2, greatest(i - 2, 0)), '::', "
+               f"regexp_replace(substr(f, i + {len(zeros)}), ':$', ''))")
+        return _let(f"instr(f, '{zeros}')", "i", f"CASE WHEN i > 0 THEN {cut} END")
 
-def ipv4_number(value: Column) -> Column:
-    """The address as BIGINT, null if the text is not dotted IPv4."""
-    parts = F.split(value, r"\.")
-    number = sum((F.get(parts, i).try_cast("long") * (256 ** (3 - i)) for i in range(1, 4)),
-                 F.get(parts, 0).try_cast("long") * 256 ** 3)
-    return F.when(value.rlike(_IPV4), number)
+    runs = ", ".join(without(run) for run in range(8, 1, -1))
+    return _let(f"concat(':', array_join({groups}, ':'), ':')", "f", f"coalesce({runs}, substr(f, 2, length(f) - 2))")
 
 
-def _inside(number: Column, blocks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    tests = [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+def _mapped_sql(groups: str) -> str:
+    value = [f"int(conv(get({groups}, {i}), 16, 10))" for i in (6, 7)]
+    text = ", ".join(f"string({v} {op} 256)" for v in value for op in ("div", "%"))
+    return (f"CASE WHEN forall(slice({groups}, 1, 5), x -> x = '0') AND get({groups}, 5) = 'ffff' "
+            f"THEN concat_ws('.', {text}) END")
 
 
-@F.pandas_udf(T.BooleanType())
-def _ipv6_private(values: pd.Series) -> pd.Series:
-    def private(text):
-        try:
-            return ipaddress.ip_address(text).is_private
-        except ValueError:
-            return False
+def canonical(column: str) -> Column:
+    """One text per address of a column: trimmed, IPv4-mapped IPv6 as IPv4, IPv6 in its shortest form.
 
-    return values.fillna("").map(private)
+    Text that is no address is returned trimmed.  All of it runs in the JVM; text without a colon
+    and the usual IPv4-mapped form take a short branch.
+    """
+    text = f"trim(coalesce(`{column}`, ''))"
+    common = f"regexp_extract({text}, r'{_MAPPED}', 1)"
+    parsed = _let("regexp_extract(s, '(%[^%]+)$', 1)", "z", _let(
+        _groups_sql("regexp_replace(s, '%[^%]+$', '')"), "g",
+        f"coalesce(CASE WHEN z = '' THEN {_mapped_sql('g')} END, concat({_shortest_sql('g')}, z), s)"))
+    return F.expr(f"CASE WHEN NOT contains({text}, ':') OR {text} = '::' THEN {text} "
+                  f"WHEN {common} <> '' THEN {common} ELSE {_let(text, 's', parsed)} END")
 
 
-def is_private_v4(value: Column) -> Column:
-    """Range test for IPv4 text as a plain expression; anything else is false."""
-    n = ipv4_number(value)
-    return F.coalesce(_inside(n, PRIVATE_V4) & ~_inside(n, REACHABLE_V4), F.lit(False))
+def is_wildcard(dst: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(dst, F.lit("")))).isin(*WILDCARD_DESTINATIONS)
 
 
-def with_private_flag(df: DataFrame, source: str, target: str) -> DataFrame:
-    """IPv4 by ranges in the JVM, IPv6 text by one parse per distinct value."""
-    value = F.col(source)
-    odd = df.where(value.contains(":")).select(value.alias("_odd")).distinct()
-    flags = odd.select("_odd", _ipv6_private("_odd").alias("_flag"))
-    joined = df.join(flags, value == F.col("_odd"), "left")
-    return joined.withColumn(target, F.coalesce("_flag", is_private_v4(value))).drop("_odd", "_flag")
+def _v4_sql(text: str) -> str:
+    """Whether dotted IPv4 text lies in a block that is not globally reachable; null if it is no IPv4."""
+    parts = " + ".join(f"bigint(split_part(v, '.', {i + 1})) * {256 ** (3 - i)}" for i in range(4))
+
+    def inside(blocks):
+        nets = [ipaddress.ip_network(b) for b in blocks]
+        return " OR ".join(f"n BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in nets)
+
+    test = _let(parts, "n", f"({inside(PRIVATE_V4)}) AND NOT ({inside(REACHABLE_V4)})")
+    return _let(text, "v", f"CASE WHEN v RLIKE r'{_IPV4}' THEN {test} END")
+
+
+def _v6_sql(groups: str) -> str:
+    """IPv6 blocks that are not globally reachable."""
+    def zeros(start, stop):
+        return f"forall(slice({groups}, {start + 1}, {stop - start}), x -> x = '0')"
+
+    q = [f"get(q, {i})" for i in range(8)]
+    # The blocks, and the reachable exceptions inside 2001::/23.
+    special = (f"({q[1]} = 1 AND {zeros(2, 7)} AND {q[7]} IN (1, 2)) OR {q[1]} = 3 "
+               f"OR ({q[1]} = 4 AND {q[2]} = {0x112}) OR {q[1]} BETWEEN {0x20} AND {0x3F}")
+    blocks = [
+        f"({zeros(0, 7)} AND {q[7]} <= 1)",
+        f"({q[0]} = {0x64} AND {q[1]} = {0xFF9B} AND {q[2]} = 1)",
+        f"({q[0]} = {0x100} AND {zeros(1, 4)})",
+        f"({q[0]} = {0x2001} AND {q[1]} < {0x200} AND NOT ({special}))",
+        f"({q[0]} = {0x2001} AND {q[1]} = {0xDB8})",
+        f"{q[0]} = {0x2002}",
+        f"{q[0]} BETWEEN {0xFC00} AND {0xFDFF}",
+        f"{q[0]} BETWEEN {0xFE80} AND {0xFEBF}",
+    ]
+    return _let(f"transform({groups}, x -> int(conv(x, 16, 10)))", "q", " OR ".join(blocks))
+
+
+def is_private(column: str) -> Column:
+    """Whether address text is not globally reachable; a mapped address counts as its IPv4 address and
+    text that is no address is false."""
+    c = f"`{column}`"
+    v6 = _let(_groups_sql(f"regexp_replace({c}, '%[^%]+$', '')"), "g",
+              f"coalesce({_v4_sql(_mapped_sql('g'))}, {_v6_sql('g')})")
+    return F.expr(f"coalesce(CASE WHEN contains({c}, ':') THEN {v6} ELSE {_v4_sql(c)} END, false)")
 
 
 def collapse_name(name: str) -> str:

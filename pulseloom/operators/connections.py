@@ -70,7 +70,7 @@ def split_connections(
     lies in (q, p], a FIN or RST lies in [q, p), or the sequence numbers differ.  Any other packet
     starts one iff it is the first of its key or follows an idle break.
     """
-    s = spread(orient(packets), FLOW, "pkt_no", tie=[], rows_back=1, limits=limits)
+    s = spread(orient(packets), FLOW, "pkt_no", tie=[], rows_back=1, limits=limits, probe=(with_pairs(packets), PAIR))
     w = s.window("pkt_no")
     gap = F.col("ts") - F.lag("ts").over(w)
     s = s.with_df(s.df.withColumns({
@@ -106,12 +106,14 @@ def split_connections(
     return s.with_df(df.drop(*helpers)).finish()
 
 
-def connection_rows(split: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+def connection_rows(split: DataFrame, limits: Limits = DEFAULT, packets: DataFrame | None = None) -> DataFrame:
     """One row per connection: counters, ratios and packet inter-arrival statistics.
 
-    Gaps follow time order inside the connection while splitting followed file order.
+    Gaps follow time order inside the connection while splitting followed file order.  ``packets``,
+    the rows before splitting, make the check for hot connections cheap.
     """
-    s = spread(split, CONNECTION, "ts", tie=["pkt_no"], rows_back=1, limits=limits)
+    probe = (with_pairs(packets), PAIR) if packets is not None else None
+    s = spread(split, CONNECTION, "ts", tie=["pkt_no"], rows_back=1, limits=limits, probe=probe)
     w = s.window("ts", "pkt_no")
     df = s.df.withColumns({"_gap": F.col("ts") - F.lag("ts").over(w), "_at": s.index(w)})
     originator = F.col("forward") == F.col("key_forward")
@@ -162,7 +164,7 @@ def connection_rows(split: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 def connections_from_packets(
     packets: DataFrame, idle_seconds: float = IDLE_SECONDS, limits: Limits = DEFAULT
 ) -> DataFrame:
-    return connection_rows(split_connections(packets, idle_seconds, limits), limits)
+    return connection_rows(split_connections(packets, idle_seconds, limits), limits, packets)
 
 
 def feature_order(rows: DataFrame) -> DataFrame:

@@ -60,11 +60,10 @@ def mixtape_evidence(mixtape: DataFrame, order: str = "row_no") -> DataFrame:
 
     service = F.coalesce(F.get("port_proto_service", F.lit(0)), F.lit(""))
     parts = F.split(service, ":")
-    df = endpoints.with_canonical(endpoints.with_canonical(mixtape, "src", "_src"), "dst", "_dst")
-    rows = df.select(
+    rows = mixtape.select(
         order,
-        F.col("_src").alias("src"),
-        F.col("_dst").alias("dst"),
+        endpoints.canonical("src").alias("src"),
+        endpoints.canonical("dst").alias("dst"),
         F.get(parts, F.lit(0)).alias("port"),
         F.nullif(F.get(parts, F.lit(1)), F.lit("")).alias("protocol"),
         F.nullif(first("fqdn", "domain", "hostname"), F.lit("")).alias("destination_host"),

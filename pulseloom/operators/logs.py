@@ -121,20 +121,23 @@ def series_rows(threats: DataFrame, conn: DataFrame, limits: Limits = DEFAULT) -
         whole = number.try_cast("long")
         return F.when(whole < 0, F.lit(0).cast("long")).otherwise(whole)
 
-    c = endpoints.with_canonical(endpoints.with_canonical(conn, "orig_h", "_src"), "resp_h", "_dst")
-    c = c.select("_src", "_dst", F.col("resp_p").alias("_port"), F.trim("ts").try_cast("double").alias("ts"),
-                 (octets("orig_bytes") + octets("resp_bytes")).alias("total_bytes"),
-                 *([F.col("row_no")] if "row_no" in conn.columns else [F.monotonically_increasing_id().alias("row_no")]))
+    address = endpoints.canonical
+    c = conn.select(
+        address("orig_h").alias("_src"), address("resp_h").alias("_dst"), F.col("resp_p").alias("_port"),
+        F.trim("ts").try_cast("double").alias("ts"),
+        (octets("orig_bytes") + octets("resp_bytes")).alias("total_bytes"),
+        *([F.col("row_no")] if "row_no" in conn.columns else [F.monotonically_increasing_id().alias("row_no")]))
     c = c.where(F.col("ts").isNotNull() & F.col("total_bytes").isNotNull())
-    t = endpoints.with_canonical(endpoints.with_canonical(
-        threats.select("threat_id", "src_ip", "dst_ip", F.col("dst_port").alias("_port")),
-        "src_ip", "_src"), "dst_ip", "_dst").select("threat_id", "_src", "_dst", "_port")
+    t = threats.select(
+        "threat_id", address("src_ip").alias("_src"), address("dst_ip").alias("_dst"), F.col("dst_port").alias("_port"))
     wild = endpoints.is_wildcard(F.col("_dst"))
     exact = c.join(t.where(~wild), ["_src", "_port", "_dst"])
     loose = c.drop("_dst").join(t.where(wild).drop("_dst"), ["_src", "_port"])
     columns = ["threat_id", "ts", "row_no", "total_bytes"]
     matched = exact.select(*columns).unionByName(loose.select(*columns))
-    s = spread(matched, ["threat_id"], "ts", tie=["row_no"], rows_back=1, limits=limits)
+    # a threat has at most the connections of its source and port, which are counted without the join
+    s = spread(matched, ["threat_id"], "ts", tie=["row_no"], rows_back=1, limits=limits,
+               probe=(c, ["_src", "_port"]))
     w = s.window("ts", "row_no")
     gap = F.greatest(F.coalesce(F.col("ts") - F.lag("ts").over(w), F.lit(0.0)), F.lit(0.0))
     out = s.with_df(s.df.withColumns({
@@ -154,9 +157,10 @@ def http_tls_facts(http: DataFrame, ssl: DataFrame, capture: str = "source_file"
     def value(name):
         return casts.clean_value(name, "")
 
-    flagged = endpoints.with_private_flag(http.withColumn("_dst", value("resp_h")), "_dst", "_private")
-    mismatch = (value("host") != "") & F.col("_private")
     target = F.struct("host", "resp_h", "resp_p")
+    flagged = http.withColumn("_target", value("resp_h")).withColumn(
+        "_mismatch", (value("host") != "") & endpoints.is_private("_target"))
+    mismatch = F.col("_mismatch")
     h = flagged.groupBy(capture).agg(
         F.count(F.lit(1)).alias("http_requests"),
         F.min_by(F.struct("orig_h", "resp_h", "resp_p", "host"), order).alias("first_http"),
@@ -167,12 +171,13 @@ def http_tls_facts(http: DataFrame, ssl: DataFrame, capture: str = "source_file"
         F.count(F.lit(1)).alias("tls_sessions"),
         F.min_by(F.struct("orig_h", "resp_h", "resp_p"), order).alias("first_tls"),
     )
-    joined = h.join(s, capture, "full_outer")
-    for name, column in (("tls_sni", "server_name"), ("tls_targets", "resp_h"), ("tls_versions", "version")):
-        # distinct first, so the list holds each value once whatever the number of sessions
-        distinct = ssl.select(capture, value(column).alias("_v")).where(F.col("_v") != "").distinct()
-        listed = distinct.groupBy(capture).agg(F.array_join(F.array_sort(F.collect_list("_v")), ", ").alias(name))
-        joined = joined.join(listed, capture, "left")
+    # distinct first, so a list holds each value once whatever the number of sessions
+    lists = {"tls_sni": "server_name", "tls_targets": "resp_h", "tls_versions": "version"}
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), value(c).alias("v")) for n, c in lists.items()]))
+    distinct = ssl.select(capture, named.alias("x")).select(capture, "x.n", "x.v").where(F.col("v") != "").distinct()
+    listed = distinct.groupBy(capture).agg(*[
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") == n, F.col("v")))), ", ").alias(n) for n in lists])
+    joined = h.join(s, capture, "full_outer").join(listed, capture, "left")
     n_http, n_tls = (F.coalesce(c, F.lit(0).cast("long")) for c in ("http_requests", "tls_sessions"))
 
     def profile(field):

@@ -180,9 +180,11 @@ def tolerant_matches(csv: DataFrame, mixtape: DataFrame, order: str = "ord") ->
     paired up.
     """
     def canonical(df, prefix):
-        out = endpoints.with_canonical(endpoints.with_canonical(df, "src", f"{prefix}src"), "dst", f"{prefix}dst")
-        return out.withColumn(
-            f"{prefix}dst", F.when(F.col(f"{prefix}dst").isin("", "::"), "*").otherwise(F.col(f"{prefix}dst")))
+        dst = endpoints.canonical("dst")
+        return df.withColumns({
+            f"{prefix}src": endpoints.canonical("src"),
+            f"{prefix}dst": F.when(dst.isin("", "::"), "*").otherwise(dst),
+        })
 
     c = canonical(csv, "_c")
     first = F.min(F.struct(F.col(order), F.col("src"), F.col("dst"), F.col("port")))

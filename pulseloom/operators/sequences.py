@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseloom.plans.hotgroups import DEFAULT, Limits, Spread, spread
 from pulseloom.schemas import FEATURES, GROUP_KEYS, SEQUENCE_LENGTH, SORT_COLUMN, TRAIN_WINDOW_CAP
 
 
-def feature_vector(features: list[str] = FEATURES) -> Column:
+def feature_vector(df: DataFrame, features: list[str] = FEATURES) -> Column:
     """One float32 vector per row; unparsable or missing values count as 0."""
-    return F.array(*[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("float") for c in features])
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return F.array(*[
+        F.coalesce(F.col(c).try_cast("double") if c in text else F.col(c).cast("double"), F.lit(0.0)).cast("float")
+        for c in features])
 
 
 def windows_on(
@@ -35,7 +39,7 @@ def windows_on(
     if label:
         columns |= {"_lo": F.min(label).over(frame), "_hi": F.max(label).over(frame)}
     if features:
-        columns["steps"] = F.collect_list(feature_vector(features)).over(frame)
+        columns["steps"] = F.collect_list(feature_vector(s.df, features)).over(frame)
     for name, make in (extra or {}).items():
         columns[name] = make(frame)
     out = s.with_df(s.df.withColumns(columns).where(F.col("window_index") >= 0)).finish()

@@ -104,8 +104,18 @@ def spread(
     tie: list[str],
     rows_back: int,
     limits: Limits = DEFAULT,
+    probe: tuple[DataFrame, list[str]] | None = None,
 ) -> Spread:
-    """Prepare ``df`` for windows over ``keys`` ordered by (``order``, ``tie``)."""
+    """Prepare ``df`` for windows over ``keys`` ordered by (``order``, ``tie``).
+
+    ``probe`` names a cheaper table and keys whose groups are never smaller than the groups of
+    ``df``: if none of those is hot, ``df`` itself is not counted.
+    """
+    if probe is not None:
+        table, wider = probe
+        sizes = table.groupBy(*wider).agg(F.count(F.lit(1)).alias("n"))
+        if sizes.where(F.col("n") > limits.min_rows).isEmpty():
+            return Spread(df, list(keys), list(keys), False)
     heavy = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > limits.min_rows)
