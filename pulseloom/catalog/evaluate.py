@@ -66,10 +66,11 @@ def win11(spark, d):
         "threshold", "tp", "fp", "fn", "tn", *RATIO_COLUMNS)
 
 
-@query("top10_best_threshold", f"""WITH {SWEEP}
-SELECT threshold, round(recall, 6) AS validation_recall, round(fpr, 6) AS validation_fpr, recall >= 0.9 AS target_recall_met,
-       fpr <= 0.95 AS target_fpr_met, 'constraints_met' AS selection_mode
-FROM sweep WHERE recall >= 0.9 AND fpr <= 0.95 ORDER BY threshold DESC LIMIT 1""")
+@query("top10_best_threshold", f"""WITH {SWEEP}, f AS (SELECT *, recall >= 0.9 AS r, fpr <= 0.95 AS p FROM sweep)
+SELECT threshold, round(recall, 6) AS validation_recall, round(fpr, 6) AS validation_fpr, r AS target_recall_met,
+       p AS target_fpr_met, CASE WHEN r AND p THEN 'constraints_met' ELSE 'recall_then_fpr_fallback' END AS selection_mode
+FROM f ORDER BY r AND p DESC, CASE WHEN r AND p THEN 0 ELSE recall END DESC, CASE WHEN r AND p THEN 0 ELSE fpr END, threshold DESC
+LIMIT 1""")
 def top10(spark, d):
     sweep = evaluation.threshold_sweep(A.scored_labels(spark, d))
     return rounded(evaluation.choose_threshold(sweep, 0.9, 0.95), 6, "validation_recall", "validation_fpr")

@@ -150,8 +150,9 @@ def heuristic_beacon_score(n: Column, interval: Column) -> Column:
 
 def attribution_confidence(top1: Column, top2: Column) -> Column:
     """0-100 from the best score and its lead; null scores mean no such candidate."""
-    bonus = F.coalesce(F.least((top1 - top2) * 100, F.lit(20.0)), F.lit(0.0))
-    return F.coalesce(F.least(F.greatest(top1 * 100 + bonus, F.lit(0.0)), F.lit(100.0)), F.lit(0.0))
+    bonus = F.when(top2.isNotNull(), F.least((top1 - top2) * 100, F.lit(20.0))).otherwise(F.lit(0.0))
+    clamped = F.least(F.greatest(top1 * 100 + bonus, F.lit(0.0)), F.lit(100.0))
+    return F.when(top1.isNotNull(), clamped).otherwise(F.lit(0.0))
 
 
 def attribution_gate(top1: Column, top2: Column, min_top1: float = MIN_TOP1, min_gap: float = MIN_GAP) -> Column:

@@ -139,7 +139,8 @@ def group_candidates(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     """
     key = F.coalesce(F.nullif("group_id", F.lit("")), F.nullif("name", F.lit("")), F.col("doc_id").cast("string"))
     has_list, has_text = "c2_techniques" in hits.columns, "text" in hits.columns
-    known = F.col("c2_techniques") if has_list else F.array("technique_id")
+    known = F.col("c2_techniques") if has_list else F.filter(
+        F.array("technique_id"), lambda t: F.coalesce(t, F.lit("")) != "")
     chunk = F.struct("rank", "doc_id", "score", "distance", "technique_id",
                      (F.col("text") if has_text else F.lit("")).alias("text"), known.alias("known"))
     grouped = hits.withColumn("candidate", key).groupBy("query_id", "candidate").agg(
