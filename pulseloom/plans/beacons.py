@@ -22,10 +22,10 @@ def scored_windows(connections: DataFrame, tie: list[str], score: Callable = sco
 
 def modelled_windows(connections: DataFrame, tie: list[str], scorer: Callable, features: list[str] = FEATURES,
                      batch_size: int = scoring.SCORE_BATCH, limits: Limits = DEFAULT) -> DataFrame:
-    """The same with a batch scorer on float32 windows."""
+    """The same with a batch scorer on float32 windows; rows cross to Python once, not ten times."""
     s = spread(connections, GROUP_KEYS, SORT_COLUMN, tie=tie, rows_back=HISTORY, limits=limits)
-    windows = sequences.windows_on(gaps.gap_features_on(s, tie), tie, features=features)
-    return scoring.score_windows(windows, scorer, batch_size=batch_size, n_features=len(features))
+    s = gaps.gap_features_on(s, tie)
+    return scoring.score_rows(s, tie, sequences.feature_vector(s.df, features), scorer, batch_size=batch_size)
 
 
 def beacon_alerts(connections: DataFrame, tie: list[str], threshold, score: Callable = scoring.regularity,

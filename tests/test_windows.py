@@ -112,3 +112,27 @@ def test_hot_blocks_equal_plain(spark):
     cut = gaps.with_gap_features(f, ["n"], limits=CUT)
     key = lambda r: (r.src_ip, r.n)
     assert sorted(plain.collect(), key=key) == sorted(cut.select(plain.columns).collect(), key=key)
+
+
+@pytest.mark.parametrize("limits", [Limits(), CUT])
+@pytest.mark.parametrize("rows_per_batch", [7, 10000])
+def test_row_scoring_equals_window_scoring(spark, limits, rows_per_batch):
+    from pulseloom.plans import beacons
+
+    c = connections(spark, [(i * 37) % 1000 for i in range(150)])
+    for name, n in (("b", 10), ("c", 9), ("d", 40)):
+        c = c.union(connections(spark, [i * i for i in range(n)], name))
+    c = c.withColumns({x: F.col("n") / 7 for x in FEATURES if "gap" not in x})
+    expected = beacons.scored_windows(c, ["n"])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    try:
+        got = beacons.modelled_windows(c, ["n"], scoring.regularity_blocks, batch_size=3, limits=limits).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    key = lambda r: (r.src_ip, r.window_index)
+    got, want = sorted(got, key=key), sorted(expected.collect(), key=key)
+    assert len(got) == len(want) == 141 + 1 + 31
+    for a, b in zip(got, want):
+        assert key(a) == key(b) and a.window_start_time == b.window_start_time and a.window_end_time == b.window_end_time
+        assert a.probability == pytest.approx(b.probability) and a.first_gap_cv == pytest.approx(b.first_gap_cv)
