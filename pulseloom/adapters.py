@@ -391,3 +391,32 @@ def threats_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _item(["443", "8443", "53", "80", ""], v % 5).alias("dst_port"),
         _item(["", "771,49195"], v % 2).alias("tls_ja3"),
     )
+
+
+def capture_files_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files as bytes: one per user and thousand event ids, so a file has at most 1000 packets."""
+    def number(value, digits):
+        return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+    e = table(spark, sf_dir, "events")
+    us, u, n = epoch_micros(F.col("ts")), F.col("user_id"), F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("long")
+    flags = F.when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "error", 17).otherwise(F.lit(16))
+    client = F.concat(F.lit("0A00"), number(u, 4))
+    server = F.lit("C0000201")
+    ports = number(u % 50000 + 1024, 4), F.lit("01BB")
+    back = n % 2 == 1
+    ethernet = F.lit("00" * 12 + "0800")
+    ip = F.concat(F.lit("450000280000000040060000"), F.when(back, server).otherwise(client),
+                  F.when(back, client).otherwise(server))
+    tcp = F.concat(F.when(back, ports[1]).otherwise(ports[0]), F.when(back, ports[0]).otherwise(ports[1]),
+                   number(k % 4, 8), F.lit("0000000050"), number(flags, 2), F.lit("000000000000"))
+    record = F.concat(number(F.floor(us / 1_000_000), 8), number(us % 1_000_000, 8), number(F.lit(54), 8),
+                      number(k + 54, 8), ethernet, ip, tcp)
+    part = F.floor(n / 1000).cast("long")
+    name = F.concat(F.lit("/captures/u"), u.cast("string"), F.lit("_"), part.cast("string"), F.lit(".pcap"))
+    files = e.select(name.alias("path"), n.alias("n"), record.alias("hex")).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("n", "hex"))).alias("records"))
+    header = "A1B2C3D4000200040000000000000000" + "0000FFFF00000001"
+    return files.select("path", F.unhex(F.concat(
+        F.lit(header), F.array_join(F.col("records.hex"), ""))).alias("content"))

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
-from pulseloom.catalog.core import CONN_ROWS, DAY, PACKETS
+from pulseloom.catalog.core import CONN, CONN_ROWS, DAY, PACKETS, TIE, WINDOWS
+from pulseloom.catalog.evaluate import RUNS
 from pulseloom.catalog.hourly import ROWS
-from pulseloom.operators import gaps, hourly
+from pulseloom.catalog.knowledge import INTEL
+from pulseloom.operators import gaps, hourly, knowledge, scoring, sequences
+from pulseloom.operators.evaluation import confusion, false_negative_windows
+from pulseloom.plans import beacons
 from pulseloom.session import shared_folder
-from pulseloom.sources import lines, sinks, tables
+from pulseloom.sources import captures, lines, sinks, tables
 from pulseloom.streaming import arrivals
 from pulseloom.streaming import connections as stream_connections
 from pulseloom.streaming.hourly import hourly_stream
@@ -213,3 +217,87 @@ def src3_files(spark, d):
         F.coalesce(F.sum(F.col("orig_bytes").try_cast("long")), F.lit(0).cast("long")).alias("octets"))
 
 
+
+
+@query("snk2_coverage_report", f"""WITH {CONN}, sizes AS (SELECT src_ip, dst_ip, count(*) AS n FROM conn GROUP BY ALL)
+SELECT 'events' AS source_file, sum(n)::BIGINT AS connection_rows, count(*) AS connection_groups,
+       count(*) FILTER (n >= 10) AS groups_with_sequence FROM sizes""")
+def snk2(spark, d):
+    folder = shared_folder(spark)
+    sinks.write_csv(sequences.sequence_coverage(A.connections_from_events(spark, d)), folder)
+    back = spark.read.option("header", True).csv(folder)
+    return back.select("source_file", *[F.col(c).cast("long").alias(c) for c in (
+        "connection_rows", "connection_groups", "groups_with_sequence")])
+
+
+@query("snk7_false_negative_file", f"""WITH {WINDOWS}
+SELECT src_ip, dst_ip, count(*) AS windows FROM win WHERE user_id % 3 = 0 AND probability < 0.55 GROUP BY ALL""")
+def snk7(spark, d):
+    folder = shared_folder(spark)
+    user = F.substring("src_ip", 2, 20).cast("long")
+    w = beacons.scored_windows(A.connections_from_events(spark, d), TIE).withColumn(
+        "label", F.when(user % 3 == 0, 1).otherwise(F.lit(0)))
+    sinks.write_csv(false_negative_windows(w, 0.55), folder)
+    return spark.read.option("header", True).csv(folder).groupBy("src_ip", "dst_ip").agg(
+        F.count(F.lit(1)).alias("windows"))
+
+
+@query("snk8_knowledge_base_rebuild", f"""WITH {INTEL}
+SELECT group_id, count(*) AS documents, max(length(text)) AS longest FROM docs GROUP BY ALL""")
+def snk8(spark, d):
+    folder = shared_folder(spark)
+    docs = knowledge.evidence_documents(A.intelligence_from_tables(spark, d))
+    for _ in range(2):  # a rebuild replaces what was there
+        sinks.write_knowledge_base(docs, folder)
+    return spark.read.parquet(folder).groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.max(F.length("text")).alias("longest"))
+
+
+@query("src7_intelligence_bundles", """
+SELECT type, count(*) AS objects, count(DISTINCT id) AS ids FROM (
+  SELECT 'intrusion-set' AS type, c_nationkey AS id FROM customer UNION ALL SELECT 'attack-pattern', p_partkey % 150 FROM part
+  UNION ALL SELECT CASE WHEN s_suppkey % 40 % 2 = 0 THEN 'malware' ELSE 'tool' END, s_suppkey % 40 FROM supplier) GROUP BY type""")
+def src7(spark, d):
+    folder = shared_folder(spark)
+    objects = A.intelligence_from_tables(spark, d).where(F.col("type") != "relationship")
+    # one bundle per thousand positions: every bundle is a small file of its own
+    bundles = objects.withColumn("bundle", F.floor(F.col("pos") / 1000)).groupBy("bundle").agg(
+        F.to_json(F.struct(F.collect_list(F.struct(*[c for c in objects.columns if c not in ("file_ord", "pos")]))
+                           .alias("objects"))).alias("value"))
+    bundles.write.partitionBy("bundle").text(folder)
+    back = tables.read_bundle_folder(spark, folder)
+    return back.groupBy("type").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("id").alias("ids"))
+
+
+@query("src9_run_reports", f"WITH {RUNS} SELECT seed, tp, fp, fn, tn, recall FROM runs")
+def src9(spark, d):
+    folder = shared_folder(spark)
+    s = A.scored_labels(spark, d).withColumn("seed", F.col("doc_id") % 5)
+    metrics = ["threshold", "tn", "fp", "fn", "tp", "recall", "fpr", "precision", "f1"]
+    reports = confusion(s, 0.5, ["seed"]).select("seed", F.to_json(F.struct(
+        F.col("seed"), F.struct(*metrics).alias("validation_windows"))).alias("value"), F.col("seed").alias("run"))
+    reports.select("run", "value").write.partitionBy("run").text(folder)
+    back = tables.read_run_reports(spark, folder, "*.txt")
+    return rounded(back.select("seed", "validation_windows.*"), 6, "recall").select("seed", "tp", "fp", "fn", "tn", "recall")
+
+
+@query("src11_capture_packets", """
+WITH p AS (SELECT *, epoch_us(ts) AS us, json_extract(props, '$.k')::BIGINT AS k,
+                  'u' || user_id || '_' || (event_id // 1000) || '.pcap' AS source_file,
+                  '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS client FROM events)
+SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY event_id) - 1 AS pkt_no,
+       round(us // 1000000 + (us % 1000000) * 1e-6, 6) AS ts, CASE WHEN event_id % 2 = 1 THEN '192.0.2.1' ELSE client END AS src_ip,
+       CASE WHEN event_id % 2 = 1 THEN client ELSE '192.0.2.1' END AS dst_ip,
+       CASE WHEN event_type = 'signup' THEN 2 WHEN event_type = 'error' THEN 17 ELSE 16 END AS flags, k % 4 AS seq,
+       (k + 54)::INT AS length FROM p""")
+def src11(spark, d):
+    packets = captures.decode_captures(A.capture_files_from_events(spark, d))
+    return rounded(packets, 6, "ts").select("source_file", "pkt_no", "ts", "src_ip", "dst_ip", "flags", "seq", "length")
+
+
+@query("ud1_window_arrays", f"""WITH {WINDOWS}
+SELECT src_ip, dst_ip, window_index, round(probability, 6) AS probability FROM win""")
+def ud1_arrays(spark, d):
+    rows = gaps.with_gap_features(A.feature_rows_from_events(spark, d), TIE)
+    scored = scoring.score_windows(sequences.sequence_windows(rows, TIE, features=sequences.FEATURES), scoring.regularity_blocks)
+    return rounded(scored, 6, "probability").select("src_ip", "dst_ip", "window_index", "probability")

@@ -118,10 +118,14 @@ def _decode(batches):
                 yield pd.DataFrame(rows, columns=PACKETS.names)
 
 
+def decode_captures(files: DataFrame) -> DataFrame:
+    """TCP packets over IPv4 and IPv6 of ``path, content`` rows, in file order; ``length`` is the
+    whole frame.  Records of a capture chain from front to back, so one capture is one task's work."""
+    return files.select("path", "content").mapInPandas(_decode, PACKETS)
+
+
 def read_captures(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """TCP packets over IPv4 and IPv6 in file order; ``length`` is the whole frame."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return files.mapInPandas(_decode, PACKETS)
+    return decode_captures(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
 
 
 def labelled_captures(files: DataFrame, limit: int = 0) -> DataFrame:

@@ -78,13 +78,15 @@ def read_mixtape(spark: SparkSession, path) -> DataFrame:
         F.monotonically_increasing_id().alias("line")))
 
 
+_BUNDLE = T.StructType([T.StructField("objects", T.ArrayType(STIX_OBJECT))])
+
+
 def read_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Objects of several intelligence bundles with ``file_ord`` and ``pos``: 'first' means the
     first file in the given order."""
-    bundle = T.StructType([T.StructField("objects", T.ArrayType(STIX_OBJECT))])
     parts = []
     for i, path in enumerate(paths):
-        raw = spark.read.option("multiLine", True).schema(bundle).json(path)
+        raw = spark.read.option("multiLine", True).schema(_BUNDLE).json(path)
         parts.append(raw.select(F.lit(i).alias("file_ord"), F.posexplode("objects").alias("pos", "o")).select(
             "file_ord", "pos", "o.*"))
     out = parts[0]
@@ -93,6 +95,13 @@ def read_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def read_bundle_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """All bundles below a folder; 'first' means the first path in text order."""
+    raw = spark.read.option("multiLine", True).option("recursiveFileLookup", "true").schema(_BUNDLE).json(folder)
+    return raw.select(F.col("_metadata.file_path").alias("file_ord"), F.posexplode("objects").alias("pos", "o")).select(
+        "file_ord", "pos", "o.*")
+
+
 def read_manifest(spark: SparkSession, path: str, only_files: list[str] | None = None) -> DataFrame:
     """The split manifest; missing columns or invalid rows are errors."""
     rows = spark.read.option("header", True).csv(path)
@@ -123,10 +132,11 @@ RUN_REPORT = (
 )
 
 
-def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
+def read_run_reports(spark: SparkSession, folder: str, pattern: str = "seed_*.json") -> DataFrame:
     """One row per training run; none found is an error."""
     rows = (
-        spark.read.option("multiLine", True).option("pathGlobFilter", "seed_*.json").schema(RUN_REPORT).json(folder)
+        spark.read.option("multiLine", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+        .schema(RUN_REPORT).json(folder)
     )
     if rows.isEmpty():
         raise FileNotFoundError(f"no run reports in {folder}")
