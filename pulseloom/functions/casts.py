@@ -10,22 +10,29 @@ def _text(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def to_double(text: Column) -> Column:
+    """Number text to DOUBLE, null if it is none.  The JVM also reads '1d' and '2f'; these are no numbers."""
+    t = F.trim(text)
+    suffix = F.lower(F.right(t, F.lit(1))).isin("d", "f") & ~F.lower(t).endswith("inf")
+    return F.when(~suffix, t.try_cast("double"))
+
+
 def first_non_blank(*columns) -> Column:
     """The first value that is not blank after trimming, returned untrimmed; null if none."""
     return F.coalesce(*[F.when(F.trim(_text(c)) != "", _text(c)) for c in columns])
 
 
 def number_or_zero(value) -> Column:
-    return F.coalesce(F.trim(_text(value).cast("string")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(to_double(_text(value).cast("string")), F.lit(0.0))
 
 
 def integer_or_zero(value) -> Column:
     """Truncate towards zero: '12.7' becomes 12."""
-    return F.coalesce(F.trim(_text(value).cast("string")).try_cast("double").try_cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(to_double(_text(value).cast("string")).try_cast("long"), F.lit(0).cast("long"))
 
 
 def number_or_null(value) -> Column:
-    return F.trim(_text(value).cast("string")).try_cast("double")
+    return to_double(_text(value).cast("string"))
 
 
 def number_if_present(value) -> Column:
@@ -37,7 +44,7 @@ def number_if_present(value) -> Column:
 def json_numbers(value) -> Column:
     """A JSON array of numbers; null if it is not one or if any element is not a number."""
     parts = F.from_json(_text(value), "array<string>")
-    numbers = F.transform(parts, lambda x: x.try_cast("double"))
+    numbers = F.transform(parts, to_double)
     return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
 
 

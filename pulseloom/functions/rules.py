@@ -32,6 +32,37 @@ CONCLUSIONS = {
 }
 
 
+MISSING = "未记录"
+UNKNOWN_PROTOCOL = "未识别应用层协议"
+LIMITED_SIMILARITY = "当前网络证据与该组织画像存在有限通信行为相似性。"
+
+# Points and reasons of the C2-likelihood score, and its exclusions.
+C2_REPEATS = [(1000, 30.0, "very_high_repeat_count"), (100, 24.0, "high_repeat_count"),
+              (20, 16.0, "moderate_repeat_count"), (5, 8.0, "repeated_connection")]
+C2_TERMS = {
+    "sustained": (10.0, "sustained_activity_within_window"),
+    "periodic": (18.0, "periodic_interval"),
+    "web": (10.0, "web_c2_capable_channel"),
+    "other_tcp": (4.0, "non_web_tcp_channel="),
+    "low_bytes": (8.0, "low_byte_repeated_traffic"),
+}
+C2_EXCLUSIONS = {
+    "dns": "excluded_dns_without_query_evidence",
+    "icmp": "excluded_icmp_without_payload_evidence",
+    "port": "excluded_infrastructure_port=",
+}
+
+# Heuristic beacon score by number of connections, bonus for regular spacing.
+BEACON_TIERS = [(1000, 95.0), (100, 85.0), (20, 70.0), (5, 55.0)]
+REGULAR_BONUS = 10.0
+
+# Decisions of the attribution gate.
+GATE = {
+    "none": "no_candidate", "weak": "insufficient_top1_similarity", "close": "ambiguous_top1_top2_gap",
+    "yes": "accepted",
+}
+
+
 def tier(value: Column, levels: list[tuple], default) -> Column:
     """The result of the first level whose bound the value reaches."""
     out = None
@@ -114,24 +145,23 @@ def report_risk_label(severity: Column, score_text: Column) -> Column:
 def c2_likelihood(n: Column, window: Column, interval: Column, octets: Column, port: Column,
                   protocol: Column, service: Column) -> tuple[Column, Column]:
     """(score, reasons) of an hourly aggregate; excluded traffic scores 0 with one reason."""
-    repeat = [(1000, 30.0, "very_high_repeat_count"), (100, 24.0, "high_repeat_count"),
-              (20, 16.0, "moderate_repeat_count"), (5, 8.0, "repeated_connection")]
     web = (protocol == "tcp") & port.isin(*WEB_PORTS)
     other_tcp = (protocol == "tcp") & ~port.isin(*WEB_PORTS, "", "unknown")
+    t, x = C2_TERMS, C2_EXCLUSIONS
     terms = [
-        (tier(n, [(b, p) for b, p, _ in repeat], 0.0), tier(n, [(b, r) for b, _, r in repeat], None)),
-        _term(window >= 1800, 10.0, "sustained_activity_within_window"),
-        _term(interval.between(5.0, 900.0) & (n >= 10), 18.0, "periodic_interval"),
-        _term(web, 10.0, "web_c2_capable_channel"),
-        _term(other_tcp, 4.0, F.concat(F.lit("non_web_tcp_channel="), port)),
-        _term((n >= 20) & (octets / n <= 800), 8.0, "low_byte_repeated_traffic"),
+        (tier(n, [(b, p) for b, p, _ in C2_REPEATS], 0.0), tier(n, [(b, r) for b, _, r in C2_REPEATS], None)),
+        _term(window >= 1800, *t["sustained"]),
+        _term(interval.between(5.0, 900.0) & (n >= 10), *t["periodic"]),
+        _term(web, *t["web"]),
+        _term(other_tcp, t["other_tcp"][0], F.concat(F.lit(t["other_tcp"][1]), port)),
+        _term((n >= 20) & (octets / n <= 800), *t["low_bytes"]),
     ]
     total = sum((p for p, _ in terms[1:]), terms[0][0])
-    reasons = F.filter(F.array(*[r for _, r in terms]), lambda x: x.isNotNull())
+    reasons = F.filter(F.array(*[r for _, r in terms]), lambda r: r.isNotNull())
     excluded = F.coalesce(
-        F.when((service == "dns") | (port == "53"), F.lit("excluded_dns_without_query_evidence")),
-        F.when(protocol == "icmp", F.lit("excluded_icmp_without_payload_evidence")),
-        F.when(port.isin(*INFRASTRUCTURE_PORTS), F.concat(F.lit("excluded_infrastructure_port="), port)),
+        F.when((service == "dns") | (port == "53"), F.lit(x["dns"])),
+        F.when(protocol == "icmp", F.lit(x["icmp"])),
+        F.when(port.isin(*INFRASTRUCTURE_PORTS), F.concat(F.lit(x["port"]), port)),
     )
     score = F.when(excluded.isNotNull(), F.lit(0.0)).otherwise(F.least(total, F.lit(100.0)))
     return score, F.when(excluded.isNotNull(), F.array(excluded)).otherwise(reasons)
@@ -143,9 +173,9 @@ def _term(condition: Column, points: float, reason) -> tuple[Column, Column]:
 
 
 def heuristic_beacon_score(n: Column, interval: Column) -> Column:
-    base = tier(n, [(1000, 95.0), (100, 85.0), (20, 70.0), (5, 55.0)], 0.0)
+    base = tier(n, BEACON_TIERS, 0.0)
     regular = interval.between(1.0, 3600.0) & (n >= 10)
-    return F.when(regular, F.least(base + 10.0, F.lit(100.0))).otherwise(base)
+    return F.when(regular, F.least(base + REGULAR_BONUS, F.lit(100.0))).otherwise(base)
 
 
 def attribution_confidence(top1: Column, top2: Column) -> Column:
@@ -157,10 +187,10 @@ def attribution_confidence(top1: Column, top2: Column) -> Column:
 
 def attribution_gate(top1: Column, top2: Column, min_top1: float = MIN_TOP1, min_gap: float = MIN_GAP) -> Column:
     return (
-        F.when(top1.isNull(), "no_candidate")
-        .when(top1 < min_top1, "insufficient_top1_similarity")
-        .when(top2.isNotNull() & (top1 - top2 < min_gap), "ambiguous_top1_top2_gap")
-        .otherwise(F.lit("accepted"))
+        F.when(top1.isNull(), GATE["none"])
+        .when(top1 < min_top1, GATE["weak"])
+        .when(top2.isNotNull() & (top1 - top2 < min_gap), GATE["close"])
+        .otherwise(F.lit(GATE["yes"]))
     )
 
 

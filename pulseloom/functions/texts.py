@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.functions.rules import RULE_DETECTOR, SEQUENCE_DETECTOR, any_of, chosen
+from pulseloom.functions.rules import RULE_DETECTOR, SEQUENCE_DETECTOR, chosen
 
 # Clauses of the retrieval query, in output order.
 QUERY_PREFIX = "使用以下特征的 APT 组织: "
@@ -56,6 +56,15 @@ SIGNAL_TEXT = {
 }
 
 
+# Line labels of an evidence document, in order, and its limits.
+DOCUMENT_LINES = {
+    "group": "Group: ", "aliases": "Aliases: ", "technique": "Technique: ", "tactic": "Tactic: Command and Control",
+    "evidence": "Evidence: ", "background": "Group description: ", "software": "Associated software/tools: ",
+}
+NO_ITEMS = "(none)"
+EVIDENCE_CHARS, BACKGROUND_CHARS = 900, 700
+
+
 class _Fields:
     """Columns of a threat row; a missing column reads as null of the asked type."""
 
@@ -185,17 +194,20 @@ def evidence_text(name: Column, aliases: Column, technique_id: Column, technique
                   relation_text: Column, technique_text: Column, group_text: Column, software: Column) -> Column:
     """The labelled text of one (group, technique) evidence document."""
     evidence = F.coalesce(F.nullif(relation_text, F.lit("")), technique_text, F.lit(""))
-    none = F.array(F.lit("(none)"))
+    d = DOCUMENT_LINES
+
+    def items(values):
+        return F.array_join(F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(NO_ITEMS))), ", ")
+
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Group: "), name),
-        F.concat(F.lit("Aliases: "), F.array_join(F.when(F.size(aliases) > 0, aliases).otherwise(none), ", ")),
-        F.concat(F.lit("Technique: "), technique_id, F.lit(" "), technique_name),
-        F.lit("Tactic: Command and Control"),
-        F.concat(F.lit("Evidence: "), F.substring(evidence, 1, 900)),
-        F.concat(F.lit("Group description: "), F.substring(F.coalesce(group_text, F.lit("")), 1, 700)),
-        F.concat(F.lit("Associated software/tools: "),
-                 F.array_join(F.when(F.size(software) > 0, software).otherwise(none), ", ")),
+        F.concat(F.lit(d["group"]), name),
+        F.concat(F.lit(d["aliases"]), items(aliases)),
+        F.concat(F.lit(d["technique"]), technique_id, F.lit(" "), technique_name),
+        F.lit(d["tactic"]),
+        F.concat(F.lit(d["evidence"]), F.substring(evidence, 1, EVIDENCE_CHARS)),
+        F.concat(F.lit(d["background"]), F.substring(F.coalesce(group_text, F.lit("")), 1, BACKGROUND_CHARS)),
+        F.concat(F.lit(d["software"]), items(software)),
     )
 
 
@@ -223,8 +235,3 @@ def without_citations(text: Column) -> Column:
     cut = F.regexp_replace(flat, r"(?i) *\(Citation: *[^)]+\)", "")
     return F.trim(F.regexp_replace(cut, " {2,}", " "))
 
-
-__all__ = [
-    "any_of", "evidence_text", "labelled_value", "query_text", "several_signals_text", "signal_text", "squeeze",
-    "text_digest", "without_citations",
-]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import casts, endpoints
+from pulseloom.functions.rules import MISSING, UNKNOWN_PROTOCOL
 from pulseloom.plans.hotgroups import DEFAULT, Limits, spread
 from pulseloom.schemas import OLD_FEATURES
 
@@ -182,14 +183,14 @@ def http_tls_facts(http: DataFrame, ssl: DataFrame, capture: str = "source_file"
 
     def profile(field):
         return casts.clean_value(F.coalesce(
-            F.nullif(F.col(f"first_http.{field}"), F.lit("")), F.col(f"first_tls.{field}")), "未记录")
+            F.nullif(F.col(f"first_http.{field}"), F.lit("")), F.col(f"first_tls.{field}")), MISSING)
 
     return joined.select(
         capture,
         n_http.alias("http_requests"), n_tls.alias("tls_sessions"),
-        F.when(n_http > 0, "HTTP").when(n_tls > 0, "TLS/HTTPS").otherwise(F.lit("未识别应用层协议")).alias("protocol"),
+        F.when(n_http > 0, "HTTP").when(n_tls > 0, "TLS/HTTPS").otherwise(F.lit(UNKNOWN_PROTOCOL)).alias("protocol"),
         profile("orig_h").alias("source"), profile("resp_h").alias("target"), profile("resp_p").alias("port"),
-        casts.clean_value(F.col("first_http.host"), "未记录").alias("first_host"),
+        casts.clean_value(F.col("first_http.host"), MISSING).alias("first_host"),
         F.coalesce("mismatches", F.lit(0).cast("long")).alias("mismatches"),
         F.col("first_mismatch.host").alias("mismatch_host"),
         F.col("first_mismatch.resp_h").alias("mismatch_target"),

@@ -69,11 +69,16 @@ def keyword_filter(rows: DataFrame, column: str, keyword: str) -> DataFrame:
     return rows.where(F.contains(F.lower(column), F.lit(word))) if word else rows
 
 
+def listing_totals(rows: DataFrame, page_size: int) -> DataFrame:
+    """Rows and pages of a listing; an empty listing has one page."""
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("total"), F.greatest(F.lit(1), F.ceil(n / F.lit(max(1, page_size)))).cast("long")
+                    .alias("total_pages"))
+
+
 def history_page(rows: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
     """One page, newest first, with the totals of the whole listing on every row."""
     page, size = max(1, page), max(1, page_size)
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return rows.orderBy(*order).offset((page - 1) * size).limit(size).withColumns({
-        "total": total,
-        "total_pages": F.greatest(F.lit(1), F.ceil(total / F.lit(size))).cast("long"),
-    })
+    totals = listing_totals(rows, size)
+    return rows.orderBy(*order).offset((page - 1) * size).limit(size).withColumns(
+        {c: totals.select(c).scalar() for c in totals.columns})

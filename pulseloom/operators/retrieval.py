@@ -122,10 +122,11 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, where: Column | None = None,
-           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Ranked hits with document columns: enough documents per query to roll up to ``k`` groups."""
+           by_group: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Ranked hits with document columns: enough documents per query to roll up to ``k`` groups, or
+    ``k`` documents without ``by_group``."""
     kept = docs.where(where) if where is not None else docs
-    wanted = hit_count(k, kept.count())
+    wanted = hit_count(k, kept.count()) if by_group else k
     hits = nearest(queries, kept, wanted, broadcast_bytes)
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(w))
@@ -211,7 +212,6 @@ def association_rows(candidates: DataFrame, details: DataFrame, sample_technique
     ``details`` maps ``technique_id`` to a display name; the list of a candidate keeps evidence
     order and holds every name once.
     """
-    none = "当前网络证据与该组织画像存在有限通信行为相似性。"
     top = candidates.where(F.col("candidate_rank") <= shown)
     shared = F.array_distinct(F.filter("matched_techniques", lambda t: F.array_contains(sample_techniques, t)))
     exploded = top.withColumn("_shared", shared).select(
@@ -223,5 +223,5 @@ def association_rows(candidates: DataFrame, details: DataFrame, sample_technique
     return joined.select(
         "query_id", "candidate_rank", "name",
         F.concat(F.format_string("%.1f", F.col("score") * 100), F.lit("%")).alias("association"),
-        F.when(F.size("_names") > 0, F.array_join("_names", "、")).otherwise(F.lit(none)).alias("matching_behaviors"),
+        F.when(F.size("_names") > 0, F.array_join("_names", "、")).otherwise(F.lit(rules.LIMITED_SIMILARITY)).alias("matching_behaviors"),
     )

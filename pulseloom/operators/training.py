@@ -57,3 +57,33 @@ def predict(model, windows: DataFrame) -> DataFrame:
 
 def model_metadata(features: list[str] = FEATURES) -> dict:
     return {"feature_cols": features, "seq_length": SEQUENCE_LENGTH, "input_shape": [SEQUENCE_LENGTH, len(features)]}
+
+
+def repeated_runs(train: DataFrame, validation: DataFrame, test: DataFrame, seeds: list[int], group_keys: list[str],
+                  share: float = 0.8) -> DataFrame:
+    """One row of metrics per seed: fit on a seeded share of the training windows, choose the
+    threshold on validation windows, report both levels on validation and test.
+
+    Windows carry ``label`` and scaled ``steps``.  Use :func:`evaluation.best_run` on
+    ``validation_windows`` to select and :func:`evaluation.stability` to report.
+    """
+    spark = train.sparkSession
+    wanted = ["threshold", "tn", "fp", "fn", "tp", "recall", "fpr", "precision", "f1"]
+    rows = []
+    for seed in seeds:
+        # the same window falls to the same side whenever the seed is the same
+        draw = F.pmod(F.xxhash64(F.lit(seed), *group_keys, "window_index"), F.lit(1000)) < F.lit(int(share * 1000))
+        model = fit_classifier(train.where(draw))
+        scored = {"validation": predict(model, validation), "test": predict(model, test)}
+        loss = scored["validation"].agg(F.avg(-F.log(F.greatest(F.when(
+            F.col("label") == 1, F.col("probability")).otherwise(1 - F.col("probability")), F.lit(1e-7))))).first()[0]
+        threshold = evaluation.choose_threshold(evaluation.threshold_sweep(scored["validation"])).first()["threshold"]
+        row = {"seed": seed, "val_loss": loss}
+        for name, windows in scored.items():
+            groups = evaluation.group_scores(windows, group_keys)
+            for level, data in (("windows", windows), ("groups", groups)):
+                row[f"{name}_{level}"] = evaluation.confusion(data, threshold).select(*wanted).first().asDict()
+        rows.append(row)
+    metric = "struct<" + ",".join(f"{n}:{'long' if n in ('tn', 'fp', 'fn', 'tp') else 'double'}" for n in wanted) + ">"
+    sections = [f"{n}_{level} {metric}" for n in ("validation", "test") for level in ("windows", "groups")]
+    return spark.createDataFrame(rows, "seed long, val_loss double, " + ", ".join(sections))

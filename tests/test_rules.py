@@ -86,8 +86,8 @@ def test_casts(spark):
         spark, a=casts.integer_or_zero(F.lit("12.7")), b=casts.number_or_zero(F.lit("-")), c=casts.number_or_null(F.lit("-")),
         d=casts.number_if_present(F.lit(" ")), e=casts.number_if_present(F.lit("x")), f=casts.json_numbers(F.lit("[1, 2.5]")),
         g=casts.json_numbers(F.lit('[1, "x"]')), h=casts.json_numbers(F.lit("no")), i=casts.first_non_blank(F.lit("  "), F.lit(" a ")),
-        j=casts.clean_value(F.lit("(empty)"), "?"))
-    assert tuple(row) == (12, 0.0, None, None, 0.0, [1.0, 2.5], None, None, " a ", "?")
+        j=casts.clean_value(F.lit("(empty)"), "?"), k=casts.number_or_null(F.lit("1d")), l=casts.number_or_zero(F.lit(" -2e3 ")))
+    assert tuple(row) == (12, 0.0, None, None, 0.0, [1.0, 2.5], None, None, " a ", "?", None, -2000.0)
 
 
 def test_query_text(spark):
