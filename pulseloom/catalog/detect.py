@@ -390,8 +390,7 @@ SELECT event_id, w AS iat_oresp_total, list_min(list_transform(p, lambda x: x.v)
 FROM t""")
 def agg9(spark, d):
     m = A.mixtape_from_events(spark, d).where(F.size("ts_intervals") > 0)
-    stats = histogram.histogram_statistics(F.col("ts_intervals"), F.col("ts_interval_counts"))
-    out = m.select(F.col("row_no").alias("event_id"), *stats)
+    out = histogram.with_histogram_statistics(m, "ts_intervals", "ts_interval_counts").withColumnRenamed("row_no", "event_id")
     return rounded(out, 6, *OLD_FEATURES[3:]).select("event_id", *OLD_FEATURES[:9])
 
 
@@ -403,9 +402,8 @@ SELECT event_id, round(list_reverse_sort(c)[1] / list_sum(c), 6) AS first,
        round(coalesce(list_reverse_sort(c)[2] / list_sum(c), 0), 6) AS second FROM h""")
 def sc24(spark, d):
     m = A.mixtape_from_events(spark, d).where(F.size("ts_intervals") > 0)
-    stats = histogram.histogram_statistics(F.col("ts_intervals"), F.col("ts_interval_counts"))
-    return m.select(F.col("row_no").alias("event_id"), *stats).select(
-        "event_id", F.round("iat_oresp_nf_0", 6).alias("first"), F.round("iat_oresp_nf_1", 6).alias("second"))
+    return histogram.with_histogram_statistics(m, "ts_intervals", "ts_interval_counts").select(
+        F.col("row_no").alias("event_id"), F.round("iat_oresp_nf_0", 6).alias("first"), F.round("iat_oresp_nf_1", 6).alias("second"))
 
 
 @query("sc23_array_cast", """

@@ -13,7 +13,7 @@ def _text(value) -> Column:
 def to_double(text: Column) -> Column:
     """Number text to DOUBLE, null if it is none.  The JVM also reads '1d' and '2f'; these are no numbers."""
     t = F.trim(text)
-    suffix = F.lower(F.right(t, F.lit(1))).isin("d", "f") & ~F.lower(t).endswith("inf")
+    suffix = F.right(t, F.lit(1)).isin("d", "D", "f", "F") & (F.lower(F.right(t, F.lit(3))) != "inf")
     return F.when(~suffix, t.try_cast("double"))
 
 

@@ -94,12 +94,11 @@ def canonical(column: str) -> Column:
     and the usual IPv4-mapped form take a short branch.
     """
     text = f"trim(coalesce(`{column}`, ''))"
-    common = f"regexp_extract({text}, r'{_MAPPED}', 1)"
     parsed = _let("regexp_extract(s, '(%[^%]+)$', 1)", "z", _let(
         _groups_sql("regexp_replace(s, '%[^%]+$', '')"), "g",
         f"coalesce(CASE WHEN z = '' THEN {_mapped_sql('g')} END, concat({_shortest_sql('g')}, z), s)"))
-    return F.expr(f"CASE WHEN NOT contains({text}, ':') OR {text} = '::' THEN {text} "
-                  f"WHEN {common} <> '' THEN {common} ELSE {_let(text, 's', parsed)} END")
+    common = _let(f"regexp_extract(s, r'{_MAPPED}', 1)", "m", f"CASE WHEN m <> '' THEN m ELSE {parsed} END")
+    return F.expr(f"CASE WHEN NOT contains({text}, ':') OR {text} = '::' THEN {text} ELSE {_let(text, 's', common)} END")
 
 
 def is_wildcard(dst: Column) -> Column:

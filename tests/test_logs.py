@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import histogram, logs
 from pulseloom.plans.hotgroups import Limits
-from pulseloom.schemas import MIXTAPE
+from pulseloom.schemas import MIXTAPE, OLD_FEATURES
 
 CONN = "row_no long, ts string, orig_h string, resp_h string, resp_p string, orig_bytes string, resp_bytes string"
 THREAT = "threat_id string, src_ip string, dst_ip string, dst_port string"
@@ -32,8 +32,9 @@ def test_unparsable_bytes_drop_the_row(spark):
 
 
 def test_histogram_statistics(spark):
-    row = spark.createDataFrame([([0.0, 1.0, 9.0, 4.0], [1.0, 2.0, 4.0, 0.0])], "v array<double>, c array<double>").select(
-        *histogram.histogram_statistics(F.col("v"), F.col("c"))).first()
+    df = spark.createDataFrame([([0.0, 1.0, 9.0, 4.0], [1.0, 2.0, 4.0, 0.0]), ([], [])], "v array<double>, c array<double>")
+    row, empty = histogram.with_histogram_statistics(df, "v", "c").orderBy(F.desc(F.size("v"))).select(*OLD_FEATURES).collect()
+    assert list(empty) == [0.0] * 15
     mean = 38 / 7
     std = math.sqrt((mean ** 2 + 2 * (1 - mean) ** 2 + 4 * (9 - mean) ** 2) / 7)
     assert list(row)[:8] == pytest.approx([38, 0, 9, mean, std, 4 / 7, 2 / 7, 1 / 7]) and list(row)[8:] == [0.0] * 7
