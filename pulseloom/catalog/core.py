@@ -411,6 +411,13 @@ def d8(spark, d):
     return scoring.run_status(c, best, scoring.alerts(best, 0.5))
 
 
+@query("agg3_communications", f"""WITH {BEST}
+SELECT src_ip, dst_ip, dst_port, window_count, round(probability, 6) AS max_probability, probability >= 0.5 AS flagged FROM best""")
+def agg3_communications(spark, d):
+    best = scoring.best_windows(windows(spark, d))
+    return rounded(scoring.communications(best, 0.5), 6, "max_probability").drop("source_file", "ip_protocol")
+
+
 @query("set1_union_of_files", f"""WITH {CONN}, {FLOWS.strip()}
 SELECT source_file, src_ip, dst_ip, count(*) AS n, round(max(start_time), 6) AS last_start FROM (
   SELECT source_file, src_ip, dst_ip, start_time FROM conn UNION ALL

@@ -760,6 +760,25 @@ def sc28(spark, d):
         facts.behaviour_techniques(F.col("http_requests"), F.col("mismatches")), ";").alias("techniques"))
 
 
+@query("agg16_findings", f"""WITH {FACTS}
+SELECT source_file, CASE WHEN mismatches > 0 THEN '服务身份与真实目标不一致 HTTP Host 为 `' || mismatch_host || '`，实际连接目标为 `' || mismatch_target || ':' ||
+         (SELECT arg_min(resp_p, n) FROM flag WHERE mismatch AND flag.source_file = f.source_file) || '`。' ELSE '' END AS abnormal,
+       CASE WHEN mismatches = 0 THEN 'HTTP 通信已被识别 共记录 ' || http_requests || ' 条 HTTP 请求，主要 Host 为 `' ||
+            CASE WHEN h0 = '' THEN '未记录' ELSE h0 END || '`。|' ELSE '' END || 'TLS 服务信息可识别 SNI 为 `' || tls_sni || '`，目标地址为 `' ||
+         tls_targets || '`，协议版本为 `' || tls_versions || '`。|时序检测未告警 ' AS benign FROM f""")
+def agg16_findings(spark, d):
+    from pulseloom.operators import facts
+
+    web = A.web_logs_from_events(spark, d)
+    f = logs.http_tls_facts(web, web).withColumn("sequence_state", F.lit("normal"))
+    abnormal, benign = facts.findings()
+
+    def text(values):
+        return F.array_join(F.transform(values, lambda x: F.concat(x["finding"], F.lit(" "), x["evidence"])), "|")
+
+    return f.select("source_file", text(abnormal).alias("abnormal"), text(benign).alias("benign"))
+
+
 @query("sc26_overall_decision", f"""WITH {DETECTIONS},
 t AS (SELECT src_ip, count(*) FILTER (threat_category = 'high') AS n FROM merged GROUP BY ALL)
 SELECT src_ip, CASE WHEN n > 0 THEN 'malicious_c2' ELSE 'benign_or_low_risk' END AS classification,

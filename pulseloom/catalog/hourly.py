@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.functions import texts
-from pulseloom.operators import hourly
+from pulseloom.operators import evaluation, hourly
 from pulseloom.sources import lines
 
 ROWS = """
@@ -188,3 +188,12 @@ def flt7(spark, d):
         F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string")).alias("source_file"), "event_id",
         F.struct(F.floor(F.col("event_id") / 1000).cast("long").alias("block"), F.col("event_id").alias("line")).alias("at"))
     return lines.stride_sample(e, ["source_file"], 3).select("source_file", "row_no", "event_id")
+
+
+@query("ev6_sample_summary", f"""WITH {AGG}
+SELECT label, count(*) AS sampled_count, count(*) FILTER (c2_score >= 40) AS c2_candidate_count,
+       count(*) FILTER (c2_score < 40) AS c2_filtered_count, round(avg(c2_score), 6) AS mean_sample_c2_score
+FROM smp GROUP BY label""")
+def ev6_samples(spark, d):
+    s = hourly.stratified_sample(hourly.with_c2_score(hourly.hourly_aggregates(_clean(spark, d))))
+    return rounded(evaluation.sample_summary(s, 40.0), 6, "mean_sample_c2_score")

@@ -219,14 +219,24 @@ def src3_files(spark, d):
 
 
 
-@query("snk2_coverage_report", f"""WITH {CONN}, sizes AS (SELECT src_ip, dst_ip, count(*) AS n FROM conn GROUP BY ALL)
-SELECT 'events' AS source_file, sum(n)::BIGINT AS connection_rows, count(*) AS connection_groups,
-       count(*) FILTER (n >= 10) AS groups_with_sequence FROM sizes""")
+@query("snk2_coverage_report", f"""WITH {CONN},
+cap AS (SELECT 's__cap' || (user_id % 25) AS source_file, src_ip, dst_ip FROM conn),
+sizes AS (SELECT source_file, src_ip, dst_ip, count(*) AS n FROM cap GROUP BY ALL),
+cov AS (SELECT source_file, sum(n)::BIGINT AS r, count(*) AS g, count(*) FILTER (n >= 10) AS u FROM sizes GROUP BY ALL)
+SELECT 'cap' || (n_nationkey * 2) AS file_name, n_name AS scenario, coalesce(r, 0) AS connection_rows,
+       coalesce(g, 0) AS connection_groups, coalesce(u, 0) AS groups_with_sequence
+FROM nation LEFT JOIN cov ON source_file = 's__cap' || (n_nationkey * 2)""")
 def snk2(spark, d):
     folder = shared_folder(spark)
-    sinks.write_csv(sequences.sequence_coverage(A.connections_from_events(spark, d)), folder)
+    user = F.substring("src_ip", 2, 20).cast("long")
+    rows = A.connections_from_events(spark, d).withColumn(
+        "source_file", F.concat(F.lit("s__cap"), (user % 25).cast("string")))
+    manifest = A.table(spark, d, "nation").select(
+        F.concat(F.lit("cap"), (F.col("n_nationkey") * 2).cast("string")).alias("file_name"), F.lit("benign").alias("label"),
+        F.lit("train").alias("split"), F.lit("s").alias("source"), F.col("n_name").alias("scenario"))
+    sinks.write_csv(sequences.coverage_report(rows, manifest), folder)
     back = spark.read.option("header", True).csv(folder)
-    return back.select("source_file", *[F.col(c).cast("long").alias(c) for c in (
+    return back.select("file_name", "scenario", *[F.col(c).cast("long").alias(c) for c in (
         "connection_rows", "connection_groups", "groups_with_sequence")])
 
 

@@ -171,6 +171,14 @@ def retrieval_by_label(details: DataFrame, confidence_threshold: float, label: s
         F.avg("score_gap").alias("mean_score_gap"))
 
 
+def sample_summary(samples: DataFrame, threshold: float, label: str = "label") -> DataFrame:
+    """Per label: samples, those that pass the C2 gate, those that do not, and the mean C2 score."""
+    passed = F.col("c2_score") >= threshold
+    return samples.groupBy(label).agg(
+        F.count(F.lit(1)).alias("sampled_count"), F.count_if(passed).alias("c2_candidate_count"),
+        F.count_if(~passed).alias("c2_filtered_count"), F.avg("c2_score").alias("mean_sample_c2_score"))
+
+
 def attribution_summary(details: DataFrame, confidence_threshold: float, label: str = "label") -> DataFrame:
     """One row of overall rates; the benign rate is null without benign rows."""
     n = F.count(F.lit(1))

@@ -94,8 +94,8 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
                         names=["query_id", "doc_id", "distance"])
 
         # a distance block costs far more than its bytes suggest: use all cores
-        wide = queries.select("query_id", "vector").repartition(
-            max(queries.sparkSession.sparkContext.defaultParallelism, 1))
+        cores = max(queries.sparkSession.sparkContext.defaultParallelism, 1)
+        wide = queries.select("query_id", "vector").repartition(cores, "query_id")
         return wide.mapInArrow(run, schema)
 
     blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
@@ -139,29 +139,41 @@ def group_candidates(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     A query has at most eight times ``k`` hits, so the lists stay small.
     """
     key = F.coalesce(F.nullif("group_id", F.lit("")), F.nullif("name", F.lit("")), F.col("doc_id").cast("string"))
-    has_list, has_text = "c2_techniques" in hits.columns, "text" in hits.columns
-    known = F.col("c2_techniques") if has_list else F.filter(
-        F.array("technique_id"), lambda t: F.coalesce(t, F.lit("")) != "")
+    def have(name, default):
+        return F.col(name) if name in hits.columns else default
+
+    blank = F.lit("")
+    known = have("c2_techniques", F.filter(F.array("technique_id"), lambda t: F.coalesce(t, blank) != ""))
     chunk = F.struct("rank", "doc_id", "score", "distance", "technique_id",
-                     (F.col("text") if has_text else F.lit("")).alias("text"), known.alias("known"))
+                     have("technique_name", blank).alias("technique_name"), have("text", blank).alias("text"),
+                     known.alias("known"))
+    profile = [c for c in ("aliases", "mitre_url", "technique_count", "c2_technique_count") if c in hits.columns]
     grouped = hits.withColumn("candidate", key).groupBy("query_id", "candidate").agg(
         F.min_by("name", "rank").alias("name"),
+        *[F.min_by(c, "rank").alias(c) for c in profile],
         F.min("distance").alias("distance"),
         F.max("score").alias("top_score"),
         F.count(F.lit(1)).alias("chunk_count"),
         F.min("rank").alias("first_rank"),
         F.array_sort(F.collect_list(chunk)).alias("_chunks"),
     )
+    named = F.filter("_chunks", lambda c: F.coalesce(c["technique_id"], blank) != "")
     evidence = F.slice("_chunks", 1, 5)
-    techniques = F.filter(F.transform("_chunks", lambda c: c["technique_id"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    details = F.transform(
+        F.filter(evidence, lambda c: F.coalesce(c["technique_id"], blank) != ""),
+        lambda c: F.struct(c["technique_id"].alias("id"), c["technique_name"].alias("name"),
+                           texts.labelled_value(c["text"], "Evidence").alias("evidence")))
+    first_text = F.get(F.col("_chunks"), F.lit(0))["text"]
     df = grouped.select(
-        "query_id", "candidate", "name", "distance",
+        "query_id", "candidate", "name", *profile, "distance",
         F.least(F.lit(1.0), F.col("top_score") + 0.03 * (F.least("chunk_count", F.lit(3)) - 1)).alias("score"),
         "chunk_count", "first_rank",
         evidence.alias("evidence_chunks"),
-        F.slice(techniques, 1, 5).alias("matched_techniques"),
+        F.slice(F.transform(named, lambda c: c["technique_id"]), 1, 5).alias("matched_techniques"),
+        details.alias("matched_technique_details"),
         F.array_distinct(F.flatten(F.transform("_chunks", lambda c: c["known"]))).alias("c2_techniques"),
-        texts.labelled_value(F.get(F.col("_chunks"), F.lit(0))["text"], "Group description").alias("background"),
+        texts.labelled_value(first_text, "Group description").alias("background"),
+        texts.labelled_value(first_text, "Associated software/tools").alias("associated_software"),
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_rank")
     return df.withColumn("candidate_rank", F.row_number().over(w)).where(F.col("candidate_rank") <= k)

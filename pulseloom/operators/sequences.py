@@ -107,6 +107,16 @@ def sequence_coverage(rows: DataFrame, keys: list[str] = GROUP_KEYS, by: str = "
     )
 
 
+def coverage_report(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Coverage of every capture of the manifest; a capture without connections has zeros."""
+    name = F.concat("source", F.lit("__"), "file_name")
+    listed = manifest.select("file_name", "label", "split", "source", "scenario", name.alias("source_file"))
+    covered = listed.join(sequence_coverage(rows), "source_file", "left")
+    zero = F.lit(0).cast("long")
+    return covered.select("file_name", "label", "split", "source", "scenario", *[
+        F.coalesce(c, zero).alias(c) for c in ("connection_rows", "connection_groups", "groups_with_sequence")])
+
+
 def window_statistics(
     rows: DataFrame, tie: list[str], label: str, keys: list[str] = GROUP_KEYS,
     cap: int = TRAIN_WINDOW_CAP, limits: Limits = DEFAULT,

@@ -102,9 +102,10 @@ def _tcp(packet: bytes):
 
 
 def _decode(batches):
+    rows = []
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"]):
-            name, rows = path.rsplit("/", 1)[-1], []
+            name = path.rsplit("/", 1)[-1]
             for no, (ts, link, wire, frame) in enumerate(_frames(data)):
                 found = _tcp(_network(link, frame))
                 if found is None:
@@ -114,8 +115,8 @@ def _decode(batches):
                 if len(rows) >= ROWS_PER_BATCH:
                     yield pd.DataFrame(rows, columns=PACKETS.names)
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=PACKETS.names)
+    if rows:
+        yield pd.DataFrame(rows, columns=PACKETS.names)
 
 
 def decode_captures(files: DataFrame) -> DataFrame:
