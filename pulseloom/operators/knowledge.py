@@ -89,9 +89,13 @@ def _uses(objects: DataFrame) -> DataFrame:
         F.col("at").alias("used_at"))
 
 
+def _group_ids(objects: DataFrame) -> DataFrame:
+    return objects.where(F.col("type") == "intrusion-set").select(F.col("id").alias("group_id")).distinct()
+
+
 def group_techniques(objects: DataFrame) -> DataFrame:
     """One row per (group, technique) edge."""
-    g = groups(objects).select("group_id")
+    g = _group_ids(objects)
     return _uses(objects).join(g, "group_id", "left_semi").join(techniques(objects), "id").select(
         "group_id", "used_at", F.col("id").alias("technique_ref"), "technique_id", "name", "description",
         "relationship_desc", "is_c2")
@@ -99,7 +103,7 @@ def group_techniques(objects: DataFrame) -> DataFrame:
 
 def group_software(objects: DataFrame) -> DataFrame:
     """One row per (group, software) edge."""
-    g = groups(objects).select("group_id")
+    g = _group_ids(objects)
     return _uses(objects).join(g, "group_id", "left_semi").join(software(objects), "id").select(
         "group_id", "used_at", F.col("id").alias("software_ref"), "type", "name", "description", "relationship_desc")
 
@@ -130,18 +134,21 @@ def first_software(objects: DataFrame, n: int = 10) -> DataFrame:
 
 def evidence_documents(objects: DataFrame) -> DataFrame:
     """One document per (group, C2 technique): id, text, metadata columns."""
-    profiles = group_profiles(objects)
-    c2 = c2_techniques(objects).withColumn("technique_id", F.coalesce(F.nullif("technique_id", F.lit("")), F.lit("unknown")))
-    lists = c2.groupBy("group_id").agg(
-        F.transform(F.array_sort(F.collect_list(_AT("used_at", "technique_id"))), lambda x: x["technique_id"])
-        .alias("c2_techniques"))
+    edges = group_techniques(objects).withColumn(
+        "technique_id", F.when(F.col("is_c2"), F.coalesce(F.nullif("technique_id", F.lit("")), F.lit("unknown"))))
+    per_group = edges.groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("technique_count"), F.count_if("is_c2").alias("c2_technique_count"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("is_c2"), _AT("used_at", "technique_id")))),
+                    lambda x: x["technique_id"]).alias("c2_techniques"))
     none = F.array().cast("array<string>")
     joined = (
-        c2.select("group_id", "technique_id", F.col("name").alias("technique_name"),
-                  F.col("description").alias("_technique_text"), "relationship_desc", "used_at")
-        .join(profiles, "group_id").join(lists, "group_id").join(first_software(objects), "group_id", "left")
+        edges.where("is_c2")
+        .select("group_id", "technique_id", F.col("name").alias("technique_name"),
+                F.col("description").alias("_technique_text"), "relationship_desc")
+        .join(groups(objects), "group_id").join(per_group, "group_id")
+        .join(first_software(objects), "group_id", "left")
     )
-    aliases = F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(F.array(F.lit("(none)")))
+    aliases = F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(F.array(F.lit(texts.NO_ITEMS)))
     text = texts.evidence_text(
         F.col("name"), F.col("aliases"), F.col("technique_id"), F.col("technique_name"), F.col("relationship_desc"),
         F.col("_technique_text"), F.col("description"), F.coalesce("software", none))
