@@ -456,8 +456,9 @@ def ud2(spark, d):
     rows = rows.withColumn("label", F.when(user % 3 == 0, 1).otherwise(F.lit(0)))
     full = gaps.with_gap_features(rows, TIE)
     scaler = sequences.fit_scaler(sequences.window_row_weights(full, TIE))
-    w = sequences.sequence_windows(full, TIE, features=FEATURES, label="label")
-    w = training.scale_steps(sequences.sample_windows(w, full), scaler)
+    scaled = training.scale_rows(full, scaler)
+    w = sequences.sequence_windows(scaled, TIE, features=[f"z_{c}" for c in FEATURES], label="label")
+    w = sequences.sample_windows(w, full)
     scored = training.predict(training.fit_classifier(w), w)
     return scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("windows"), F.round(F.avg("probability"), 3).alias("mean_probability"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import rules
@@ -88,9 +88,8 @@ def choose_threshold(sweep: DataFrame, target_recall: float = TARGET_RECALL, max
 def class_weights(rows: DataFrame, label: str = "label", multiplier: float = 1.0) -> DataFrame:
     """Balanced weights n / (classes * n_class); class 1 is multiplied."""
     per_class = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    totals = per_class.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))
-    n, k = totals.select("n").scalar(), totals.select("k").scalar()
-    weight = n / (k * F.col("n_class"))
+    classes = Window.partitionBy(F.lit(0))  # one row per class
+    weight = F.sum("n_class").over(classes) / (F.count(F.lit(1)).over(classes) * F.col("n_class"))
     return per_class.select(
         label, "n_class", F.when(F.col(label) == 1, weight * multiplier).otherwise(weight).alias("weight"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseloom.operators import evaluation, ranks
 from pulseloom.plans.hotgroups import DEFAULT, Limits
 from pulseloom.schemas import FEATURES, SEQUENCE_LENGTH, SPLITS
+from pulseloom.session import materialise
 
 
 def impute_medians(rows: DataFrame, features: list[str] = FEATURES, limits: Limits = DEFAULT) -> DataFrame:
@@ -38,8 +39,20 @@ def scale_steps(windows: DataFrame, scaler: DataFrame, features: list[str] = FEA
         (x - F.element_at(mean, (i % n + 1).cast("int"))) / F.element_at(std, (i % n + 1).cast("int"))).cast("float")))
 
 
+def scale_rows(rows: DataFrame, scaler: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    """Add ``z_<feature>``: the same scaling on rows, a tenth of the work of scaling their windows."""
+    row = scaler.first()
+    return rows.withColumns({
+        f"z_{c}": (F.col(c).cast("float") - F.lit(float(row[f"mean_{c}"]))) / F.lit(float(row[f"std_{c}"])) for c in features
+    })
+
+
 def fit_classifier(windows: DataFrame, label: str = "label", reg: float = 0.01, max_iter: int = 20):
-    """Class-weighted logistic regression on the flattened window vector."""
+    """Class-weighted logistic regression on the flattened window vector.
+
+    The optimiser passes over the windows many times, so they are written once.
+    """
+    windows = materialise(windows)
     weights = evaluation.class_weights(windows, label)
     weighted = windows.join(F.broadcast(weights.select(label, "weight")), label)  # one row per class
     ready = weighted.withColumn("features", array_to_vector(F.col("steps").cast("array<double>")))

@@ -41,3 +41,20 @@ def test_repeated_runs(spark):
     assert evaluation.best_run(flat).first().recall == 1.0
     assert evaluation.stability(flat, ["recall"]).first()["std"] == 0.0
     assert runs.select(F.countDistinct("val_loss")).first()[0] == 2
+
+
+def test_scaling_rows_equals_scaling_windows(spark):
+    from pulseloom.operators import sequences
+
+    rows = spark.createDataFrame(
+        [("f", "a", "b", 1, "tcp", float(i), float(i * i), 0.5, i) for i in range(25)],
+        "source_file string, src_ip string, dst_ip string, dst_port int, ip_protocol string, start_time double, "
+        "flow_gap double, gap_rolling_cv double, n int")
+    names = ["flow_gap", "gap_rolling_cv"]
+    scaler = sequences.fit_scaler(sequences.window_row_weights(rows, ["n"]), names)
+    late = training.scale_steps(sequences.sequence_windows(rows, ["n"], features=names), scaler, names)
+    early = sequences.sequence_windows(training.scale_rows(rows, scaler, names), ["n"], features=["z_" + n for n in names])
+    a, b = (sorted((r.window_index, tuple(r.steps)) for r in x.collect()) for x in (late, early))
+    assert len(a) == 16
+    for (i, x), (j, y) in zip(a, b):
+        assert i == j and x == pytest.approx(y)
