@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pulseloom.functions.casts import clean_value, number_or_null, number_or_zero
+from pulseloom.functions.casts import clean_value, number_or_null
 from pulseloom.schemas import (
     BEACON_LEVELS, C2_TECHNIQUES, DNS_LEVELS, INFRASTRUCTURE_PORTS, LONG_LEVELS, MIN_GAP, MIN_TOP1, WEB_PORTS,
 )
