@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, chat, langid, licenses, token_counts, urls
+from pulseloom.llm import bpe, chat, langid, lattice, licenses, simhash, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,12 @@ def op4_url_rules(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), literal_rows(spark, ["host", "path", "verdict"], URL_RULES))
 
 
+@query("op3_simhash_groups")
+def op3_simhash_groups(spark, sf_dir):
+    found = simhash.groups(table(spark, sf_dir, "documents"), 3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark, sf_dir):
     return bpe.round_trip(
@@ -104,3 +110,10 @@ def op9_language_id(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     profiles = langid.learn(documents.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
     return langid.predict(documents, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_lattice_links")
+def op10_lattice_links(spark, sf_dir):
+    found = lattice.near_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return found.select(
+        "vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
