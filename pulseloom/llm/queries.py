@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, chat, langid, lattice, licenses, simhash, token_counts, urls
+from pulseloom.llm import bpe, chat, langid, lattice, licenses, repeats, simhash, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,14 @@ def op4_url_rules(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), literal_rows(spark, ["host", "path", "verdict"], URL_RULES))
 
 
+@query("op2_repeated_passages")
+def op2_repeated_passages(spark, sf_dir):
+    found = repeats.cut_repeats(table(spark, sf_dir, "documents"), 200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_simhash_groups")
 def op3_simhash_groups(spark, sf_dir):
     found = simhash.groups(table(spark, sf_dir, "documents"), 3, radius=2)
