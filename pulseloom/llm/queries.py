@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, chat, langid, lattice, licenses, repeats, simhash, token_counts, urls
+from pulseloom.llm import bpe, chat, langid, lattice, leaks, licenses, repeats, simhash, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,11 @@ def op4_url_rules(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), literal_rows(spark, ["host", "path", "verdict"], URL_RULES))
 
 
+@query("op1_benchmark_leaks")
+def op1_benchmark_leaks(spark, sf_dir):
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_repeated_passages")
 def op2_repeated_passages(spark, sf_dir):
     found = repeats.cut_repeats(table(spark, sf_dir, "documents"), 200)
