@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.functions import rules
-from pulseloom.operators import connections, gaps, ranks, scoring, sequences, training
+from pulseloom.operators import connections, evaluation, gaps, ranks, scoring, sequences, training
 from pulseloom.plans import beacons
 from pulseloom.plans.hotgroups import spread
-from pulseloom.schemas import FEATURES, GROUP_KEYS, IAT_FEATURES
+from pulseloom.sources.tables import with_aliases
+from pulseloom.schemas import FEATURES, GROUP_KEYS
+
+IAT_FEATURES = [f for f in FEATURES if f.startswith("packet_iat_")]
 
 TIE = ["event_id"]
 DAY = 86400.0
@@ -358,11 +361,9 @@ def agg3(spark, d):
 SELECT src_ip, dst_ip, max(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS label,
        round(max(probability), 6) AS probability FROM win GROUP BY ALL""")
 def agg4(spark, d):
-    from pulseloom.operators.evaluation import group_scores
-
     user = F.substring("src_ip", 2, 20).cast("long")
     w = windows(spark, d).withColumn("label", F.when(user % 3 == 0, 1).otherwise(F.lit(0)))
-    return rounded(group_scores(w, ["src_ip", "dst_ip"]), 6, "probability")
+    return rounded(evaluation.group_scores(w, ["src_ip", "dst_ip"]), 6, "probability")
 
 
 @query("flt3_alert_threshold", f"WITH {ALERTS} SELECT src, dst, port, proto, event_count FROM alerts")
@@ -441,8 +442,6 @@ def chk2(spark, d):
 SELECT 'zeek' AS source_file, 'u' || user_id AS src_ip, event_type AS dst_ip, '443' AS dst_port, count(*) AS n
 FROM events GROUP BY ALL""")
 def prj1(spark, d):
-    from pulseloom.sources.tables import with_aliases
-
     old = conn(spark, d).select(
         F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), F.lit("443").alias("port"),
         F.col("ip_protocol").alias("proto"), F.col("start_time").alias("ts"))

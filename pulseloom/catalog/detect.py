@@ -626,10 +626,9 @@ def sc8(spark, d):
 @query("top2_threat_order", f"""WITH {DETECTIONS}
 SELECT src_ip, dst_ip, dst_port, protocol, threat_category, lstm_confidence, round(beacon_score, 6) AS beacon_score
 FROM merged JOIN prio ON name = threat_category
-ORDER BY rank, lstm_confidence DESC, merged.beacon_score DESC, src_ip, dst_ip, dst_port, protocol LIMIT 100""")
+ORDER BY rank, lstm_confidence DESC, merged.beacon_score DESC, src_ip, dst_ip, dst_port, protocol""")
 def top2(spark, d):
-    first = merge.threat_order(_merged(spark, d)).limit(100)
-    return rounded(first, 6, "beacon_score").select(*ALERT_KEYS, "threat_category", "lstm_confidence", "beacon_score")
+    return rounded(merge.threat_order(_merged(spark, d)), 6, "beacon_score").select(*ALERT_KEYS, "threat_category", "lstm_confidence", "beacon_score")
 
 
 @query("top5_strongest_threats", f"""WITH {DETECTIONS}

@@ -9,7 +9,9 @@ from pulseloom.catalog import query, rounded
 from pulseloom.catalog.core import TIE, WINDOWS
 from pulseloom.catalog.detect import BEACON
 from pulseloom.operators import evaluation, highrisk, overview, scoring
+from pulseloom.operators.training import model_metadata
 from pulseloom.plans import beacons
+from pulseloom.schemas import FEATURES
 from pulseloom.sources import captures, tables
 
 SCORED = """
@@ -256,11 +258,8 @@ def src12(spark, d):
 @query("ud4_model_check", f"""
 SELECT event_type, count(*) AS rows, '' AS problems FROM events GROUP BY ALL""")
 def ud4(spark, d):
-    from pulseloom.operators.training import model_metadata
-
     rows = A.feature_rows_from_events(spark, d)
-    full = [*rows.columns, "flow_gap", "log_flow_gap", "gap_rolling_mean", "gap_rolling_std", "gap_rolling_cv",
-            "gap_rolling_median", "gap_rolling_iqr"]
+    full = [*rows.columns, *[f for f in FEATURES if "gap" in f]]
     problems = "; ".join(scoring.check_model({**model_metadata(), "threshold": 0.99}, full))
     return rows.groupBy(F.col("dst_ip").alias("event_type")).agg(
         F.count(F.lit(1)).alias("rows"), F.lit(problems).alias("problems"))
@@ -269,7 +268,5 @@ def ud4(spark, d):
 @query("chk1_required_columns", "SELECT 'label' AS missing, count(*) AS rows FROM events GROUP BY ALL")
 def chk1(spark, d):
     rows = A.feature_rows_from_events(spark, d)
-    gaps = ["flow_gap", "log_flow_gap", "gap_rolling_mean", "gap_rolling_std", "gap_rolling_cv", "gap_rolling_median",
-            "gap_rolling_iqr"]
-    missing = tables.missing_columns([*rows.columns, *gaps], labelled=True)
+    missing = tables.missing_columns([*rows.columns, *[f for f in FEATURES if "gap" in f]], labelled=True)
     return rows.agg(F.lit(",".join(missing)).alias("missing"), F.count(F.lit(1)).alias("rows"))

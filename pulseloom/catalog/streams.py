@@ -266,12 +266,13 @@ def snk8(spark, d):
 @query("src7_intelligence_bundles", """
 SELECT type, count(*) AS objects, count(DISTINCT id) AS ids FROM (
   SELECT 'intrusion-set' AS type, c_nationkey AS id FROM customer UNION ALL SELECT 'attack-pattern', p_partkey % 150 FROM part
-  UNION ALL SELECT CASE WHEN s_suppkey % 40 % 2 = 0 THEN 'malware' ELSE 'tool' END, s_suppkey % 40 FROM supplier) GROUP BY type""")
+  UNION ALL SELECT CASE WHEN s_suppkey % 40 % 2 = 0 THEN 'malware' ELSE 'tool' END, s_suppkey % 40 FROM supplier
+  UNION ALL SELECT 'relationship', 0 FROM lineitem) GROUP BY type""")
 def src7(spark, d):
     folder = shared_folder(spark)
-    objects = A.intelligence_from_tables(spark, d).where(F.col("type") != "relationship")
-    # one bundle per thousand positions: every bundle is a small file of its own
-    bundles = objects.withColumn("bundle", F.floor(F.col("pos") / 1000)).groupBy("bundle").agg(
+    objects = A.intelligence_from_tables(spark, d)
+    # about a thousand objects a bundle, each bundle a file of its own
+    bundles = objects.withColumn("bundle", F.pmod(F.xxhash64("type", "pos"), F.lit(objects.count() // 1000 + 1))).groupBy("bundle").agg(
         F.to_json(F.struct(F.collect_list(F.struct(*[c for c in objects.columns if c not in ("file_ord", "pos")]))
                            .alias("objects"))).alias("value"))
     bundles.write.partitionBy("bundle").text(folder)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.plans.hotgroups import DEFAULT, Limits, spread
+from pulseloom.plans.hotgroups import DEFAULT, Limits, join_null_safe, spread
 from pulseloom.schemas import IAT_PREFIX, IDLE_SECONDS
+from pulseloom.session import materialise
 
 PAIR = ["source_file", "lo_ip", "lo_port", "hi_ip", "hi_port"]
 FLOW = [*PAIR, "key_forward"]
@@ -48,7 +49,9 @@ def orient(packets: DataFrame) -> DataFrame:
         F.min(F.when(F.col("syn") & F.col("forward"), F.col("pkt_no"))).alias("_syn_forward"),
         F.min(F.when(F.col("syn") & ~F.col("forward"), F.col("pkt_no"))).alias("_syn_backward"),
     )
-    joined = p.join(facts, PAIR, "inner")
+    # written first: a small table is then broadcast by its size, and a large one joins behind two shuffles, which Spark
+    # splits where one pair holds many packets
+    joined = join_null_safe(p, materialise(facts), PAIR, "inner")
     own_syn = F.when(F.col("forward"), F.col("_syn_forward")).otherwise(F.col("_syn_backward"))
     own = (
         F.col("syn") | (F.col("forward") == F.col("_first_forward"))

@@ -41,7 +41,7 @@ def group_scores(scored: DataFrame, keys: list[str], label: str = "label", score
         F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.max(score).alias(score))
     if mixed == "error":
         checked = F.when(F.col("_lo") == F.col("_hi"), F.col("_hi")).otherwise(
-            F.raise_error(F.lit("A communication group contains mixed labels")).cast("int"))
+            F.raise_error(F.lit("mixed labels in one group")).cast("int"))
     else:
         checked = F.col("_hi")
     return g.select(*keys, checked.alias(label), score)

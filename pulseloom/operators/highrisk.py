@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.functions import casts, endpoints, rules
+from pulseloom.plans.hotgroups import join_null_safe
+from pulseloom.session import materialise
 
 # Accepted names per field, first match wins.
 ALIASES = {
@@ -62,7 +64,8 @@ def scored_rows(df: DataFrame, capture: str = "source_file") -> DataFrame:
         "subdomain_value": casts.number_or_zero(pick(df, "subdomains")),
     })
     top = raw.groupBy(capture).agg(F.max("_raw").alias("_top"))
-    joined = raw.join(top, capture, "inner")
+    # one row per capture, written first: broadcast if it is small, else a join that Spark splits on large captures
+    joined = join_null_safe(raw, materialise(top), [capture], "inner")
     return joined.withColumns({
         "beacon_value": F.when(F.col("_top") <= 1.5, F.col("_raw") * 100.0).otherwise(F.col("_raw")),
         "dns_value": rules.dns_value(F.col("subdomain_value"), F.col("dns_score")),

@@ -189,8 +189,29 @@ def open_translations(entries: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def with_translation(rows: DataFrame, text: str, target: str, cache: DataFrame) -> DataFrame:
-    """Add the cached translation of a text column; absent ones stay null."""
-    keyed = rows.withColumn("_h", texts.text_digest(texts.squeeze(F.col(text))))
-    usable = cache.where(F.coalesce(F.col("zh"), F.lit("")) != "").select(
-        F.col("source_hash").alias("_h"), F.col("zh").alias(target)).dropDuplicates(["_h"])
-    return keyed.join(usable, "_h", "left").drop("_h")
+    """Add the cached translation of a text column; absent ones stay null.
+
+    Digest and text have to match; of several translations of a text the alphabetically first is taken.
+    """
+    value = texts.squeeze(F.col(text))
+    keyed = rows.withColumns({"_h": texts.text_digest(value), "_t": value})
+    usable = cache.where(F.coalesce(F.col("zh"), F.lit("")) != "").groupBy(
+        F.col("source_hash").alias("_h"), F.col("source_text").alias("_t")).agg(F.min("zh").alias(target))
+    return keyed.join(usable, ["_h", "_t"], "left").drop("_h", "_t")
+
+
+def with_candidate_translations(candidates: DataFrame, techniques: DataFrame, cache: DataFrame) -> DataFrame:
+    """Candidates (``group_id``, ``background``) with ``background_zh`` and ``matched_techniques``, the translated techniques.
+
+    ``techniques`` has one row per matched technique of a candidate: ``group_id``, ``technique_id``, ``name``, ``evidence`` and
+    ``description``.  They are listed by id, each with ``name_zh``, ``evidence_zh`` and ``description_zh`` (null where the cache
+    has none).  A candidate without techniques gets an empty list.
+    """
+    named = techniques
+    for column in ("name", "evidence", "description"):
+        named = with_translation(named, column, f"{column}_zh", cache)
+    fields = ["technique_id", "name", "name_zh", "evidence", "evidence_zh", "description", "description_zh"]
+    listed = named.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("matched_techniques"))
+    out = with_translation(candidates, "background", "background_zh", cache).join(listed, "group_id", "left")
+    empty = F.array().cast(listed.schema["matched_techniques"].dataType)
+    return out.withColumn("matched_techniques", F.coalesce("matched_techniques", empty))

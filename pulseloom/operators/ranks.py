@@ -58,17 +58,14 @@ def exact_medians(df: DataFrame, columns: list[str], limits: Limits = DEFAULT) -
         *[F.count(F.col(c)).alias(f"n_{c}") for c in live],
         *[F.count_if(F.col(c) < F.lit(float(bracket[c][0]))).alias(f"below_{c}") for c in live],
     )
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in live
-    ])) if live else None
-    if pairs is None:
+    if not live:
         return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in columns])
-    inside = df.select(pairs.alias("p")).select("p.column", "p.value")
-    window = F.create_map(*[x for c in live for x in (F.lit(c), F.array(
-        F.lit(float(bracket[c][0])), F.lit(float(bracket[c][1]))))])
-    limits_of = F.element_at(window, F.col("column"))
+    # a value outside its bracket is null before anything is exploded, so nearly every row gives nothing
+    within = F.array_compact(F.array(*[
+        F.when(F.col(c).cast("double").between(float(bracket[c][0]), float(bracket[c][1])),
+               F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))) for c in live]))
     counts = (
-        inside.where(F.col("value").between(F.get(limits_of, F.lit(0)), F.get(limits_of, F.lit(1))))
+        df.select(F.explode(within).alias("p")).select("p.column", "p.value")
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running_totals(counts, ["column"], "value", ["_n"], limits)

@@ -33,6 +33,10 @@ def hit_count(k: int, documents: int, over_fetch: int = 8) -> int:
 
 
 def _matrix(column) -> np.ndarray:
+    """Vectors of equal length as rows; a null or a shorter one is an error, never a shifted row."""
+    lengths = set(column.value_lengths().to_pylist())
+    if len(lengths) > 1 or None in lengths:
+        raise ValueError(f"vectors of different lengths: {sorted(map(str, lengths))}")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
@@ -63,8 +67,9 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
     ``queries`` has ``query_id, vector`` and ``docs`` has ``doc_id, embedding``; ids are BIGINT.
     A document table whose vectors fit ``broadcast_bytes`` is shipped to every task once.  A larger
     one is cut into parts of that size; blocks of queries meet every part in tasks of their own and
-    the partial results are merged.  Only the nearest hits of a task ever leave it.
+    the partial results are merged.  Only the nearest hits of a task ever leave it.  Null vectors are left out.
     """
+    queries, docs = queries.where(F.col("vector").isNotNull()), docs.where(F.col("embedding").isNotNull())
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 0
     schema = T.StructType([

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.plans.hotgroups import DEFAULT, Limits, Spread, spread
+from pulseloom.plans.hotgroups import DEFAULT, Limits, Spread, join_null_safe, spread
 from pulseloom.schemas import FEATURES, GROUP_KEYS, SEQUENCE_LENGTH, SORT_COLUMN, TRAIN_WINDOW_CAP
+from pulseloom.session import materialise
 
 
 def feature_vector(df: DataFrame, features: list[str] = FEATURES) -> Column:
@@ -88,7 +89,7 @@ def sample_windows(windows: DataFrame, rows: DataFrame, keys: list[str] = GROUP_
                    cap: int = TRAIN_WINDOW_CAP) -> DataFrame:
     """Keep all windows of small groups and ``cap`` evenly spaced ones of large groups."""
     counts = window_counts(rows, keys)
-    joined = windows.join(counts, keys, "inner")
+    joined = join_null_safe(windows, materialise(counts), keys, "inner")
     n, i = F.col("windows") - 1, F.col("window_index")
     # i is kept iff some k in 0..cap-1 has (k * n) div (cap - 1) = i; the only candidate is the
     # smallest k with k * n >= i * (cap - 1).
@@ -156,7 +157,7 @@ def window_row_weights(
     s = spread(rows, keys, SORT_COLUMN, tie=tie, rows_back=0, limits=limits)
     indexed = s.with_df(s.df.withColumn("_row", s.index(s.window(SORT_COLUMN, *tie)))).finish()
     counts = window_counts(rows, keys)
-    joined = indexed.join(counts, keys, "inner")
+    joined = join_null_safe(indexed, materialise(counts), keys, "inner")
     n = F.col("windows")
     first, last = F.greatest(F.col("_row") - (SEQUENCE_LENGTH - 1), F.lit(0)), F.least(F.col("_row"), n - 1)
     # kept starts in [first, last]: all of them, or the k whose (k * (n - 1)) div (cap - 1) falls inside

@@ -26,7 +26,7 @@ def check_both_classes(rows: DataFrame, label: str = "label", split: str = "spli
     found = {r[split]: r["n"] for r in rows.groupBy(split).agg(F.countDistinct(label).alias("n")).collect()}
     for name in SPLITS:
         if found.get(name, 0) != 2:
-            raise ValueError(f"{name} split must contain both classes")
+            raise ValueError(f"rows of one class only in {name}")
 
 
 def scale_steps(windows: DataFrame, scaler: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -73,21 +73,23 @@ def model_metadata(features: list[str] = FEATURES) -> dict:
 
 
 def repeated_runs(train: DataFrame, validation: DataFrame, test: DataFrame, seeds: list[int], group_keys: list[str],
-                  share: float = 0.8) -> DataFrame:
-    """One row of metrics per seed: fit on a seeded share of the training windows, choose the
+                  share: float = 1.0) -> DataFrame:
+    """One row of metrics per seed: fit on a seeded share of the training windows (all of them by default), choose the
     threshold on validation windows, report both levels on validation and test.
 
     Windows carry ``label`` and scaled ``steps``.  Use :func:`evaluation.best_run` on
     ``validation_windows`` to select and :func:`evaluation.stability` to report.
     """
     spark = train.sparkSession
+    train, validation, test = materialise(train), materialise(validation), materialise(test)
     wanted = ["threshold", "tn", "fp", "fn", "tp", "recall", "fpr", "precision", "f1"]
     rows = []
     for seed in seeds:
         # the same window falls to the same side whenever the seed is the same
         draw = F.pmod(F.xxhash64(F.lit(seed), *group_keys, "window_index"), F.lit(1000)) < F.lit(int(share * 1000))
-        model = fit_classifier(train.where(draw))
-        scored = {"validation": predict(model, validation), "test": predict(model, test)}
+        model = fit_classifier(train.where(draw) if share < 1.0 else train)
+        # read by the sweep and by four reports, so scored once
+        scored = {"validation": materialise(predict(model, validation)), "test": materialise(predict(model, test))}
         loss = scored["validation"].agg(F.avg(-F.log(F.greatest(F.when(
             F.col("label") == 1, F.col("probability")).otherwise(1 - F.col("probability")), F.lit(1e-7))))).first()[0]
         threshold = evaluation.choose_threshold(evaluation.threshold_sweep(scored["validation"])).first()["threshold"]

@@ -36,8 +36,8 @@ class Limits:
 
 
 DEFAULT = Limits()
-_CUTS = 4096  # quantile steps per hot group
-_FAN = 64  # cut points are looked up in two levels of this width
+_CUTS = 16_384  # quantile steps per hot group; a group that needs nearly all blocks gets nearly that many
+_FAN = 128  # cut points are looked up in two levels of this width
 
 
 @dataclass
@@ -87,10 +87,11 @@ class Spread:
         )
         earlier = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         carried = per_block.select(*self.keys, BLOCK, *[agg(n).over(earlier).alias(n) for n in partials])
-        return self.with_df(_join_null_safe(written, F.broadcast(carried), [*self.keys, BLOCK], "left"))
+        return self.with_df(join_null_safe(written, F.broadcast(carried), [*self.keys, BLOCK], "left"))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi join in which null keys meet; the keys of ``left`` stay."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
@@ -116,6 +117,8 @@ def spread(
         sizes = table.groupBy(*wider).agg(F.count(F.lit(1)).alias("n"))
         if sizes.where(F.col("n") > limits.min_rows).isEmpty():
             return Spread(df, list(keys), list(keys), False)
+        # something is hot: what lies upstream runs once, and rows are counted from files, not behind a join
+        df = materialise(df)
     heavy = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > limits.min_rows)
@@ -126,15 +129,16 @@ def spread(
         return Spread(df, list(keys), list(keys), False)
 
     # the steps below read the rows several times, so write what lies upstream once
-    df = materialise(df)
+    if probe is None:
+        df = materialise(df)
     target = max(limits.min_rows, math.ceil(heavy["rows"] / limits.max_blocks))
     at = F.col(order).cast("double")
-    steps = [k / _CUTS for k in range(1, _CUTS)]
+    steps = ",".join(f"{k / _CUTS!r}D" for k in range(1, _CUTS))
     pieces = F.least(F.ceil(F.col("n") / F.lit(target)), F.lit(_CUTS)).cast("int")
     hot_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > target)
     hot = (
-        _join_null_safe(df.select(*dict.fromkeys([*keys, order])), F.broadcast(hot_keys), keys, "inner")
-        .groupBy(*keys, "n").agg(F.percentile_approx(at, steps, 10_000).alias("_q"))
+        join_null_safe(df.select(*dict.fromkeys([*keys, order])), F.broadcast(hot_keys), keys, "inner").withColumn("_at", at)
+        .groupBy(*keys, "n").agg(F.expr(f"percentile_approx(_at, array({steps}), 50000)").alias("_q"))
         .withColumn("_cuts", F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.greatest(pieces - 1, F.lit(1))),
             lambda k: F.get(F.col("_q"), (k * F.lit(_CUTS) / pieces).cast("int") - 1))))
@@ -150,7 +154,7 @@ def spread(
         .when(at.isNull() | (coarse == 0), F.lit(0))
         .otherwise((coarse - 1) * _FAN + fine).cast("long")
     )
-    located = _join_null_safe(df, F.broadcast(hot), keys, "left").withColumn(BLOCK, block_of)
+    located = join_null_safe(df, F.broadcast(hot), keys, "left").withColumn(BLOCK, block_of)
     by_block = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         located.where(F.col("_fans").isNotNull())
@@ -159,7 +163,7 @@ def spread(
         .withColumn("_offset", F.coalesce(F.sum("_n").over(by_block), F.lit(0)))
         .withColumn("_tails_before", F.coalesce(F.sum("_tail").over(by_block), F.lit(0)))
     )
-    tagged = _join_null_safe(
+    tagged = join_null_safe(
         located.drop("_fans"),
         F.broadcast(blocks.drop("_n")), [*keys, BLOCK], "left")
     base = F.col("_offset") - F.least(F.col("_offset"), F.lit(rows_back))
@@ -187,5 +191,5 @@ def spread(
             F.greatest(F.col("_tails_before") - rows_back + 1, F.lit(1).cast("long")), F.col("_tails_before")
         )).alias("_t"),
     )
-    halo = _join_null_safe(tails, wanted, [*keys, "_t"], "inner").withColumn(HALO, F.lit(True)).drop("_t")
+    halo = join_null_safe(tails, wanted, [*keys, "_t"], "inner").withColumn(HALO, F.lit(True)).drop("_t")
     return Spread(plain.unionByName(halo), list(keys), [*keys, BLOCK], True)

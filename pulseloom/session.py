@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def local_session(app: str = "pulseloom", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     return (
@@ -24,12 +29,31 @@ def local_session(app: str = "pulseloom", cpus: str = "*", shuffle_partitions: i
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Only a local session may leave that unset; it gets a temporary folder that goes with the process.  On a cluster the
+    machines don't share a temporary folder, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pulseloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this session's steps have written, once their results are no longer read."""
+    folders = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(folders)
 
 
 def materialise(df: DataFrame) -> DataFrame:

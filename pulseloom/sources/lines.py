@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.endpoints import collapse_name
-
-MAX_LAYOUTS = 200
+from pulseloom.session import materialise
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -50,31 +49,28 @@ def parse_csv_with_preamble(lines: DataFrame, rule=collapse_name, header_prefix:
     """CSV rows after an arbitrary preamble, all text, columns renamed by ``rule``.
 
     The header of a file is its first non-blank line with a comma (or with ``header_prefix``).
-    Only the distinct header lines reach the driver; their number is checked.
+    Every line is parsed once, as wide as the widest header, and a column is taken from the place where its file's header has
+    it (the last, if twice).  Only the distinct header lines reach the driver, since they decide the output columns.
     """
     keys = list(keys)
     text = F.trim("value")
     is_header = F.col("value").startswith(header_prefix) if header_prefix else F.col("value").contains(",")
     headers = lines.where((text != "") & is_header).groupBy(*keys).agg(
         F.min_by("value", "at").alias("_header"), F.min("at").alias("_header_at"))
-    body = lines.where(text != "").join(headers, keys).where(F.col("at") > F.col("_header_at"))
-    layouts = [r["_header"] for r in headers.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect()]
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
-    parts = []
-    for header in layouts:
-        names = [rule(n) for n in next(csv.reader([header]))]
-        last = {n: i for i, n in enumerate(names) if n}
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        row = F.from_csv("value", F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"})
-        parsed = body.where(F.col("_header") == header).withColumn("_r", row)
-        parts.append(parsed.select(*keys, "at", *[F.col(f"_r.c{i}").alias(n) for n, i in last.items()]))
-    if not parts:
-        return body.select(*keys, "at").limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    layouts = {r["_header"]: [rule(n) for n in next(csv.reader([r["_header"]]))] for r in headers.select("_header").distinct().collect()}
+    names = list(dict.fromkeys(n for found in layouts.values() for n in found if n))
+    if not names:
+        return lines.join(headers, keys).select(*keys, "at").limit(0)
+    wide = max(map(len, layouts.values()))
+    places = [(h, [max((i for i, m in enumerate(found) if m == n), default=None) for n in names]) for h, found in layouts.items()]
+    table = lines.sparkSession.createDataFrame(places, "_header string, _places array<int>")
+    # one row per file, written first: broadcast by its size, or else a join in which Spark splits a large file
+    placed = materialise(headers.join(table, "_header").drop("_header"))
+    body = lines.where(text != "").join(placed, keys).where(F.col("at") > F.col("_header_at"))
+    row = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(wide))), {"escape": '"', "mode": "PERMISSIVE"})
+    parsed = body.withColumn("_r", row).withColumn("_r", F.array(*[F.col(f"_r.c{i}") for i in range(wide)]))
+    return parsed.select(*keys, "at", *[
+        F.get("_r", F.get("_places", F.lit(k))).alias(n) for k, n in enumerate(names)])
 
 
 def parse_tsv_logs(lines: DataFrame, columns: dict[str, str], keys: list[str] = ("path",)) -> DataFrame:
@@ -84,7 +80,7 @@ def parse_tsv_logs(lines: DataFrame, columns: dict[str, str], keys: list[str] =
     ``#`` lines too; a field that the file does not have is null.
     """
     keys = list(keys)
-    fields = F.slice(F.split("value", "\t"), 2, 10_000)
+    fields = F.expr(r"slice(split(value, '\t'), 2, size(split(value, '\t')))")
     headers = lines.where(F.col("value").startswith("#fields")).groupBy(*keys).agg(
         F.max_by(fields, "at").alias("_fields"))
     # positions are looked up once per file, not once per row
@@ -93,7 +89,7 @@ def parse_tsv_logs(lines: DataFrame, columns: dict[str, str], keys: list[str] =
         *[(F.array_position("_fields", F.lit(f)) - 1).cast("int").alias(f"_p_{n}") for f, n in columns.items()])
     values = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(
         *keys, "at", F.split("value", "\t").alias("_values"))
-    joined = values.join(headers, keys).where(F.size("_values") == F.col("_width"))
+    joined = values.join(materialise(headers), keys).where(F.size("_values") == F.col("_width"))
     return joined.select(*keys, "at", *[
         F.when(F.col(f"_p_{n}") >= 0, F.get("_values", F.col(f"_p_{n}"))).alias(n) for n in columns.values()])
 

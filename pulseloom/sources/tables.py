@@ -46,7 +46,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
 def load_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """All feature files of one split; unknown splits, no rows or missing columns are errors."""
     if split not in SPLITS:
-        raise ValueError(f"unknown split {split!r}; expected one of {SPLITS}")
+        raise ValueError(f"{split!r} is not among the splits {', '.join(SPLITS)}")
     rows = spark.read.option("header", True).option("enforceSchema", False).csv(f"{folder.rstrip('/')}/{split}")
     if not rows.columns or rows.isEmpty():
         raise ValueError(f"no rows for split {split!r}")
