@@ -13,6 +13,7 @@ from pulseloom.catalog.knowledge import INTEL
 from pulseloom.operators import gaps, hourly, knowledge, scoring, sequences
 from pulseloom.operators.evaluation import confusion, false_negative_windows
 from pulseloom.plans import beacons
+from pulseloom.schemas import PACKETS as PACKET_TYPE
 from pulseloom.session import shared_folder
 from pulseloom.sources import captures, lines, sinks, tables
 from pulseloom.streaming import arrivals
@@ -28,6 +29,14 @@ def _run(spark, stream, folder):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _write_in_time_order(packets, path, files=5):
+    """Packets as ``files`` files that arrive one after the other, earlier packets first."""
+    span = packets.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor((F.col("ts") - span[0]) * files / (span[1] - span[0] + 1.0)), F.lit(files - 1))
+    for k in range(files):
+        packets.where(part == k).coalesce(1).write.mode("append").parquet(path)
+
+
 def _source(spark, df, folder):
     df.write.parquet(f"{folder}/in")
     return spark.readStream.schema(df.schema).parquet(f"{folder}/in")
@@ -61,7 +70,8 @@ def st2(spark, d):
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         folder = shared_folder(spark)
-        packets = _source(spark, A.packets_from_events(spark, d), folder)
+        _write_in_time_order(A.packets_from_events(spark, d), f"{folder}/in")
+        packets = spark.readStream.schema(PACKET_TYPE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         out = _run(spark, stream_connections.connection_stream(packets, idle_seconds=DAY), folder)
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
@@ -99,10 +109,10 @@ SELECT CASE WHEN key_forward THEN '10.0.0.' || user_id ELSE '192.0.2.1' END AS s
 FROM b WHERE p >= 0.5""")
 def st3(spark, d):
     folder = shared_folder(spark)
-    A.packets_from_events(spark, d).write.parquet(f"{folder}/in")
-    arrivals.start_arrivals(spark, f"{folder}/in", f"{folder}/alerts", 0.5, checkpoint=f"{folder}/checkpoint",
-                            files_per_trigger=1_000_000, available_now=True, idle_seconds=DAY).awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts").select("src", "dst", "confidence")
+    _write_in_time_order(A.packets_from_events(spark, d), f"{folder}/in")
+    arrivals.start_arrivals(spark, f"{folder}/in", f"{folder}/out", 0.5, checkpoint=f"{folder}/checkpoint",
+                            files_per_trigger=1, available_now=True, idle_seconds=DAY).awaitTermination()
+    return arrivals.current_alerts(spark, f"{folder}/out").select("src", "dst", "confidence")
 
 
 @query("snk1_feature_files", """

@@ -14,7 +14,7 @@ from pulseloom.schemas import IDLE_SECONDS
 
 _STATE = (
     "start_no long, start_time double, last_time double, seen_time double, has_syn boolean, seq long, "
-    "confidence double, ended boolean, orig_packets long, resp_packets long, orig_bytes long, resp_bytes long"
+    "confidence double, ended boolean, orig_packets long, resp_packets long, orig_bytes long, resp_bytes long, open boolean"
 )
 _FIELDS = [f.split()[0] for f in _STATE.split(", ")]
 OUTPUT = (
@@ -38,8 +38,11 @@ def sessions(packets: DataFrame, lateness: str = "10 minutes", idle_seconds: flo
 class ConnectionBuilder(StatefulProcessor):
     """Two open connections at most per endpoint pair, one per direction.
 
-    Packets of a batch are taken in time order; a connection leaves the state when a newer one
-    replaces it or when the watermark passes its idle limit.
+    Packets of a batch are taken in time order; a connection is given out when a newer one
+    replaces it or when the watermark passes its idle limit.  What decides the direction and the
+    confidence of later packets (who sent first, which side sent a SYN) stays in the state when the
+    connection is gone, so a stream in any number of batches gives the rows of the batch plan.  The
+    state holds two small records per endpoint pair of a capture.
     """
 
     def __init__(self, idle_seconds: float):
@@ -61,15 +64,15 @@ class ConnectionBuilder(StatefulProcessor):
             forward, ts, syn = bool(p.forward), float(p.ts), bool(p.syn)
             side = forward if syn or forward in state or (not forward) not in state else not forward
             c = state.get(side)
-            fresh = c is None or ts - c["seen_time"] > self._idle or (
+            fresh = c is None or not c["open"] or ts - c["seen_time"] > self._idle or (
                 syn and (c["ended"] or not c["has_syn"] or c["seq"] != p.seq))
             if fresh:
-                if c is not None:
+                if c is not None and c["open"]:
                     done.append(self._row(key, side, c))
                 c = state[side] = dict(
                     start_no=int(p.pkt_no), start_time=ts, last_time=ts, seen_time=ts, has_syn=syn,
                     seq=int(p.seq) if syn else 0, confidence=1.0 if syn else (c["confidence"] if c else 0.0),
-                    ended=False, orig_packets=0, resp_packets=0, orig_bytes=0, resp_bytes=0)
+                    ended=False, orig_packets=0, resp_packets=0, orig_bytes=0, resp_bytes=0, open=True)
             origin = "orig" if forward == side else "resp"
             c[f"{origin}_packets"] += 1
             c[f"{origin}_bytes"] += int(p.length)
@@ -78,7 +81,8 @@ class ConnectionBuilder(StatefulProcessor):
             c["ended"] = c["ended"] or bool(p.ends)
         for side, c in state.items():
             self._open.updateValue((side,), tuple(c[f] for f in _FIELDS))
-            self._handle.registerTimer(int((c["last_time"] + self._idle) * 1000) + 1)
+            if c["open"]:
+                self._handle.registerTimer(int((c["last_time"] + self._idle) * 1000) + 1)
         if done:
             yield pd.DataFrame(done, columns=_COLUMNS)
 
@@ -86,9 +90,9 @@ class ConnectionBuilder(StatefulProcessor):
         now = expiredTimerInfo.getExpiryTimeInMs() / 1000.0
         done = []
         for side, c in [(k[0], dict(zip(_FIELDS, v))) for k, v in self._open.iterator()]:
-            if now - c["last_time"] > self._idle:
+            if c["open"] and now - c["last_time"] > self._idle:
                 done.append(self._row(key, side, c))
-                self._open.removeKey((side,))
+                self._open.updateValue((side,), tuple((c | {"open": False})[f] for f in _FIELDS))
         if done:
             yield pd.DataFrame(done, columns=_COLUMNS)
 
