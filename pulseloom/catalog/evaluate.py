@@ -8,10 +8,11 @@ from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.catalog.core import TIE, WINDOWS
 from pulseloom.catalog.detect import BEACON
-from pulseloom.operators import evaluation, highrisk, overview, scoring
+from pulseloom.operators import evaluation, gaps, highrisk, overview, scoring, sequences, training
 from pulseloom.operators.training import model_metadata
 from pulseloom.plans import beacons
 from pulseloom.schemas import FEATURES
+from pulseloom.session import materialise
 from pulseloom.sources import captures, tables
 
 SCORED = """
@@ -140,6 +141,31 @@ def ev4(spark, d):
                     F.round("mean", 6).alias("mean_recall"), F.round("std", 6).alias("std_recall"))
 
 
+@query("ev4_repeated_fits", """
+WITH g AS (SELECT user_id, event_type, least(count(*) - 9, 200) AS w FROM events GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT sum(w) FILTER (user_id % 5 = 3)::BIGINT AS validation_windows, sum(w) FILTER (user_id % 5 = 4)::BIGINT AS test_windows,
+             count(*) FILTER (user_id % 5 = 3) AS validation_groups, count(*) FILTER (user_id % 5 = 4) AS test_groups FROM g)
+SELECT seed, s.*, true AS loss_is_finite, true AS threshold_in_range FROM s, (VALUES (7), (8)) t(seed)""")
+def ev4_fits(spark, d):
+    """Each seed fits a classifier; what every right run has in common: all windows and groups are judged, once each."""
+    user = F.substring("src_ip", 2, 20).cast("long")
+    rows = gaps.with_gap_features(A.feature_rows_from_events(spark, d), TIE).withColumns({
+        "label": F.when(user % 3 == 0, 1).otherwise(F.lit(0))})
+    scaled = training.scale_rows(rows, sequences.fit_scaler(sequences.window_row_weights(rows, TIE)))
+    windows = materialise(sequences.sample_windows(sequences.sequence_windows(
+        scaled, TIE, features=[f"z_{c}" for c in FEATURES], label="label"), rows))
+    parts = [windows.where(F.col("src_ip").substr(2, 20).cast("long") % 5 <= 2), windows.where(user % 5 == 3), windows.where(user % 5 == 4)]
+    runs = training.repeated_runs(*parts, seeds=[7, 8], group_keys=["src_ip", "dst_ip"], share=0.8)
+
+    def judged(name):
+        return sum((F.col(f"{name}.{c}") for c in ("tp", "fp", "fn", "tn")), F.lit(0)).cast("long").alias(name)
+
+    return runs.select(
+        "seed", *[judged(f"{part}_{level}") for part in ("validation", "test") for level in ("windows", "groups")],
+        (F.col("val_loss").isNotNull() & ~F.isnan("val_loss")).alias("loss_is_finite"),
+        F.col("validation_windows.threshold").between(0, 1).alias("threshold_in_range"))
+
+
 CAPTURES = BEACON + """,
 res0 AS (
   SELECT c_custkey, c_acctbal > 4000 AS expected, c_custkey % 17 <> 0 AS ok, coalesce(n, 0) AS n

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.catalog.core import CONN, CONN_ROWS, DAY, PACKETS, TIE, WINDOWS
-from pulseloom.catalog.evaluate import RUNS
+from pulseloom.catalog.evaluate import COUNTS, RATIO_COLUMNS, RATIOS, RUNS, SCORED
 from pulseloom.catalog.hourly import ROWS
 from pulseloom.catalog.knowledge import INTEL
 from pulseloom.operators import gaps, hourly, knowledge, scoring, sequences
@@ -135,6 +135,19 @@ def snk3(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("n_chars").cast("long")).alias("chars"))
 
 
+@query("snk3_metrics_json", f"""WITH {SCORED},
+k AS (SELECT lang, {COUNTS.format(t='0.5')} FROM sl GROUP BY lang)
+SELECT lang, tp, fp, fn, tn, {RATIOS} FROM k""")
+def snk3_metrics(spark, d):
+    folder = shared_folder(spark)
+    metrics = ["tp", "fp", "fn", "tn", *RATIO_COLUMNS]
+    found = confusion(A.scored_labels(spark, d), 0.5, ["lang"])
+    sinks.write_metrics(found, f"{folder}/metrics", ["lang"], metrics)
+    kind = ", ".join(f"{m}: {'bigint' if len(m) == 2 and m != 'f1' else 'double'}" for m in metrics)
+    back = spark.read.schema(f"lang string, metrics struct<{kind}>").json(f"{folder}/metrics")
+    return rounded(back.select("lang", "metrics.*"), 6, *RATIO_COLUMNS)
+
+
 @query("snk5_knowledge_base_files", "SELECT 'g' || label AS group_id, count(*) AS documents FROM embeddings GROUP BY ALL")
 def snk5(spark, d):
     folder = shared_folder(spark)

@@ -23,10 +23,21 @@ def flat(df: DataFrame, separator: str = ";") -> DataFrame:
     return df.select(*out)
 
 
-def write_features(rows: DataFrame, path: str, format: str = "parquet") -> None:
-    """Feature rows by split and capture."""
-    writer = rows.write.mode("overwrite").partitionBy("split", "source_file")
+def write_features(rows: DataFrame, path: str, format: str = "parquet", captures: DataFrame | None = None) -> None:
+    """Feature rows by split and capture, few files each: rows of a capture meet in one task, large ones in several.
+
+    ``captures`` (``split``, ``source_file``) lists what must have a file: as CSV, a capture without rows gets one that holds
+    the header alone.
+    """
+    writer = rows.hint("rebalance", "split", "source_file").write.mode("overwrite").partitionBy("split", "source_file")
     writer.option("header", True).csv(path) if format == "csv" else writer.parquet(path)
+    if captures is None or format != "csv":
+        return
+    have = rows.select("split", "source_file").distinct()
+    columns = [c for c in rows.columns if c not in ("split", "source_file")]
+    missing = captures.select("split", "source_file").distinct().join(have, ["split", "source_file"], "left_anti")
+    header = missing.select("split", "source_file", F.lit(",".join(columns)).alias("value"))
+    header.write.mode("append").partitionBy("split", "source_file").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -38,6 +49,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_metrics(df: DataFrame, path: str, keys: list[str], metrics: list[str]) -> None:
+    """One JSON object per evaluated part: its keys, and its counts and ratios under ``metrics``."""
+    write_json(df.select(*keys, F.struct(*metrics).alias("metrics")), path)
+
+
 def export_rows(merged: DataFrame, capture: str = "source_file") -> DataFrame:
     """Merged threats with a 1-based index per capture and the whole row as JSON."""
     columns = [c for c in merged.columns]

@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from pulseloom import session
 from pulseloom.operators.connections import connections_from_packets
 from pulseloom.operators.highrisk import high_risk_rows
 from pulseloom.schemas import FEATURES, GROUP_KEYS
@@ -189,3 +190,41 @@ def test_run_artifacts_are_replaced_one_by_one(spark, tmp_path):
         sinks.write_run(spark.range(n), str(tmp_path), "threats", run)
     rows = spark.read.parquet(str(tmp_path / "threats")).groupBy("analysis_id").count().collect()
     assert {r.analysis_id: r["count"] for r in rows} == {"a": 1, "b": 2}
+
+
+def test_many_headers_and_wide_logs(spark, tmp_path):
+    for k in range(230):
+        (tmp_path / f"f{k}.csv").write_text(f"note\nsrc,extra{k},dst\ns{k},x{k},d{k}\n")
+    rows = lines.parse_csv_with_preamble(lines.read_lines(spark, str(tmp_path / "*.csv")))
+    assert len(rows.columns) == 2 + 232
+    found = {(r["src"], r["dst"], r["extra7"]) for r in rows.select("src", "dst", "extra7").collect()}
+    assert found == {(f"s{k}", f"d{k}", "x7" if k == 7 else None) for k in range(230)}
+    wide = 10_050
+    names = "\t".join(["#fields", "ts", *[f"c{i}" for i in range(wide)], "uid"])
+    (tmp_path / "wide.log").write_text(names + "\n" + "\t".join(["1.5", *["-"] * wide, "u1"]) + "\n")
+    logged = lines.parse_tsv_logs(lines.read_lines(spark, str(tmp_path / "wide.log")), {"ts": "ts", "uid": "uid"})
+    assert [(r.ts, r.uid) for r in logged.collect()] == [("1.5", "u1")]
+
+
+def test_capture_without_rows_leaves_a_header(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "a", 1.0)], "split string, source_file string, duration double")
+    listed = spark.createDataFrame([("train", "a"), ("val", "b")], "split string, source_file string")
+    sinks.write_features(rows, str(tmp_path / "out"), "csv", listed)
+    (empty,) = (tmp_path / "out" / "split=val" / "source_file=b").glob("part-*")
+    assert empty.read_text().strip() == "duration"
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert [tuple(r) for r in back.collect()] == [("1.0", "train", "a")]
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Elsewhere()
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
