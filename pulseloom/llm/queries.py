@@ -101,12 +101,73 @@ def op6_token_counts(spark, sf_dir):
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=TOKEN_LIMIT)
 
 
-@query("op7_license_scan")
+_NOTICES = ", ".join(
+    f"({i}, '{t}', '{label}', {exact})" for i, (t, label, exact) in enumerate(
+        [*[(t, label, "true") for t, label in LICENSE_PHRASES], *[(t, label, "false") for t, label in LICENSE_TEMPLATES]]))
+
+
+@query("op7_license_scan", rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+notices(template, t, label, exact) AS (VALUES {_NOTICES}),
+split AS (SELECT *, string_split(t, ' ') AS tw FROM notices),
+tg AS (SELECT template, label, exact, len(tw) AS t_words, len(tw) - 2 AS t_grams, unnest(range(0, len(tw) - 2)) AS t_at, tw FROM split),
+tgram AS (SELECT * EXCLUDE (tw), array_to_string(tw[t_at + 1:t_at + 3], ' ') AS gram FROM tg),
+dg AS (SELECT doc_id, unnest(range(0, len(w) - 2)) AS pos, w FROM docs WHERE len(w) >= 3),
+hits AS (
+  SELECT doc_id, pos, template, label, exact, t_words, t_grams, t_at, pos - t_at AS diagonal
+  FROM (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 3], ' ') AS gram FROM dg) JOIN tgram USING (gram)),
+voted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, template, diagonal) AS votes,
+         diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, t_at) AS gap FROM hits),
+spanned AS (
+  SELECT *, sum(CASE WHEN gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal, t_at ROWS UNBOUNDED PRECEDING) AS span,
+         CASE WHEN exact AND votes = t_grams AND t_at = 0 THEN diagonal END AS place FROM voted),
+spans AS (
+  SELECT doc_id, template, label, exact, t_words, min(pos) AS b, max(pos) + 3 - min(pos) AS n, count(DISTINCT t_at) AS held, count(place) AS places,
+         min(place) AS first, max(place) AS last, count(DISTINCT t_at) / t_grams AS share
+  FROM spanned GROUP BY doc_id, template, label, exact, t_words, t_grams, span),
+good AS (SELECT * FROM spans WHERE NOT exact AND share >= 0.7 AND n <= ceil(t_words * 1.5)),
+apart AS (
+  SELECT *, coalesce(b >= max(b + n) OVER (PARTITION BY doc_id ORDER BY b, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh
+  FROM good),
+passages AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY b, template ROWS UNBOUNDED PRECEDING) AS passage FROM apart),
+best AS (SELECT * FROM passages QUALIFY dense_rank() OVER (PARTITION BY doc_id, passage ORDER BY share DESC, held DESC) = 1),
+labelled AS (
+  SELECT doc_id, label, true AS base, 1.0::DOUBLE AS score, places, first, last FROM spans WHERE exact AND places > 0
+  UNION ALL SELECT doc_id, label, false, share, 0, NULL, NULL FROM best)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(sum(places), 0)::BIGINT AS n_base, min(first) AS first_word, max(last) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0.0::DOUBLE) AS score
+FROM docs d LEFT JOIN labelled l ON l.doc_id = d.doc_id GROUP BY d.doc_id, d.w""")
 def op7_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), LICENSE_PHRASES, LICENSE_TEMPLATES)
 
 
-@query("op8_chat_format")
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '{_CHAT.escape}', '{2 * _CHAT.escape}')"
+    for control in _CHAT.controls:
+        out = f"replace({out}, '{control}', '{control[0]}{_CHAT.escape}{control[1:]}')"
+    return out
+
+
+_CHAT = chat.Template()
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, follow in _CHAT.moves.items() for b in follow)
+
+
+@query("op8_chat_format", f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')) v(c, n, r, t)),
+moves(a, b) AS (VALUES {_MOVES}),
+placed AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), '{chat.START}') AS before FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({sum(map(len, _CHAT.controls))} + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars,
+       bool_and((before, role) IN (SELECT (a, b) FROM moves)) AS valid
+FROM placed GROUP BY conv_id""")
 def op8_chat_format(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -125,7 +186,16 @@ def op9_language_id(spark, sf_dir):
     return langid.predict(documents, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op10_lattice_links")
+@query("op10_lattice_links", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, list_aggregate(list_transform(embedding::DOUBLE[], lambda x: x * x), 'sum') AS n FROM embeddings),
+good AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(n)) AS u FROM v WHERE n > 0 AND isfinite(n) AND len(list_filter(e, lambda x: x IS NULL)) = 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+component AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN component c ON c.x = vec_id LEFT JOIN degree d ON d.x = vec_id""")
 def op10_lattice_links(spark, sf_dir):
     found = lattice.near_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
     return found.select(
