@@ -489,7 +489,7 @@ def jn4(spark, d):
         "src", "dst", "port", "timestamp_score", "connection_count", "evidence_source")
 
 
-@query("jn5_tolerant_overlay", f"""WITH {MIX},
+TOLERANT = MIX + """,
 csv AS (
   SELECT '10.2.0.' || (o_custkey % 250) AS src,
          CASE o_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '::' ELSE '172.16.0.' || (o_orderkey % 100) END AS dst,
@@ -499,11 +499,13 @@ hit AS (
   SELECT m.src, m.dst, m.port, min(c.ord) AS csv_order
   FROM mixed m LEFT JOIN csv c ON c.src = m.src AND c.port IN ('', m.port)
        AND (c.dst = m.dst OR c.dst IN ('', '::') OR m.dst IN ('', '::'))
-  GROUP BY ALL)
-SELECT h.src, h.dst, h.port, h.csv_order, coalesce(c.dst, h.dst) AS target_dst,
-       coalesce(nullif(c.port, ''), h.port) AS target_port
-FROM hit h LEFT JOIN csv c ON c.ord = h.csv_order""")
-def jn5(spark, d):
+  GROUP BY ALL),
+target AS (
+  SELECT h.src, h.dst, h.port, h.csv_order, coalesce(c.dst, h.dst) AS target_dst, coalesce(nullif(c.port, ''), h.port) AS target_port
+  FROM hit h LEFT JOIN csv c ON c.ord = h.csv_order)"""
+
+
+def _tolerant_sides(spark, d):
     mix = histogram.mixtape_evidence(A.mixtape_from_events(spark, d)).select("src", "dst", "port", "connection_count")
     o = A.table(spark, d, "orders")
     c, k = F.col("o_custkey"), F.col("o_orderkey")
@@ -513,9 +515,33 @@ def jn5(spark, d):
             F.concat(F.lit("172.16.0."), (k % 100).cast("string"))).alias("dst"),
         F.when(k % 4 == 0, "").otherwise((k % 3 + 80).cast("string")).alias("port"),
     ).agg(F.min("o_orderkey").alias("ord"))
+    return csv, mix
+
+
+@query("jn5_tolerant_overlay", f"WITH {TOLERANT} SELECT * FROM target")
+def jn5(spark, d):
+    csv, mix = _tolerant_sides(spark, d)
     return merge.tolerant_matches(csv, mix).select("src", "dst", "port", "csv_order", "target_dst", "target_port")
 
 
+@query("jn5_overlay", f"""WITH {TOLERANT},
+moved AS (
+  SELECT t.src, target_dst AS dst, target_port AS port, min(csv_order) AS csv_order,
+         arg_max(k::DOUBLE, (t.src, t.dst, t.port)) AS stored
+  FROM target t JOIN mixed m ON m.src = t.src AND m.dst = t.dst AND m.port = t.port GROUP BY ALL),
+filled AS (
+  SELECT c.src, c.dst, coalesce(nullif(c.port, ''), m.port, '') AS port, c.ord
+  FROM csv c LEFT JOIN moved m ON m.csv_order = c.ord),
+base AS (SELECT src, dst, port, max(ord) AS ord FROM filled GROUP BY ALL)
+SELECT coalesce(m.src, b.src) AS src, coalesce(m.dst, b.dst) AS dst, coalesce(m.port, b.port) AS port,
+       coalesce(m.stored, b.ord) AS connection_count, CASE WHEN m.src IS NOT NULL THEN 'rita_mixtape' ELSE 'rita_view_csv' END AS evidence_source
+FROM moved m FULL JOIN base b ON m.src = b.src AND m.dst = b.dst AND m.port = b.port""")
+def jn5_overlay(spark, d):
+    csv, mix = _tolerant_sides(spark, d)
+    csv = csv.withColumns({"connection_count": F.col("ord").cast("double"), "evidence_source": F.lit("rita_view_csv")})
+    return merge.overlay_tolerant(csv, mix).select("src", "dst", "port", "connection_count", "evidence_source")
+
+
 @query("prj8_web_flow_rows", f"""WITH {LOG}
 SELECT 'log' AS source_file, orig_h AS src_ip, resp_h AS dst_ip, resp_p AS dst_port, round(ts, 6) AS start_time,
        orig_pkts + resp_pkts AS packet_nb, orig_pkts AS packet_nb_orig, resp_pkts AS packet_nb_resp
