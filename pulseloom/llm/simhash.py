@@ -17,6 +17,7 @@ proportion to the entries.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -145,8 +146,9 @@ def groups(df: DataFrame, size: int, *, radius: int = 2, key: str = "doc_id", te
 # Wide fingerprints, for a similarity below what a few bits of 64 can tell.
 
 WIDE = 8  # words of 64 bits
-_STEP = 4  # bits of a segment
+_STEP = 2  # bits of a segment
 _STARTS = 64  # chains that are indexed, one every 8 bits
+WIDE_BUCKET = 12  # entries of a bucket that are compared in pairs; an entry lies in 64 buckets
 _MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(WIDE)]
 
 
@@ -180,7 +182,30 @@ def _wide_chain(columns: list[Column], start: int, length: int) -> Column:
     return value.bitwiseAND(F.lit(_signed((1 << length) - 1)))
 
 
-def link_similar(entries: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+def _meetings(rows: DataFrame, bits: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``id``, ``other``, ``start``) of entries that share a chain of ``bits`` bits, and the ids in crowded buckets.
+
+    A bucket of up to ``bucket`` entries gives its pairs, a larger one a pair of each entry with the least.
+    """
+    columns = [F.col(f"w{i}") for i in range(WIDE)]
+    keyed = rows.select("id", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("start"), _wide_chain(columns, 8 * s, bits).alias("part")) for s in range(_STARTS)])))
+    sizes = materialise(keyed.groupBy("start", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > 1))
+    shared = materialise(keyed.join(sizes, ["start", "part"]))
+    small = shared.where(F.col("n") <= bucket).select("start", "part", "id")
+    pairs = small.join(small.withColumnRenamed("id", "other"), ["start", "part"]).where(F.col("id") > F.col("other"))
+    crowded = shared.where(F.col("n") > bucket)
+    led = crowded.where(F.col("id") != F.col("first")).select("id", F.col("first").alias("other"), "start")
+    met = pairs.select("id", "other", "start").unionByName(led).groupBy("id", "other").agg(F.min("start").alias("start"))
+    return met, crowded.select("id").distinct()
+
+
+def _chain_bits(entries: int) -> int:
+    """Bits of an indexed chain: unrelated entries then meet about once each, however many there are."""
+    return min(32, -(-(max(2, entries).bit_length() + 4) // _STEP) * _STEP)
+
+
+def link_similar(entries: DataFrame, radius: int, bucket: int = WIDE_BUCKET) -> DataFrame:
     """Edges (``a``, ``b``; values of ``id``) between wide fingerprints (``w0`` ...) that differ in at most ``radius`` bits.
 
     An index of chains of equal segments finds the pairs; chains grow with the number of entries, so that entries that have
@@ -190,41 +215,24 @@ def link_similar(entries: DataFrame, radius: int, bucket: int = BUCKET) -> DataF
     all its pairs are.
     """
     names = [f"w{i}" for i in range(WIDE)]
-    n = max(2, entries.count())
-    length = min(32, _STEP * -(-(n.bit_length() + 2) // _STEP))
+    length = _chain_bits(entries.count())
     columns, others = [F.col(c) for c in names], [F.col(f"o{c}") for c in names]
-    distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(columns, others)), F.lit(0))
-    segments = WIDE * BITS // _STEP
-
-    def within(goes_on: int) -> Column:
-        ahead = F.lit(None)
-        for s in range(_STARTS):
-            x = [a.bitwiseXOR(b) for a, b in zip(columns, others)]
-            ahead = F.when(F.col("start") == s, F.bit_count(_wide_chain(x, 8 * s, goes_on))) if s == 0 else ahead.when(
-                F.col("start") == s, F.bit_count(_wide_chain(x, 8 * s, goes_on)))
-        return (ahead <= goes_on // _STEP * radius // segments) & (distance <= radius)
+    differ = [a.bitwiseXOR(b) for a, b in zip(columns, others)]
+    distance = sum((F.bit_count(x) for x in differ), F.lit(0))
+    goes_on = min(64, 2 * length)
+    ahead = F.element_at(F.array(*[F.bit_count(_wide_chain(differ, 8 * s, goes_on)) for s in range(_STARTS)]), F.col("start") + 1)
+    seconds = entries.select(F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in names])
 
     rows, found = entries, []
     for bits in (length, 2 * length):
-        keyed = rows.select("id", F.inline(F.array(*[
-            F.struct(F.lit(s).alias("start"), _wide_chain(columns, 8 * s, bits).alias("part")) for s in range(_STARTS)])))
-        sizes = materialise(keyed.groupBy("start", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > 1))
-        shared = materialise(keyed.join(sizes, ["start", "part"]))
-        small = shared.where(F.col("n") <= bucket).select("start", "part", "id")
-        pairs = small.join(small.withColumnRenamed("id", "other"), ["start", "part"]).where(F.col("id") > F.col("other")).select("id", "other", "start")
-        crowded = shared.where(F.col("n") > bucket)
-        led = crowded.where(F.col("id") != F.col("first")).select("id", F.col("first").alias("other"), "start")
-        candidates = pairs.unionByName(led).groupBy("id", "other").agg(F.min("start").alias("start"))
-        seconds = entries.select(F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in names])
-        checked = candidates.join(entries, "id").join(seconds, "other").where(within(min(64, 2 * length)))
+        met, crowded = _meetings(rows, bits, bucket)
+        checked = met.join(entries, "id").join(seconds, "other").where(
+            (distance <= radius) & (ahead <= goes_on * radius // (WIDE * BITS)))
         found.append(materialise(checked.select(F.col("id").alias("a"), F.col("other").alias("b"))))
-        rows = materialise(entries.join(crowded.select("id").distinct(), "id", "left_semi"))
+        rows = materialise(entries.join(crowded, "id", "left_semi"))
         if rows.isEmpty():
             break
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
+    return reduce(DataFrame.unionByName, found)
 
 
 def later_copies(df: DataFrame, size: int = 5, *, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
