@@ -17,7 +17,6 @@ proportion to the entries.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseloom.llm import shinglesets
 from pulseloom.llm.components import connected
 from pulseloom.llm.texts import keyed_texts, map_rows
 from pulseloom.session import materialise
@@ -143,12 +143,9 @@ def groups(df: DataFrame, size: int, *, radius: int = 2, key: str = "doc_id", te
     return rows.join(named, "fp").select(key, "fp", "component")
 
 
-# Wide fingerprints, for a similarity below what a few bits of 64 can tell.
+# Near copies: fingerprints can't hold a similarity exactly, so ``later_copies`` links by the sets of shingles.
 
 WIDE = 8  # words of 64 bits
-_STEP = 2  # bits of a segment
-_STARTS = 64  # chains that are indexed, one every 8 bits
-WIDE_BUCKET = 12  # entries of a bucket that are compared in pairs; an entry lies in 64 buckets
 _MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(WIDE)]
 
 
@@ -168,86 +165,17 @@ def wide_fingerprint(text: bytes | None, size: int) -> list[int]:
     return out
 
 
-def wide_radius(similarity: float) -> int:
-    """Bits that differ, on average, between texts whose sets of shingles have this Jaccard similarity."""
-    return int(WIDE * BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _wide_chain(columns: list[Column], start: int, length: int) -> Column:
-    """``length`` (up to 64) bits from bit ``start`` on of the ring of all words."""
-    word, shift = divmod(start, BITS)
-    value = F.shiftrightunsigned(columns[word], shift)
-    if shift:
-        value = value.bitwiseOR(F.shiftleft(columns[(word + 1) % WIDE], BITS - shift))
-    return value.bitwiseAND(F.lit(_signed((1 << length) - 1)))
-
-
-def _meetings(rows: DataFrame, bits: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (``id``, ``other``, ``start``) of entries that share a chain of ``bits`` bits, and the ids in crowded buckets.
-
-    A bucket of up to ``bucket`` entries gives its pairs, a larger one a pair of each entry with the least.
-    """
-    columns = [F.col(f"w{i}") for i in range(WIDE)]
-    keyed = rows.select("id", F.inline(F.array(*[
-        F.struct(F.lit(s).alias("start"), _wide_chain(columns, 8 * s, bits).alias("part")) for s in range(_STARTS)])))
-    sizes = materialise(keyed.groupBy("start", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > 1))
-    shared = materialise(keyed.join(sizes, ["start", "part"]))
-    small = shared.where(F.col("n") <= bucket).select("start", "part", "id")
-    pairs = small.join(small.withColumnRenamed("id", "other"), ["start", "part"]).where(F.col("id") > F.col("other"))
-    crowded = shared.where(F.col("n") > bucket)
-    led = crowded.where(F.col("id") != F.col("first")).select("id", F.col("first").alias("other"), "start")
-    met = pairs.select("id", "other", "start").unionByName(led).groupBy("id", "other").agg(F.min("start").alias("start"))
-    return met, crowded.select("id").distinct()
-
-
-def _chain_bits(entries: int) -> int:
-    """Bits of an indexed chain: unrelated entries then meet about once each, however many there are."""
-    return min(32, -(-(max(2, entries).bit_length() + 4) // _STEP) * _STEP)
-
-
-def link_similar(entries: DataFrame, radius: int, bucket: int = WIDE_BUCKET) -> DataFrame:
-    """Edges (``a``, ``b``; values of ``id``) between wide fingerprints (``w0`` ...) that differ in at most ``radius`` bits.
+def later_copies(df: DataFrame, size: int = 5, *, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Keys of the rows that are near copies of a row with a smaller key: all but the least key of each group.
 
-    An index of chains of equal segments finds the pairs; chains grow with the number of entries, so that entries that have
-    nothing to do with each other seldom meet.  The chain goes on for as many segments under the proportional budget before
-    the full distance is taken.  Entries of a crowded bucket are compared with the bucket's least entry and, in pairs, by
-    chains of twice the length.  What is found is within the radius; a pair near the radius may be missed, a group only if
-    all its pairs are.
+    Rows are linked if the sets of their shingles have this Jaccard similarity or more; a group is what links reach.  The
+    rows with a null key take no part.
     """
-    names = [f"w{i}" for i in range(WIDE)]
-    length = _chain_bits(entries.count())
-    columns, others = [F.col(c) for c in names], [F.col(f"o{c}") for c in names]
-    differ = [a.bitwiseXOR(b) for a, b in zip(columns, others)]
-    distance = sum((F.bit_count(x) for x in differ), F.lit(0))
-    goes_on = min(64, 2 * length)
-    ahead = F.element_at(F.array(*[F.bit_count(_wide_chain(differ, 8 * s, goes_on)) for s in range(_STARTS)]), F.col("start") + 1)
-    seconds = entries.select(F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in names])
-
-    rows, found = entries, []
-    for bits in (length, 2 * length):
-        met, crowded = _meetings(rows, bits, bucket)
-        checked = met.join(entries, "id").join(seconds, "other").where(
-            (distance <= radius) & (ahead <= goes_on * radius // (WIDE * BITS)))
-        found.append(materialise(checked.select(F.col("id").alias("a"), F.col("other").alias("b"))))
-        rows = materialise(entries.join(crowded, "id", "left_semi"))
-        if rows.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
-
-
-def later_copies(df: DataFrame, size: int = 5, *, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keys of the rows that are near copies of a row with a smaller key: all but the least key of each group."""
-    def work(keys, texts):
-        found = [wide_fingerprint(t, size) for t in texts.to_pylist()]
-        return [keys, *[[f[i] for f in found] for i in range(WIDE)]]
-
-    names = [f"w{i}" for i in range(WIDE)]
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in names]])
-    rows = materialise(map_rows(keyed_texts(df, key, text).withColumn("_text", F.col("_text").cast("binary")), work, schema))
-    rows = rows.where(F.col(key).isNotNull())
-    entries = materialise(rows.groupBy(*names).agg(F.min(key).alias("least")).withColumn("id", F.xxhash64(*names)))
-    roots = connected(link_similar(entries.select("id", *names), wide_radius(similarity)))
+    rows = keyed_texts(df, key, text).where(F.col("_key").isNotNull()).withColumn("id", shinglesets.text_id(F.col("_text")))
+    texts = rows.where(F.col("id") != shinglesets.EMPTY).select("id", F.col("_text").alias("text"))
+    roots = connected(shinglesets.link(texts, lambda t: shingles(t, size), similarity))
+    entries = rows.groupBy("id").agg(F.min("_key").alias("least"))
     placed = entries.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("least"))
     named = materialise(placed.drop("least").join(least, "root").select("id", "least"))
-    return rows.withColumn("id", F.xxhash64(*names)).join(named, "id").where(F.col(key) != F.col("least")).select(key).distinct()
+    return rows.join(named, "id").where(F.col("_key") != F.col("least")).select(F.col("_key").alias(key)).distinct()

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from pulseloom.llm import simhash
+from pulseloom.llm import shinglesets, simhash
 
 
 def plain_fingerprint(text, size):
@@ -134,3 +134,71 @@ def test_later_copies_in_crowds(spark):
     assert entries_left == 2
     wide = np.array([simhash.wide_fingerprint(t.encode(), 5) for t in texts[:2]])
     assert wide.shape == (2, simhash.WIDE)
+
+
+def exact_groups(texts, similarity=0.8):
+    """What is left of the rows 0, 1, ...: the least of each group that links of the similarity reach."""
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if jaccard(a, sets[j]) >= similarity:
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    return {i for i in range(len(texts)) if top(i) != i}
+
+
+def dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r[0] for r in simhash.later_copies(df).collect()}
+
+
+def test_later_copies_are_exact_at_any_size(spark):
+    texts = near_copies(3, 100, 3, words=200, changes=8)  # many pairs close to 0.8, on both sides
+    want = exact_groups(texts)
+    assert want and dropped(spark, texts) == want
+    rnd = random.Random(5)
+    more = [" ".join(f"{rnd.randrange(10 ** 6)}" for _ in range(60)) for _ in range(6000)]
+    assert dropped(spark, texts + more) == want
+
+
+def test_later_copies_in_a_template(spark):
+    rnd = random.Random(6)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for _ in range(250):  # similarity of about 0.5 to each other
+        base = template + [f"{rnd.randrange(10 ** 6)}" for _ in range(100)]
+        texts.append(" ".join(base))
+        for _ in range(rnd.randint(0, 1)):
+            own = list(base)
+            for _ in range(rnd.randint(2, 7)):  # 0.95 to 0.8
+                own[rnd.randrange(len(own))] = f"{rnd.randrange(10 ** 6)}"
+            texts.append(" ".join(own))
+    rnd.shuffle(texts)
+    assert dropped(spark, texts) == exact_groups(texts)
+
+
+def test_crowded_buckets_are_compared_whole(spark):
+    texts = near_copies(8, 2, 60, words=120, changes=6)  # members of a group are often not similar to each other
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(shinglesets.text_id(F.col("text")).alias("id"), "text")
+    for crowd, sample in ((2, 1), (2, 10 ** 6), (1000, 1)):
+        edges = [(r.a, r.b) for r in shinglesets.link(df, lambda t: simhash.shingles(t, 5), 0.8, crowd=crowd, sample=sample).collect()]
+        ids = [r.id for r in df.collect()]
+        sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in zip(ids, texts)}
+        assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in edges)
+        root = {i: i for i in ids}
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in edges:
+            root[top(a)] = top(b)
+        assert all(top(a) == top(b) for a in ids for b in ids if jaccard(sets[a], sets[b]) >= 0.8)
