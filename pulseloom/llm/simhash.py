@@ -166,16 +166,17 @@ def wide_fingerprint(text: bytes | None, size: int) -> list[int]:
 
 
 def later_copies(df: DataFrame, size: int = 5, *, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keys of the rows that are near copies of a row with a smaller key: all but the least key of each group.
+    """``key`` and ``text_id`` of the rows that are near copies of another row: all but the least of each group, by both.
 
     Rows are linked if the sets of their shingles have this Jaccard similarity or more; a group is what links reach.  The
-    rows with a null key take no part.
+    rows with a null key take no part; rows that repeat a key and a text are one.
     """
     rows = keyed_texts(df, key, text).where(F.col("_key").isNotNull()).withColumn("id", shinglesets.text_id(F.col("_text")))
     texts = rows.where(F.col("id") != shinglesets.EMPTY).select("id", F.col("_text").alias("text"))
     roots = connected(shinglesets.link(texts, lambda t: shingles(t, size), similarity))
-    entries = rows.groupBy("id").agg(F.min("_key").alias("least"))
+    entries = rows.groupBy("id").agg(F.min(F.struct("_key", "id")).alias("least"))
     placed = entries.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("least"))
     named = materialise(placed.drop("least").join(least, "root").select("id", "least"))
-    return rows.join(named, "id").where(F.col("_key") != F.col("least")).select(F.col("_key").alias(key)).distinct()
+    return rows.join(named, "id").where(F.struct("_key", "id") != F.col("least")).select(
+        F.col("_key").alias(key), F.col("id").alias("text_id")).distinct()

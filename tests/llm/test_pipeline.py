@@ -87,3 +87,14 @@ def test_null_and_repeated_rows(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_an_id_with_several_texts(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    words = [f"w{i}" for i in range(100)]
+    one, near, clean = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(100))
+    rows = [(1, one), (2, near), (2, clean), (3, clean + " a"), (4, "m " + " ".join(reversed(words))), (4, "n " + " ".join(reversed(words)))]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], schema)
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert kept[:2] == [(1, one), (2, clean)]  # the clean text of an id stays when its other text is a copy
+    assert [k for k, _ in kept] == [1, 2, 4]  # of two near texts of one id one stays
