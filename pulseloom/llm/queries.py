@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, chat, langid, lattice, leaks, licenses, repeats, simhash, token_counts, urls
+from pulseloom.llm import bpe, centroids, chat, langid, lattice, leaks, licenses, repeats, simhash, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,3 +200,32 @@ def op10_lattice_links(spark, sf_dir):
     found = lattice.near_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
     return found.select(
         "vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+_ROUND = """
+r{n}(cluster, d, x) AS (
+  WITH near AS ({near})
+  SELECT o.cluster, o.d, coalesce(m.x, o.x) FROM {old} o LEFT JOIN (
+    SELECT cluster, d, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM near JOIN v USING (n) GROUP BY cluster, d) m USING (cluster, d))"""
+_NEAR = """
+  SELECT n, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (
+    SELECT n, cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance FROM v JOIN {old} c USING (d) GROUP BY n, cluster) GROUP BY n"""
+
+
+@query("op12_centroids", f"""
+WITH good AS (
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT n, unnest(range(1, 65)) AS d, unnest(list_transform(e, lambda x: floor(256 * x)::BIGINT)) AS x FROM good),
+start AS (SELECT n, row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS cluster FROM good QUALIFY cluster < 40),
+r0 AS (SELECT cluster, d, x FROM start JOIN v USING (n)),
+{",".join(_ROUND.format(n=n, near=_NEAR.format(old=f"r{n - 1}"), old=f"r{n - 1}") for n in range(1, 6))},
+near AS ({_NEAR.format(old="r5")}),
+digest AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM r5 GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM near JOIN good USING (n) JOIN digest USING (cluster)""")
+def op12_centroids(spark, sf_dir):
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
