@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,16 +48,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the folders that this session's steps have written, once their results are no longer read."""
-    folders = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, folders: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this session's steps have written, once their results are no longer read."""
+    folders = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, folders)
     return len(folders)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Folders that are written inside the block go at its end, except for the tables that the given function writes.
+
+    So a step's intermediate tables take room only until its result is there.  The result must be written inside the block.
+    """
+    folders = _FOLDERS.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(folders), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        written = materialise(df)
+        kept.append(folders[-1])
+        return written
+
+    try:
+        yield keep
+    finally:
+        own = folders[before:]
+        folders[before:] = kept
+        _delete(spark, [f for f in own if f not in kept])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: lineage ends, columns can still be pruned."""
     path = f"{shared_folder(df.sparkSession)}/rows"
