@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulseloom.session import shared_folder
+from pulseloom.session import scratch, shared_folder
 
 PAGE = 8192  # vectors of a page
 LARGEST = 1 << 26
@@ -171,31 +171,31 @@ def cluster(
     The starts are the ``clusters`` vectors whose ids, after ``salt``, have the least SHA-256 digests; equal digests are
     ordered by the vector.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vector"))
-    pages = _pages(rows, size, scale, width)
     digest = F.sha2(F.concat(F.lit(salt), F.col("_key").cast("string")), 256)
     starts = rows.where(usable(F.col("_vector"), size)).orderBy(digest.asc_nulls_last(), "_vector").limit(clusters).select("_vector").collect()
     centroids = whole_numbers(np.array([r["_vector"] for r in starts], dtype=np.float64).reshape(len(starts), size), scale)
     schema = T.StructType([
         T.StructField(key, df.schema[key].dataType), T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.LongType())])
     if not starts:
-        return df.sparkSession.createDataFrame([], T.StructType([
+        return spark.createDataFrame([], T.StructType([
             *schema, T.StructField("cluster_inertia", T.LongType()), T.StructField("inertia", T.LongType()),
             T.StructField("centroid", T.ArrayType(T.LongType()))]))
-    for _ in range(rounds):
-        centroids = _moved(pages, centroids)
-    arrow = to_arrow_schema(schema)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                nearest, distance = _assign(_blocks(batch, row), centroids)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("keys")[row].values.cast(arrow.field(0).type), pa.array(nearest, pa.int32()), pa.array(distance)], schema=arrow)
-
-    path = f"{shared_folder(df.sparkSession)}/assigned"
-    pages.mapInArrow(assign, schema).write.parquet(path)
-    assigned = df.sparkSession.read.schema(schema).parquet(path)
+    with scratch(spark) as keep:
+        pages = _pages(rows, size, scale, width)
+        for _ in range(rounds):
+            centroids = _moved(pages, centroids)
+        arrow = to_arrow_schema(schema)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    nearest, distance = _assign(_blocks(batch, row), centroids)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("keys")[row].values.cast(arrow.field(0).type), pa.array(nearest, pa.int32()), pa.array(distance)], schema=arrow)
+
+        assigned = keep(pages.mapInArrow(assign, schema))
     own = {r["cluster"]: r["s"] for r in assigned.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
     per_cluster = F.array(*[F.lit(own.get(c, 0)).cast("long") for c in range(len(centroids))])
     places = F.array(*[F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>") for c in centroids.tolist()])

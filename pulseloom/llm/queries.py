@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, centroids, chat, langid, lattice, leaks, licenses, repeats, simhash, token_counts, urls
+from pulseloom.llm import bpe, centroids, chat, langid, lattice, leaks, licenses, ranked, repeats, simhash, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,3 +229,26 @@ FROM near JOIN good USING (n) JOIN digest USING (cluster)""")
 def op12_centroids(spark, sf_dir):
     found = centroids.cluster(table(spark, sf_dir, "embeddings"))
     return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op13_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS terms FROM benchmark),
+total AS (SELECT count(*) FILTER (len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d),
+qt AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(terms) AS term FROM q) GROUP BY ALL),
+dt AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM dt, total GROUP BY term, n),
+m AS (SELECT d, 100 - 25 + (25 * len(terms)::BIGINT * n) // l AS m FROM d, total WHERE len(terms) > 0),
+scored AS (
+  SELECT q, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM qt JOIN dt USING (term) JOIN w USING (term) JOIN m USING (d) GROUP BY q, d),
+best AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scored JOIN d USING (d) JOIN q USING (q) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 20""")
+def op13_ranked_search(spark, sf_dir):
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
