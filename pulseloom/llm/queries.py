@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bpe, centroids, chat, langid, lattice, leaks, licenses, ranked, repeats, simhash, token_counts, urls
+from pulseloom.llm import bpe, centroids, chat, langid, lattice, leaks, licenses, quality, ranked, repeats, simhash, token_counts, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,3 +252,9 @@ best AS (
 SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 20""")
 def op13_ranked_search(spark, sf_dir):
     return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_quality_rules")
+def op11_quality_rules(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality.judge(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
