@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.functions import embedding, rules, texts
-from pulseloom.operators import evaluation, knowledge, retrieval
+from pulseloom.operators import cells, evaluation, knowledge, retrieval
 from pulseloom.plans import attribution
+from pulseloom.session import shared_folder
 
 INTEL = """
 grp AS (
@@ -292,6 +293,33 @@ def jn9_parts(spark, d):
     return rounded(hits, 6, "distance").select("query_id", "doc_id", "distance")
 
 
+@query("jn9_nearest_pruned", f"WITH {SEARCH} SELECT query_id, doc_id, round(distance, 6) AS distance FROM hits")
+def jn9_pruned(spark, d):
+    hits = cells.nearest_pruned(A.queries_from_embeddings(spark, d), A.documents_as_kb(spark, d), 40, region_bytes=256 * 1024)
+    return rounded(hits, 6, "distance").select("query_id", "doc_id", "distance")
+
+
+@query("jn9_index_search")
+def jn9_index(spark, d):
+    folder = shared_folder(spark)
+    docs = A.documents_as_kb(spark, d)
+    cells.write_index(docs, folder)
+    queries = A.queries_from_embeddings(spark, d)
+    hits = retrieval.search(queries, docs, by_group=False, index=cells.open_index(spark, folder).tuned(queries, 5))
+    return rounded(hits, 6, "distance", "score").select("query_id", "rank", "doc_id", "distance", "score")
+
+
+@query("snk8_vector_index", "SELECT 'g' || label AS group_id, count(*) AS documents, count(DISTINCT vec_id) AS ids, 16 AS code_bytes FROM embeddings GROUP BY label")
+def snk8_index(spark, d):
+    folder = shared_folder(spark)
+    docs = A.documents_as_kb(spark, d)
+    for _ in range(2):  # a rebuild replaces what was there
+        cells.write_index(docs, folder)
+    lists = cells.open_index(spark, folder).lists
+    return lists.join(docs.select("doc_id", "group_id"), "doc_id").groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.countDistinct("doc_id").alias("ids"), F.max(F.length("codes")).alias("code_bytes"))
+
+
 @query("top4_ranked_hits", f"WITH {SEARCH} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM hits")
 def top4(spark, d):
     hits = retrieval.search(A.queries_from_embeddings(spark, d), A.documents_as_kb(spark, d))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.functions import rules, texts
+from pulseloom.operators.cells import REGION_BYTES, Index, nearest_pruned
 from pulseloom.schemas import TOP_K
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-QUERIES_PER_BLOCK = 100_000
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -66,8 +63,8 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
 
     ``queries`` has ``query_id, vector`` and ``docs`` has ``doc_id, embedding``; ids are BIGINT.
     A document table whose vectors fit ``broadcast_bytes`` is shipped to every task once.  A larger
-    one is cut into parts of that size; blocks of queries meet every part in tasks of their own and
-    the partial results are merged.  Only the nearest hits of a task ever leave it.  Null vectors are left out.
+    one is searched behind Voronoi cells (``cells.nearest_pruned``), so that a query meets only documents that may be near.
+    Only the nearest hits of a task ever leave it.  Null vectors are left out.
     """
     queries, docs = queries.where(F.col("vector").isNotNull()), docs.where(F.col("embedding").isNotNull())
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
@@ -78,8 +75,7 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
     ])
     if n == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    parts = math.ceil(n * dim * 8 / broadcast_bytes)
-    if parts <= 1:
+    if n * dim * 8 <= broadcast_bytes:
         table = docs.select("doc_id", "embedding").toArrow()  # bounded by the check above
         ids = table.column("doc_id").combine_chunks().to_numpy(zero_copy_only=False)
         shipped = docs.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("embedding").combine_chunks())))
@@ -103,36 +99,24 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
         wide = queries.select("query_id", "vector").repartition(cores, "query_id")
         return wide.mapInArrow(run, schema)
 
-    blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    left = queries.select("query_id", "vector", block).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    right = docs.select("doc_id", "embedding", part).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(d):
-            ids = d["doc_id"].to_numpy()
-            names = q["query_id"].to_numpy()
-            for i, at, distances in _top(np.stack(q["vector"]), np.stack(d["embedding"]), ids, k):
-                out.append(pd.DataFrame({"query_id": names[i], "doc_id": ids[at], "distance": distances}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype(
-            {"query_id": "int64", "doc_id": "int64", "distance": "float64"})
-
-    partial = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, schema)
-    w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return partial.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return nearest_pruned(queries, docs, k, region_bytes=max(1, min(REGION_BYTES, broadcast_bytes)))
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, where: Column | None = None,
-           by_group: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+           by_group: bool = True, broadcast_bytes: int = BROADCAST_BYTES, index: Index | None = None) -> DataFrame:
     """Ranked hits with document columns: enough documents per query to roll up to ``k`` groups, or
-    ``k`` documents without ``by_group``."""
+    ``k`` documents without ``by_group``.
+
+    Hits are exact.  With an ``index`` of ``docs`` they are those that the index finds; it can't be combined with ``where``.
+    """
+    if index is not None and where is not None:
+        raise ValueError("an index holds all documents; search exactly to filter them")
     kept = docs.where(where) if where is not None else docs
     wanted = hit_count(k, kept.count()) if by_group else k
-    hits = nearest(queries, kept, wanted, broadcast_bytes)
+    if index is not None:
+        hits = index.search(queries, wanted)
+    else:
+        hits = nearest(queries, kept, wanted, broadcast_bytes)
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(w))
     return ranked.join(kept.drop("embedding"), "doc_id").withColumn("score", similarity(F.col("distance")))
