@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.catalog.core import CONN, CONN_ROWS, DAY, PACKETS, TIE, WINDOWS
 from pulseloom.catalog.evaluate import COUNTS, RATIO_COLUMNS, RATIOS, RUNS, SCORED
-from pulseloom.catalog.hourly import ROWS
+from pulseloom.catalog.hourly import AGG, ROWS
 from pulseloom.catalog.knowledge import INTEL
 from pulseloom.operators import gaps, hourly, knowledge, scoring, sequences
 from pulseloom.operators.evaluation import confusion, false_negative_windows
@@ -16,9 +18,9 @@ from pulseloom.plans import beacons
 from pulseloom.schemas import PACKETS as PACKET_TYPE
 from pulseloom.session import shared_folder
 from pulseloom.sources import captures, lines, sinks, tables
-from pulseloom.streaming import arrivals
+from pulseloom.streaming import alerts, arrivals
 from pulseloom.streaming import connections as stream_connections
-from pulseloom.streaming.hourly import hourly_stream
+from pulseloom.streaming.hourly import hourly_aggregate_stream, hourly_stream
 
 
 def _run(spark, stream, folder):
@@ -29,12 +31,28 @@ def _run(spark, stream, folder):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _write_in_time_order(packets, path, files=5):
-    """Packets as ``files`` files that arrive one after the other, earlier packets first."""
+#: Files of a time slice, and so of a micro-batch.
+SLICE = 4
+
+
+def _write_in_time_order(packets, path, slices=5):
+    """Packets as ``slices`` groups of files that arrive one after the other, earlier packets first."""
     span = packets.agg(F.min("ts"), F.max("ts")).first()
-    part = F.least(F.floor((F.col("ts") - span[0]) * files / (span[1] - span[0] + 1.0)), F.lit(files - 1))
-    for k in range(files):
-        packets.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    part = F.least(F.floor((F.col("ts") - span[0]) * slices / (span[1] - span[0] + 1.0)), F.lit(slices - 1))
+    for k in range(slices):
+        packets.where(part == k).repartition(SLICE).write.mode("append").parquet(path)
+
+
+@contextmanager
+def _rocksdb(spark):
+    """State in RocksDB while a stream with state of its own runs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def _source(spark, df, folder):
@@ -56,6 +74,18 @@ def st1(spark, d):
                    "active_window").drop("first_ts", "last_ts")
 
 
+@query("st1_hourly_full", f"""WITH {AGG}
+SELECT {", ".join(hourly.KEYS)}, connection_count, round(total_duration, 4) AS total_duration, total_bytes, orig_pkts, resp_pkts,
+       round(active_window, 4) AS active_window, round(avg_interval, 5) AS avg_interval, conn_state, history, label, source_files
+FROM ag WHERE (window_start + 3600) * 1000 <= (SELECT floor(max(ts) * 1000) - 600000 FROM hr)""")
+def st1_full(spark, d):
+    folder = shared_folder(spark)
+    rows = hourly.clean_rows(A.hourly_rows_from_events(spark, d))
+    out = _run(spark, hourly_aggregate_stream(_source(spark, rows, folder)), folder)
+    return rounded(rounded(out, 4, "total_duration", "active_window"), 5, "avg_interval").withColumn(
+        "source_files", F.array_join("source_files", ";"))
+
+
 @query("st2_connection_stream", f"""WITH {CONN_ROWS},
 ends AS (SELECT user_id, key_forward, conn_start, start_time + duration AS last_time FROM crow),
 closed AS (
@@ -65,16 +95,11 @@ SELECT user_id, key_forward, conn_start, round(duration, 4) AS duration, orig_pa
        direction_confidence
 FROM crow JOIN closed USING (user_id, key_forward, conn_start) WHERE done""")
 def st2(spark, d):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _rocksdb(spark):
         folder = shared_folder(spark)
         _write_in_time_order(A.packets_from_events(spark, d), f"{folder}/in")
-        packets = spark.readStream.schema(PACKET_TYPE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        packets = spark.readStream.schema(PACKET_TYPE).option("maxFilesPerTrigger", SLICE).parquet(f"{folder}/in")
         out = _run(spark, stream_connections.connection_stream(packets, idle_seconds=DAY), folder)
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
     return rounded(out, 4, "duration").select(
         F.substring("lo_ip", 8, 20).cast("long").alias("user_id"), "key_forward", "conn_start", "duration", "orig_packets",
         "resp_packets", "orig_bytes", "resp_bytes", "direction_confidence")
@@ -111,10 +136,33 @@ def st3(spark, d):
     folder = shared_folder(spark)
     _write_in_time_order(A.packets_from_events(spark, d), f"{folder}/in")
     arrivals.start_arrivals(spark, f"{folder}/in", f"{folder}/out", 0.5, checkpoint=f"{folder}/checkpoint",
-                            files_per_trigger=1, available_now=True, idle_seconds=DAY).awaitTermination()
+                            files_per_trigger=SLICE, available_now=True, idle_seconds=DAY).awaitTermination()
     return arrivals.current_alerts(spark, f"{folder}/out").select("src", "dst", "confidence")
 
 
+@query("st3_alert_stream", f"""WITH {CONN_ROWS},
+now AS (SELECT * FROM crow WHERE (floor(start_time) + 1) * 1000 <= (SELECT floor(max(ts) * 1000) - 600000 FROM pk)),
+cg AS (
+  SELECT *, greatest(0.0::DOUBLE, coalesce(start_time - lag(start_time) OVER w, 0.0::DOUBLE)) AS gap, row_number() OVER w AS i
+  FROM now WINDOW w AS (PARTITION BY user_id, key_forward ORDER BY start_time, conn_start)),
+cr AS (SELECT *, avg(gap) OVER w AS m, stddev_pop(gap) OVER w AS s FROM cg
+       WINDOW w AS (PARTITION BY user_id, key_forward ORDER BY start_time, conn_start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+cp AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + avg((CASE WHEN m > 1e-9 THEN s / m ELSE 0 END)::FLOAT::DOUBLE) OVER w) AS p FROM cr
+       WINDOW w AS (PARTITION BY user_id, key_forward ORDER BY start_time, conn_start ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+b AS (SELECT user_id, key_forward, max(p) AS p, count(*) AS window_count, arg_min(i, (-p, i)) - 10 AS window_index FROM cp WHERE i >= 10 GROUP BY ALL)
+SELECT CASE WHEN key_forward THEN '10.0.0.' || user_id ELSE '192.0.2.1' END AS src,
+       CASE WHEN key_forward THEN '192.0.2.1' ELSE '10.0.0.' || user_id END AS dst, window_index, window_count, round(p, 6) AS probability
+FROM b""")
+def st3_alerts(spark, d):
+    with _rocksdb(spark):
+        folder = shared_folder(spark)
+        _write_in_time_order(A.packets_from_events(spark, d), f"{folder}/in")
+        packets = spark.readStream.schema(PACKET_TYPE).option("maxFilesPerTrigger", SLICE).parquet(f"{folder}/in")
+        out = _run(spark, alerts.best_window_stream(packets, idle_seconds=DAY), folder)
+    return rounded(alerts.latest(out), 6, "probability").select(
+        F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), "window_index", "window_count", "probability")
+
+
 @query("snk1_feature_files", """
 SELECT (['train', 'val', 'test'])[user_id % 5 % 3 + 1] AS split, 'events' AS source_file, count(*) AS n, round(sum(value), 2) AS duration
 FROM events GROUP BY ALL""")

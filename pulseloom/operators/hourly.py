@@ -61,17 +61,29 @@ def hourly_aggregates(clean: DataFrame) -> DataFrame:
         F.min(F.when(F.col("ts") > 0, F.col("ts"))).alias("first_ts"),
         F.max(F.when(F.col("ts") > 0, F.col("ts"))).alias("last_ts"),
     )
-    sums = ["duration", "octets", "orig_pkts", "resp_pkts"]
-    fields = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))
-        for c in ("conn_state", "history", "label", "source_file")
-    ]))
-    per_value = (
+    return hours_from_values(value_counts(combos, KEYS), KEYS)
+
+
+_SUMS = {"duration": "total_duration", "octets": "total_bytes", "orig_pkts": "orig_pkts", "resp_pkts": "resp_pkts"}
+_TEXTS = ("conn_state", "history", "label", "source_file")
+
+
+def value_counts(combos: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key, text column and value: rows, first position, sums and times.
+
+    ``combos`` has rows or sums of rows: ``n`` rows, the least position ``first``, sums, ``first_ts`` and ``last_ts``.
+    """
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in _TEXTS]))
+    return (
         combos.withColumn("_f", fields).select(*combos.columns, "_f.field", "_f.value")
-        .groupBy(*KEYS, "field", "value").agg(
-            F.sum("n").alias("n"), F.min("first").alias("first"), *[F.sum(c).alias(c) for c in sums],
+        .groupBy(*keys, "field", "value").agg(
+            F.sum("n").alias("n"), F.min("first").alias("first"), *[F.sum(c).alias(c) for c in _SUMS],
             F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     )
+
+
+def hours_from_values(per_value: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key from the counts of its values."""
     once = F.col("field") == "label"  # every row has exactly one label
     rank = F.struct("n", (-F.col("first")).alias("f"))
 
@@ -79,10 +91,9 @@ def hourly_aggregates(clean: DataFrame) -> DataFrame:
         counts = (F.col("field") == field) & (F.col("value") != "")
         return F.coalesce(F.max_by(F.when(counts, F.col("value")), F.when(counts, rank)), F.lit(""))
 
-    agg = per_value.groupBy(*KEYS).agg(
+    agg = per_value.groupBy(*keys).agg(
         F.sum(F.when(once, F.col("n"))).alias("connection_count"),
-        *[F.sum(F.when(once, F.col(c))).alias(a) for c, a in zip(
-            sums, ("total_duration", "total_bytes", "orig_pkts", "resp_pkts"))],
+        *[F.sum(F.when(once, F.col(c))).alias(a) for c, a in _SUMS.items()],
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         mode("conn_state").alias("conn_state"), mode("history").alias("history"), mode("label").alias("label"),
         F.array_sort(F.collect_list(F.when(F.col("field") == "source_file", F.col("value")))).alias("source_files"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,22 @@ def sessions(packets: DataFrame, lateness: str = "10 minutes", idle_seconds: flo
     return agg.drop("session_window")
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Packets in time order as ``ts, pkt_no, forward, syn, ends, seq, length``.
+
+    Of each frame only these numbers are kept, so a batch of one pair takes 48 bytes a packet until it is in order.
+    """
+    held = [
+        np.rec.fromarrays([
+            f["ts"].to_numpy(np.float64), f["pkt_no"].to_numpy(np.int64), f["forward"].to_numpy(bool), f["syn"].to_numpy(bool),
+            f["ends"].to_numpy(bool), f["seq"].fillna(0).to_numpy(np.int64), f["length"].fillna(0).to_numpy(np.int64)])
+        for f in rows]
+    packets = np.concatenate(held)
+    del held
+    for at in np.array_split(np.lexsort((packets["f1"], packets["f0"])), len(packets) // 65536 + 1):
+        yield from packets[at].tolist()
+
+
 class ConnectionBuilder(StatefulProcessor):
     """Two open connections at most per endpoint pair, one per direction.
 
@@ -56,35 +73,41 @@ class ConnectionBuilder(StatefulProcessor):
         return (*key, forward, c["start_no"], c["start_time"], c["last_time"] - c["start_time"], c["orig_packets"],
                 c["resp_packets"], c["orig_bytes"], c["resp_bytes"], c["confidence"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _advance(self, rows: Iterator[pd.DataFrame]) -> tuple[list[tuple], list[tuple]]:
+        """Take the packets of a batch: connections that ended, and side, number and time of those that started."""
         state = {k[0]: dict(zip(_FIELDS, v)) for k, v in self._open.iterator()}
-        done = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "pkt_no"], kind="stable")
-        for p in batch.itertuples(index=False):
-            forward, ts, syn = bool(p.forward), float(p.ts), bool(p.syn)
+        ended, started = [], []
+        for ts, no, forward, syn, ends, seq, length in _in_order(rows):
             side = forward if syn or forward in state or (not forward) not in state else not forward
             c = state.get(side)
             fresh = c is None or not c["open"] or ts - c["seen_time"] > self._idle or (
-                syn and (c["ended"] or not c["has_syn"] or c["seq"] != p.seq))
+                syn and (c["ended"] or not c["has_syn"] or c["seq"] != seq))
             if fresh:
                 if c is not None and c["open"]:
-                    done.append(self._row(key, side, c))
+                    ended.append((side, c))
                 c = state[side] = dict(
-                    start_no=int(p.pkt_no), start_time=ts, last_time=ts, seen_time=ts, has_syn=syn,
-                    seq=int(p.seq) if syn else 0, confidence=1.0 if syn else (c["confidence"] if c else 0.0),
+                    start_no=no, start_time=ts, last_time=ts, seen_time=ts, has_syn=syn,
+                    seq=seq if syn else 0, confidence=1.0 if syn else (c["confidence"] if c else 0.0),
                     ended=False, orig_packets=0, resp_packets=0, orig_bytes=0, resp_bytes=0, open=True)
+                started.append((side, no, ts))
             origin = "orig" if forward == side else "resp"
             c[f"{origin}_packets"] += 1
-            c[f"{origin}_bytes"] += int(p.length)
+            c[f"{origin}_bytes"] += length
             c["start_time"], c["last_time"] = min(c["start_time"], ts), max(c["last_time"], ts)
             c["seen_time"] = ts
-            c["ended"] = c["ended"] or bool(p.ends)
+            c["ended"] = c["ended"] or ends
         for side, c in state.items():
             self._open.updateValue((side,), tuple(c[f] for f in _FIELDS))
+        return ended, started
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ended, _ = self._advance(rows)
+        for _, c in self._open.iterator():
+            c = dict(zip(_FIELDS, c))
             if c["open"]:
                 self._handle.registerTimer(int((c["last_time"] + self._idle) * 1000) + 1)
-        if done:
-            yield pd.DataFrame(done, columns=_COLUMNS)
+        if ended:
+            yield pd.DataFrame([self._row(key, side, c) for side, c in ended], columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() / 1000.0

@@ -1,13 +1,21 @@
 """Streams give the rows of the batch plan, however the input is cut into micro-batches."""
 
+import random
+
+import numpy as np
+import pandas as pd
 import pytest
 
+from pulseloom.operators import scoring
 from pulseloom.operators.connections import connections_from_packets
-from pulseloom.plans.beacons import beacon_alerts
+from pulseloom.operators.hourly import hourly_aggregates
+from pulseloom.plans.beacons import beacon_alerts, scored_windows
 from pulseloom.schemas import PACKETS
 from pulseloom.session import shared_folder
-from pulseloom.streaming import arrivals
+from pulseloom.streaming import alerts, arrivals
+from pulseloom.streaming import connections as stream_connections
 from pulseloom.streaming.connections import connection_stream
+from pulseloom.streaming.hourly import hourly_aggregate_stream
 
 A, B = ("10.0.0.1", 5000), ("10.0.0.2", 443)
 
@@ -61,3 +69,97 @@ def test_one_group_over_two_files(spark, per_trigger):
     want = beacon_alerts(connections_from_packets(spark.createDataFrame(rows, PACKETS)), ["conn_start"], 0.5)
     columns = ["src", "dst", "port", "confidence"]
     assert got.select(columns).collect() == want.select(columns).collect() and want.count() == 1
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def traffic():
+    """Three groups on many ports with regular, erratic and equal gaps, and one late packet that ends the stream's waiting."""
+    rnd, rows = random.Random(4), []
+    for host, gap, spread in (("10.0.0.1", 900, 0), ("10.0.0.3", 700, 650), ("10.0.0.4", 1000, 100)):
+        at = 0.0
+        for i in range(26):
+            at += gap + rnd.randint(0, spread)
+            rows.append((at, (host, 4000 + i), B, 0x02, i))
+            for k in range(rnd.randint(0, 3)):
+                rows.append((at + 1 + k, B, (host, 4000 + i), 0x10, 0))
+    rows.sort(key=lambda r: r[0])
+    rows.append((500_000.0, ("10.0.0.9", 1), B, 0x10, 0))
+    return [packet(n, ts, a, b, flags=flags, seq=seq) for n, (ts, a, b, flags, seq) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("cuts, swaps", [(1, 0), (3, 0), (5, 4)])
+def test_alert_stream_equals_batch(spark, rocksdb, cuts, swaps):
+    rows = traffic()
+    size = -(-len(rows) // cuts)
+    batches = [rows[i:i + size] for i in range(0, len(rows), size)]
+    for a, b in list(zip(batches, batches[1:]))[:swaps]:  # neighbours across a cut arrive in the wrong order, within the lateness
+        a[-1], b[0] = b[0], a[-1]
+    folder = files(spark, batches)
+    stream = alerts.best_window_stream(
+        spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), lateness="2 hours")
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    # a batch reads its own rows, whatever came before
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [len(b) for b in batches]
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    connections = connections_from_packets(spark.createDataFrame(rows, PACKETS))
+    best = scoring.best_windows(scored_windows(connections, ["conn_start"]))
+
+    def found(df):
+        return {(r.src_ip, r.dst_ip, r.dst_port, r.window_index, r.window_count, r.window_start_time, r.window_end_time): (
+            round(r.probability, 9), round(r.first_flow_gap, 6), round(r.first_gap_cv, 9)) for r in df.collect()}
+
+    assert found(alerts.latest(out)) == found(best) and best.count() == 3
+    want = scoring.by_confidence(scoring.alerts(best, 0.95))
+    assert alerts.current_alerts(out, 0.95).collect() == want.collect() and 0 < want.count() < 3
+
+
+def test_rolled_variation():
+    rng = np.random.default_rng(2)
+    gaps = np.concatenate([[0.0, 0.0, 0.0], rng.integers(0, 50, 40).astype(float)])
+    want = []
+    for i in range(len(gaps)):
+        some = gaps[max(0, i - 4):i + 1]
+        want.append(some.std() / some.mean() if some.mean() > 1e-9 else 0.0)
+    for cut in range(1, len(gaps)):
+        got = np.concatenate([alerts.rolled(np.empty(0), gaps[:cut]), alerts.rolled(gaps[max(0, cut - 4):cut], gaps[cut:])])
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 5])
+def test_hourly_stream_equals_batch(spark, cuts):
+    rnd = random.Random(7)
+    kind = ("row_no long, source_file string, src_ip string, dst_ip string, dst_port string, protocol string, service string, window_start long, "
+            "ts double, duration double, octets long, orig_pkts long, resp_pkts long, conn_state string, history string, label string")
+    rows = []
+    for n in range(400):
+        ts = 1e6 + n * 60 + rnd.randint(0, 400)
+        rows.append((n, f"f{rnd.randint(0, 2)}", f"h{rnd.randint(0, 2)}", "d", rnd.choice(["", "443"]), "tcp", "", int(ts // 3600 * 3600), ts,
+                     float(rnd.randint(0, 9)), rnd.randint(0, 99), 1, 2, rnd.choice(["", "SF", "S0"]), rnd.choice(["", "Dd", "ShAD"]),
+                     rnd.choice(["none", "C2", "Discovery"])))
+    rows.append((999, "f9", "end", "d", "1", "tcp", "", 0, 2e6, 0.0, 0, 0, 0, "", "", "none"))
+    folder = shared_folder(spark)
+    for i in range(cuts):
+        part = rows[i * len(rows) // cuts:(i + 1) * len(rows) // cuts]
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = hourly_aggregate_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), lateness="1 hour")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(
+        availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    want = hourly_aggregates(spark.createDataFrame(rows, kind).where("src_ip != 'end'")).select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and want.count() > 20
+
+
+def test_packets_of_several_frames_come_in_order():
+    frames = [pd.DataFrame({"ts": [3.0, 1.0], "pkt_no": [3, 1], "forward": [True, False], "syn": [False, True], "ends": [False, False],
+                            "seq": [None, 5], "length": [10, 20], "other": ["a", "b"]}),
+              pd.DataFrame({"ts": [1.0, 2.0], "pkt_no": [0, 2], "forward": [True, True], "syn": [False, False], "ends": [True, False],
+                            "seq": [7, 8], "length": [None, 1], "other": ["a", "b"]})]
+    assert [(t, n) for t, n, *_ in stream_connections._in_order(iter(frames))] == [(1.0, 0), (1.0, 1), (2.0, 2), (3.0, 3)]
