@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -28,7 +29,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _space = regex.compile(r"\s+").fullmatch
 _NEVER = 1 << 60
 _CACHE = 600_000
+_PAIRS = 300_000
 _LONG_PIECE = 256
+_CHARACTERS = 1_000_000  # of texts whose matches are counted together
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,18 +47,11 @@ class PieceCounts:
     def __init__(self, ranks: dict[bytes, int], vocabulary: set[bytes]):
         self.ranks = ranks
         # a token that merging its own bytes does not give never ends a prefix
-        self.tokens = vocabulary
+        self.tokens = {t for t in vocabulary if len(merge(t, ranks)) == 1}
         self.longest = max(map(len, vocabulary), default=1)
-        self._proper: dict[bytes, bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
 
-    def proper(self, token: bytes) -> bool:
-        known = self._proper.get(token)
-        if known is None:
-            known = self._proper[token] = len(merge(token, self.ranks)) == 1
-        return known
-
     def halves(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts whose merge gives ``token`` (of two bytes or more)."""
         parts = [token[i:i + 1] for i in range(len(token))]
@@ -84,8 +80,6 @@ class PieceCounts:
         is merged before one of them grows."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 300_000:
-                self._pairs.clear()
             known = self._pairs[left, right] = self._seam_holds(left, right)
         return known
 
@@ -106,17 +100,40 @@ class PieceCounts:
     def of(self, piece: bytes) -> list[int]:
         """``counts[i]``: tokens of the first ``i`` bytes, for ``i`` from 0 to the length."""
         counts, last = [0], [b""]
-        tokens, longest = self.tokens, self.longest
-        for stop in range(1, len(piece) + 1):
-            for start in range(max(0, stop - longest), stop):
+        self._extend(piece, counts, last)
+        return counts
+
+    def totals(self, pieces: list[bytes]) -> Iterator[int]:
+        """Tokens of every piece.  Each goes on from the counts of the prefix that it shares with the piece before it, so sorted
+        pieces share most of the work."""
+        counts, last, before = [0], [b""], b""
+        for piece in pieces:
+            same, most = 0, min(len(piece), len(before))
+            while same < most and piece[same] == before[same]:
+                same += 1
+            del counts[same + 1:], last[same + 1:]
+            self._extend(piece, counts, last)
+            before = piece
+            yield counts[-1]
+
+    def _extend(self, piece: bytes, counts: list[int], last: list[bytes]) -> None:
+        tokens, longest, stays = self.tokens, self.longest, self.stays
+        if len(self._pairs) > _PAIRS:
+            self._pairs.clear()
+        known = self._pairs.get
+        for stop in range(len(counts), len(piece) + 1):
+            for start in range(stop - longest if stop > longest else 0, stop):
                 token = piece[start:stop]
-                if token in tokens and self.proper(token) and (not start or self.stays(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+                if token in tokens:
+                    fits = not start or known((last[start], token))
+                    if fits is None:
+                        fits = stays(last[start], token)
+                    if fits:
+                        counts.append(counts[start] + 1)
+                        last.append(token)
+                        break
             else:
                 raise ValueError(f"no token of the vocabulary ends {piece[:stop]!r}")
-        return counts
 
 
 class Counter:
@@ -162,55 +179,72 @@ class Counter:
                 self._totals[piece] = known
         return known
 
-    def parts(self, text: str) -> list[tuple[int, str, bool]]:
-        """(start, part, is it a special string) from left to right."""
+    def parts(self, text: str) -> list[tuple[str, bool]]:
+        """(part, is it a special string) from left to right."""
         found, at = [], 0
         for m in self._special.finditer(text) if self._special else ():
             if m.start() > at:
-                found.append((at, text[at:m.start()], False))
-            found.append((m.start(), m.group(), True))
+                found.append((text[at:m.start()], False))
+            found.append((m.group(), True))
             at = m.end()
         if at < len(text):
-            found.append((at, text[at:], False))
+            found.append((text[at:], False))
         return found
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Count the matches of several texts that were not counted before, each once and in order."""
+        known = self._totals
+        if len(known) > _CACHE:
+            known.clear()
+        new: dict[bytes, str] = {}
+        for items in texts:
+            totals = list(map(known.get, items))
+            if None in totals:
+                new.update((p.encode("utf-8", "replace"), p) for p, n in zip(items, totals) if n is None and len(p) <= _LONG_PIECE)
+        for piece, n in zip(ordered := sorted(new), self.pieces.totals(ordered)):
+            known[new[piece]] = n
+
+    def cut(self, text: str | None) -> tuple[list[str], set[int]]:
+        """The matches of a text and its special strings, and the places of the special strings."""
+        items: list[str] = []
+        places: set[int] = set()
+        for part, special in self.parts(text or ""):
+            if special:
+                places.add(len(items))
+                items.append(part)
+            else:
+                items += self.split(part)
+        return items, places
+
+    def tokens(self, items: list[str], places: set[int]) -> list[int]:
+        """Tokens of each of what ``cut`` gives."""
+        totals = list(map(self._totals.get, items))
+        if places or None in totals:
+            total = self.total
+            totals = [1 if i in places else n if n is not None else total(p) for i, (p, n) in enumerate(zip(items, totals))]
+        return totals
+
     def count(self, text: str | None) -> int:
         """Tokens of the whole text: the last of its prefix counts."""
-        if not text:
-            return 0
-        total, known, n = self.total, self._totals, 0
-        for _, part, special in self.parts(text):
-            if special:
-                n += 1
-                continue
-            pieces = self.split(part)
-            for p in set(pieces):
-                if p not in known:
-                    total(p)
-            n += sum([known[p] if p in known else total(p) for p in pieces])
-        return n
+        return sum(self.tokens(*self.cut(text)))
 
     def prefixes(self, text: str | None) -> "PrefixCounts":
-        return PrefixCounts(self, text or "")
+        items, places = self.cut(text)
+        return PrefixCounts(self, text or "", items, self.tokens(items, places), places)
 
 
 class PrefixCounts:
     """Exact counts of all prefixes of one text: sums up to each match, and the counts inside each match.
 
     A prefix that ends in white space has its whole last run of white space as one match; one that ends inside
-    a contraction has its apostrophe and its letter as two.  Both are counted so.
+    a contraction has its apostrophe and its letter as two.  One that ends inside a special string has the text from the
+    last special string before it on cut anew; matches that were counted before are looked up.
     """
 
-    def __init__(self, counter: Counter, text: str):
-        self.counter, self.text = counter, text
-        self.starts, self.items, self.special = [], [], []
-        for start, part, special in counter.parts(text):
-            for p in [part] if special else counter.split(part):
-                self.starts.append(start)
-                self.items.append(p)
-                self.special.append(special)
-                start += len(p)
-        self.sums = list(accumulate((1 if s else counter.total(p) for p, s in zip(self.items, self.special)), initial=0))
+    def __init__(self, counter: Counter, text: str, items: list[str], totals: list[int], special: set[int]):
+        self.counter, self.text, self.items, self.special = counter, text, items, special
+        self.starts = list(accumulate(map(len, items), initial=0))
+        self.sums = list(accumulate(totals, initial=0))
         self._inside: dict[int, list[int]] = {}
 
     def at(self, stop: int) -> int:
@@ -221,16 +255,16 @@ class PrefixCounts:
             return self.sums[-1]
         k = bisect_right(self.starts, stop - 1) - 1
         done = stop - self.starts[k]
-        if self.special[k]:
+        if k in self.special:
             if done == len(self.items[k]):
                 return self.sums[k + 1]
             first = k
-            while first and not self.special[first - 1]:
+            while first and first - 1 not in self.special:
                 first -= 1
             return self.sums[first] + self.counter.count(self.text[self.starts[first]:stop])
         if _space(self.items[k][:done]):
             first = k
-            while first and not self.special[first - 1] and _space(self.items[first - 1]):
+            while first and first - 1 not in self.special and _space(self.items[first - 1]):
                 first -= 1
             return self.sums[first] + self.counter.total(self.text[self.starts[first]:stop])
         if k not in self._inside:
@@ -244,7 +278,9 @@ class PrefixCounts:
         """Characters of the longest prefix up to which no prefix has more than ``budget`` tokens."""
         if budget < 0:
             return 0
-        k = 0
+        # a character has four bytes at most, and a byte at most a token: no match before this one can go over
+        longest = 4 * max(map(len, self.items), default=0)
+        k = max(0, bisect_right(self.sums, budget - longest) - 1)
         while k < len(self.items) and self.sums[k] + len(self.items[k].encode("utf-8", "replace")) <= budget:
             k += 1
         # from here on a prefix may be over; every earlier one has at most a token per byte
@@ -260,6 +296,19 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+def pieces(texts) -> Iterator[list[str | None]]:
+    """The texts in lists of about a million characters, or of one text."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py())
+        size += len(some[-1] or "")
+        if size >= _CHARACTERS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def count_tokens(df: DataFrame, path: str, *, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fit_chars`` of every whole text.
 
@@ -267,15 +316,16 @@ def count_tokens(df: DataFrame, path: str, *, limit: int, key: str = "doc_id", t
     readable on the executors.
     """
     def work(keys, texts):
-        c = counter(path)
-        n_bytes, n_tokens, over, fits = [], [], [], []
-        for t in texts.to_pylist():
-            n = c.count(t)
-            n_bytes.append(len(t.encode("utf-8", "replace")) if t else 0)
-            n_tokens.append(n)
-            over.append(n > limit)
-            fits.append(c.prefixes(t).fit(limit) if n > limit else len(t or ""))
-        return keys, n_bytes, n_tokens, over, fits
+        c, rows = counter(path), []
+        for some in pieces(texts):
+            cuts = [c.cut(t) for t in some]
+            c.learn([items for items, _ in cuts])
+            for t, (items, places) in zip(some, cuts):
+                totals = c.tokens(items, places)
+                n = sum(totals)
+                fit = PrefixCounts(c, t, items, totals, places).fit(limit) if n > limit else len(t or "")
+                rows.append((len(t.encode("utf-8", "replace")) if t else 0, n, n > limit, fit))
+        return [keys, *([r[i] for r in rows] for i in range(4))]
 
     schema = T.StructType([
         T.StructField(key, df.schema[key].dataType), T.StructField("n_bytes", T.LongType()),
