@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pulseloom.llm import shinglesets
 from pulseloom.llm.components import connected
 from pulseloom.llm.texts import keyed_texts, map_rows
-from pulseloom.session import materialise
+from pulseloom.session import materialise, scratch
 
 BITS = 64
 BUCKET = 64
@@ -145,26 +145,6 @@ def groups(df: DataFrame, size: int, *, radius: int = 2, key: str = "doc_id", te
 
 # Near copies: fingerprints can't hold a similarity exactly, so ``later_copies`` links by the sets of shingles.
 
-WIDE = 8  # words of 64 bits
-_MIX = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & ((1 << 64) - 1) for i in range(WIDE)]
-
-
-def wide_fingerprint(text: bytes | None, size: int) -> list[int]:
-    """``WIDE`` fingerprints of 64 bits, each from its own hashes of the distinct shingles."""
-    found = set(shingles(text, size))
-    if not found:
-        return [0] * WIDE
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), dtype=np.uint64, count=len(found))
-    out = []
-    for mix in _MIX:
-        own = hashes ^ np.uint64(mix)
-        for _ in range(2):
-            own = (own ^ (own >> np.uint64(31))) * np.uint64(mix | 1)
-        own ^= own >> np.uint64(29)
-        out.append(int(np.packbits(majority(own), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def later_copies(df: DataFrame, size: int = 5, *, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``text_id`` of the rows that are near copies of another row: all but the least of each group, by both.
 
@@ -172,11 +152,12 @@ def later_copies(df: DataFrame, size: int = 5, *, similarity: float = 0.8, key:
     rows with a null key take no part; rows that repeat a key and a text are one.
     """
     rows = keyed_texts(df, key, text).where(F.col("_key").isNotNull()).withColumn("id", shinglesets.text_id(F.col("_text")))
-    texts = rows.where(F.col("id") != shinglesets.EMPTY).select("id", F.col("_text").alias("text"))
-    roots = connected(shinglesets.link(texts, lambda t: shingles(t, size), similarity))
-    entries = rows.groupBy("id").agg(F.min(F.struct("_key", "id")).alias("least"))
-    placed = entries.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("least"))
-    named = materialise(placed.drop("least").join(least, "root").select("id", "least"))
-    return rows.join(named, "id").where(F.struct("_key", "id") != F.col("least")).select(
-        F.col("_key").alias(key), F.col("id").alias("text_id")).distinct()
+    with scratch(df.sparkSession) as keep:
+        texts = rows.where(F.col("id") != shinglesets.EMPTY).select("id", F.col("_text").alias("text"))
+        roots = connected(shinglesets.link(texts, lambda t: shingles(t, size), similarity))
+        entries = rows.groupBy("id").agg(F.min(F.struct("_key", "id")).alias("least"))
+        placed = entries.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+        least = placed.groupBy("root").agg(F.min("least").alias("least"))
+        named = materialise(placed.drop("least").join(least, "root").select("id", "least"))
+        return keep(rows.join(named, "id").where(F.struct("_key", "id") != F.col("least")).select(
+            F.col("_key").alias(key), F.col("id").alias("text_id")).distinct())

@@ -132,8 +132,16 @@ def test_later_copies_in_crowds(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     entries_left = len(texts) - simhash.later_copies(df).count()
     assert entries_left == 2
-    wide = np.array([simhash.wide_fingerprint(t.encode(), 5) for t in texts[:2]])
-    assert wide.shape == (2, simhash.WIDE)
+
+
+def test_sketches_never_tell_similar_sets_apart():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, m, both = (int(x) for x in rng.integers(0, 900, 3))
+        common, a, b = (rng.integers(-(1 << 63), 1 << 63, k) for k in (both, n, m))
+        one, two = np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))
+        bits = np.bitwise_count((shinglesets._sketch(one) ^ shinglesets._sketch(two)).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(one, two)) and len(shinglesets._sketch(one)) == shinglesets.SKETCH
 
 
 def exact_groups(texts, similarity=0.8):
