@@ -268,6 +268,22 @@ def src1_file(spark, d):
         F.count("start_time").alias("n"), F.round(F.sum(F.col("duration").cast("double")), 2).alias("duration"))
 
 
+@query("src1_quoted_breaks", """
+WITH e AS (SELECT user_id, value, 'k' || event_id || CASE WHEN event_id % 3 = 0 THEN chr(10) || '"' || event_type || '",' || chr(10) ELSE '' END AS note FROM events)
+SELECT 'u' || user_id AS src_ip, count(*) AS n, round(sum(value), 2) AS duration, sum(length(note))::BIGINT AS note_chars,
+       count(*) FILTER (note LIKE '%' || chr(10) || '%') AS broken FROM e GROUP BY ALL""")
+def src1_quoted(spark, d):
+    folder = shared_folder(spark)
+    event = F.col("event_id").cast("string")
+    broken = F.concat(F.lit("k"), event, F.lit('\n"'), "dst_ip", F.lit('",\n'))
+    note = F.when(F.col("event_id") % 3 == 0, broken).otherwise(F.concat(F.lit("k"), event))
+    A.connections_from_events(spark, d).select("src_ip", "dst_ip", "duration", F.col("start_time").alias("ts"), note.alias("note")).write.option(
+        "header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return tables.read_feature_csv(spark, folder).groupBy("src_ip").agg(
+        F.count("start_time").alias("n"), F.round(F.sum(F.col("duration").cast("double")), 2).alias("duration"),
+        F.sum(F.length("note")).alias("note_chars"), F.count(F.when(F.col("note").contains("\n"), 1)).alias("broken"))
+
+
 @query("src3_log_files", """
 SELECT '10.1.0.' || user_id AS orig_h, count(*) AS n, coalesce(sum(CASE WHEN event_id % 11 <> 0 THEN json_extract(props, '$.k')::BIGINT END), 0)::BIGINT AS octets
 FROM events GROUP BY ALL""")

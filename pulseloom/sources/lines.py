@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.endpoints import collapse_name
+from pulseloom.plans.hotgroups import DEFAULT, Limits, spread
 from pulseloom.session import materialise
 
 
@@ -44,12 +45,59 @@ def stride_sample(rows: DataFrame, keys: list[str], stride: int, max_rows: int =
     return numbered.where(F.pmod("row_no", F.lit(stride)) == 0) if stride > 1 else numbered
 
 
+# A field of a line: quoted to its end (then anything up to the comma), or without a quote at its start.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+"(?!")[^,]*+'
+_FIELD = rf'(?:"{_QUOTED}|[^",][^,]*+|)'
+_REST = rf"(?:,{_FIELD})*+$"
+
+
+def quoted_records(lines: DataFrame, keys: list[str] = ("path",), limits: Limits = DEFAULT) -> DataFrame:
+    """Lines of a file joined to records where a quoted field holds a line break; ``at`` is that of the first line.
+
+    Each line is a function on two states, outside of quotes or inside, found for both starts.  A line that ends in one state
+    whatever it starts in fixes the state; others keep or swap it.  So the state before a line follows from the last line
+    that fixes it and the number of swaps since, both running values that blocks of a large file hand on.  Lines that are records by
+    themselves are not moved.  A quote that is never closed takes the rest of its file, as it does for a sequential reader.
+    """
+    keys = list(keys)
+    has = F.col("value").contains('"')
+    out = F.when(has, ~F.col("value").rlike(f"^{_FIELD}{_REST}")).otherwise(F.lit(False)).cast("int")
+    inside = F.when(has, ~F.col("value").rlike(f"^{_QUOTED}{_REST}")).otherwise(F.lit(True)).cast("int")
+    if lines.where(out == 1).isEmpty():
+        return lines
+    rows = materialise(lines.withColumns({"_out": out, "_in": inside, "_split": F.col("at.block"), "_row": F.col("at.line")}))
+    s = spread(rows, keys, "_split", tie=["_row"], rows_back=0, limits=limits)
+    swap = ((F.col("_out") == 1) & (F.col("_in") == 0)).cast("long")
+    s = s.with_carry({"_t": swap}, how="sum")
+    so_far = s.window("_split", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.with_df(s.df.withColumn("_swaps", F.coalesce("_t", F.lit(0).cast("long")) + F.sum(swap).over(so_far)))
+    fixed = F.when(F.col("_out") == F.col("_in"), F.struct("_split", "_row", F.col("_out").alias("state"), F.col("_swaps").alias("swaps")))
+    s = s.with_carry({"_c": fixed})
+    before = s.window("_split", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(F.max(fixed).over(before), F.col("_c"))
+    since = F.col("_swaps") - swap - F.coalesce(last["swaps"], F.lit(0).cast("long"))
+    state = (F.coalesce(last["state"], F.lit(0)) + since) % 2
+    s = s.with_df(s.df.withColumn("_state", state))
+    starts = (F.col("_state") == 0).cast("long")
+    s = s.with_carry({"_r": starts}, how="sum")
+    so_far = s.window("_split", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = s.with_df(s.df.withColumn("_record", F.coalesce("_r", F.lit(0).cast("long")) + F.sum(starts).over(so_far))).finish()
+    numbered = materialise(numbered.select(*lines.columns, "_state", "_out", "_record"))
+    alone = (F.col("_state") == 0) & (F.col("_out") == 0)
+    rest = [c for c in lines.columns if c not in (*keys, "at", "value")]
+    joined = numbered.where(~alone).groupBy(*keys, "_record").agg(
+        F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_lines"), *[F.min_by(c, "at").alias(c) for c in rest])
+    whole = joined.withColumns({
+        "at": F.get("_lines", F.lit(0))["at"], "value": F.array_join(F.transform("_lines", lambda x: F.coalesce(x["value"], F.lit(""))), "\n")})
+    return numbered.where(alone).select(*lines.columns).unionByName(whole.select(*lines.columns))
+
+
 def parse_csv_with_preamble(lines: DataFrame, rule=collapse_name, header_prefix: str | None = None,
                             keys: list[str] = ("path",)) -> DataFrame:
     """CSV rows after an arbitrary preamble, all text, columns renamed by ``rule``.
 
     The header of a file is its first non-blank line with a comma (or with ``header_prefix``).
-    Every line is parsed once, as wide as the widest header, and a column is taken from the place where its file's header has
+    A quoted field may hold line breaks and doubled quotes.  Every record is parsed once, as wide as the widest header, and a column is taken from the place where its file's header has
     it (the last, if twice).  Only the distinct header lines reach the driver, since they decide the output columns.
     """
     keys = list(keys)
@@ -66,7 +114,7 @@ def parse_csv_with_preamble(lines: DataFrame, rule=collapse_name, header_prefix:
     table = lines.sparkSession.createDataFrame(places, "_header string, _places array<int>")
     # one row per file, written first: broadcast by its size, or else a join in which Spark splits a large file
     placed = materialise(headers.join(table, "_header").drop("_header"))
-    body = lines.where(text != "").join(placed, keys).where(F.col("at") > F.col("_header_at"))
+    body = quoted_records(lines.join(placed, keys).where(F.col("at") > F.col("_header_at")), keys).where(text != "")
     row = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(wide))), {"escape": '"', "mode": "PERMISSIVE"})
     parsed = body.withColumn("_r", row).withColumn("_r", F.array(*[F.col(f"_r.c{i}") for i in range(wide)]))
     return parsed.select(*keys, "at", *[
