@@ -461,12 +461,20 @@ def ud3(spark, d):
         F.count_if(F.col("_norm") == 0.0).alias("zero_vectors"))
 
 
-@query("ud3_attributed_threats", "SELECT count(*) AS threats, count(*) AS decided FROM embeddings")
+@query("ud3_attributed_threats", """
+SELECT count(*) AS threats, count(*) AS decided, 0::BIGINT AS accepted_below_bounds, 0::BIGINT AS refused_within_bounds, count(*) AS with_confidence
+FROM embeddings""")
 def ud3_attribution(spark, d):
     docs = knowledge.evidence_documents(_intel(spark, d)).withColumn("doc_id", F.xxhash64("id"))
     threats = A.threats_from_embeddings(spark, d)
     out = attribution.attribute_threats(threats, docs)
-    return out.agg(F.count(F.lit(1)).alias("threats"), F.count("attribution_decision").alias("decided"))
+    near = (F.col("top1_score") >= 0.6) & ((F.col("top2_score") == 0) | (F.col("score_gap") >= 0.03))
+    accepted, decision = F.col("attribution_accepted"), F.col("attribution_decision")
+    named = decision.isin("accepted", "insufficient_top1_similarity", "ambiguous_top1_top2_gap")
+    return out.agg(
+        F.count(F.lit(1)).alias("threats"), F.count(F.when(named, decision)).alias("decided"),
+        F.count_if(accepted & ~near).alias("accepted_below_bounds"), F.count_if(~accepted & near).alias("refused_within_bounds"),
+        F.count(F.when(F.col("confidence").between(0, 100), 1)).alias("with_confidence"))
 
 
 @query("jn10_candidate_translation", f"""WITH {ENTRIES},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions import casts, endpoints
 from pulseloom.functions.rules import MISSING, UNKNOWN_PROTOCOL
-from pulseloom.plans.hotgroups import DEFAULT, Limits, spread
+from pulseloom.plans.hotgroups import DEFAULT, Limits, join_null_safe, spread
 from pulseloom.schemas import OLD_FEATURES
 
 PAIR = ["orig_h", "resp_h"]
@@ -178,7 +178,9 @@ def http_tls_facts(http: DataFrame, ssl: DataFrame, capture: str = "source_file"
     distinct = ssl.select(capture, named.alias("x")).select(capture, "x.n", "x.v").where(F.col("v") != "").distinct()
     listed = distinct.groupBy(capture).agg(*[
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") == n, F.col("v")))), ", ").alias(n) for n in lists])
-    joined = h.join(s, capture, "full_outer").join(listed, capture, "left")
+    joined = h.select(capture).unionByName(s.select(capture)).distinct()
+    for facts in (h, s, listed):  # rows without a capture are one capture
+        joined = join_null_safe(joined, facts, [capture], "left")
     n_http, n_tls = (F.coalesce(c, F.lit(0).cast("long")) for c in ("http_requests", "tls_sessions"))
 
     def profile(field):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pulseloom.operators import connections, highrisk, scoring, sequences
+from pulseloom.operators import connections, highrisk, logs, scoring, sequences
 from pulseloom.schemas import GROUP_KEYS, PACKETS
 
 
@@ -42,3 +42,12 @@ def test_status_of_a_null_capture(spark):
     best = scoring.best_windows(windows)
     status = scoring.run_status(rows, best, best.where("probability > 0.4"))
     assert {(r.source_file, r.status, r.total_flagged) for r in status.collect()} == {("f", "completed", 1), (None, "completed", 1)}
+
+
+def test_facts_of_a_null_capture(spark):
+    http = spark.createDataFrame([(None, 1, "10.0.0.1", "8.8.8.8", "80", "h")], "source_file string, row_no int, orig_h string, resp_h string, resp_p string, host string")
+    ssl = spark.createDataFrame(
+        [(None, 1, "10.0.0.1", "8.8.4.4", "443", "n", "v3"), ("a", 2, "10.0.0.1", "8.8.4.4", "443", "m", "v3")],
+        "source_file string, row_no int, orig_h string, resp_h string, resp_p string, server_name string, version string")
+    facts = {r.source_file: (r.http_requests, r.tls_sessions, r.tls_sni) for r in logs.http_tls_facts(http, ssl).collect()}
+    assert facts == {None: (1, 1, "n"), "a": (0, 1, "m")}
