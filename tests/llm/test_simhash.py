@@ -210,3 +210,14 @@ def test_crowded_buckets_are_compared_whole(spark):
         for a, b in edges:
             root[top(a)] = top(b)
         assert all(top(a) == top(b) for a in ids for b in ids if jaccard(sets[a], sets[b]) >= 0.8)
+
+
+def test_listed_rows_by_both_ways(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, f"t{i}") for i in range(60)], "id long, text string").repartition(3)
+    ids = spark.createDataFrame([(1,), (3,), (99,), (None,)], "id long")
+    for how in ("left_semi", "left_anti"):
+        want = sorted((r.id, r.text) for r in rows.collect() if (r.id in (1, 3)) == (how == "left_semi") and r.id is not None)
+        for shipped in (None, 2):
+            got = shinglesets.listed(rows, ids, "id", how, shipped).collect()
+            assert sorted((r.id, r.text) for r in got if r.id is not None) == want
+            assert sum(r.id is None for r in got) == (0 if how == "left_semi" else 12)  # a null meets nothing
