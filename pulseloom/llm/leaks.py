@@ -9,6 +9,9 @@ By the lemma such a stretch shares at least ``window - q + 1 - edits * q`` of th
 minus window position) no more than ``edits`` apart.  So shared q-grams are counted in diagonal bands that overlap by half, and
 only windows whose count in one band meets the bound are verified, by an alignment inside that band.
 
+Equal windows, of one item or of several, are looked for once, and a text is gone through in pieces that meet at most about ``PAIRS``
+pairs of equal q-grams.  So an item or a text that repeats itself takes time in proportion to its length, and bounded memory.
+
 Null and empty texts hold nothing.  Items of fewer than ``q`` bytes give no evidence and are left out; equal items are found
 under each of their ids.  The items are sent to the tasks in blocks of at most ``BLOCK`` bytes, each with a pass of its own, so a
 large benchmark means more passes, never a larger broadcast.
@@ -30,6 +33,7 @@ from pulseloom.llm.texts import keyed_texts, map_rows
 
 BLOCK = 4 << 20
 CHUNK = 1 << 20
+PAIRS = 1 << 18
 _PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _GONE = b"\0"  # no normalised text has it
@@ -108,12 +112,30 @@ class Index:
     def __init__(self, items: list[bytes], rule: Rule):
         self.items, self.rule = items, rule
         self.plans = [rule.windows(len(t)) for t in items]
-        grams = [_grams(t, rule.q) for t in items]
-        values = np.concatenate([*grams, np.empty(0, dtype=np.uint64)])
+        # all windows, by item and start, and the first window that is equal to each
+        self.window_item = np.repeat(np.arange(len(items)), [len(starts) for starts, _, _ in self.plans])
+        self.window_start = np.array([s for starts, _, _ in self.plans for s in starts], dtype=np.int64)
+        first: dict[bytes, int] = {}
+        equal = np.array([
+            first.setdefault(hashlib.blake2b(items[i][s:s + self.plans[i][1]], digest_size=16).digest(), k)
+            for k, (i, s) in enumerate(zip(self.window_item.tolist(), self.window_start.tolist()))], dtype=np.int64)
+        self.by_equal = np.argsort(equal, kind="stable")
+        self.equal = equal[self.by_equal]
+        chosen = np.flatnonzero(equal == np.arange(len(equal)))
+        self.chosen = np.split(chosen, np.searchsorted(self.window_item[chosen], np.arange(1, len(items)))) if items else []
+
+        grams, covered = [_grams(t, rule.q) for t in items], []
+        for windows, found, (_, size, _) in zip(self.chosen, grams, self.plans):
+            edge = np.zeros(len(found) + 1, dtype=np.int64)
+            np.add.at(edge, self.window_start[windows], 1)
+            np.add.at(edge, self.window_start[windows] + max(size - rule.q + 1, 0), -1)
+            covered.append(np.flatnonzero(np.cumsum(edge[:-1]) > 0))
+        values = np.concatenate([*[g[c] for g, c in zip(grams, covered)], np.empty(0, dtype=np.uint64)])
         order = np.argsort(values, kind="stable")
         self.values = values[order]
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
-        self.place = np.concatenate([*[np.arange(len(g)) for g in grams], np.empty(0, dtype=np.int64)]).astype(np.int64)[order]
+        self.item = np.repeat(np.arange(len(items)), [len(c) for c in covered])[order]
+        self.place = np.concatenate([*covered, np.empty(0, dtype=np.int64)]).astype(np.int64)[order]
+        self.begins = np.cumsum([0, *[len(t) for t in items]])
         self.shift = np.uint64(64 - min(26, max(12, (16 * len(values)).bit_length())))
         self.seen = np.zeros(1 << int(np.uint64(64) - self.shift), dtype=bool)
         self.seen[self.values >> self.shift] = True
@@ -121,9 +143,9 @@ class Index:
         self.least = min((rule.bound(size, edits) for size, edits in sized), default=1)
         self.reach = max((size + edits for size, edits in sized), default=0)
 
-    def find(self, data: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(item, window start, edits, first, last place in ``data``) of every window that ``data`` holds; the first place may
-        be off by the edits."""
+    def find(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """(window, edits, first, last place in ``data``) of every place where ``data`` holds a window, the first of equal ones; a
+        place may come twice, and its beginning may be off by the edits."""
         grams = _grams(data, self.rule.q)
         hits = np.flatnonzero(self.seen[grams >> self.shift])
         if len(hits) < self.least:
@@ -138,32 +160,41 @@ class Index:
         np.add.at(edge, after[dense], -1)
         hits = hits[np.cumsum(edge[:-1]) > 0]
         low, high = np.searchsorted(self.values, grams[hits], "left"), np.searchsorted(self.values, grams[hits], "right")
-        found = []
-        for at in range(0, len(hits), 1 << 16):  # occurrences of so many q-grams at a time
-            n = (high - low)[at:at + (1 << 16)]
-            where = np.repeat(hits[at:at + (1 << 16)], n)
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            entry = np.repeat(low[at:at + (1 << 16)], n) + nth
-            found.append((self.item[entry], where - self.place[entry], self.place[entry]))
-        item, diagonal, place = (np.concatenate(x) for x in zip(*found))
-        return self._verified(data, item, diagonal, place)
+        there = high > low
+        hits, low, n = hits[there], low[there], (high - low)[there]
+        pairs, found, at = np.cumsum(n), [], 0
+        widest = self.reach + 2 * max((e for _, _, e in self.plans), default=0) + 2
+        while at < len(hits):  # windows that begin in this piece; it reads on as far as they can go
+            end = int(np.searchsorted(pairs, pairs[at] - n[at] + PAIRS, "right"))
+            end = max(end, int(np.searchsorted(hits, hits[at] + 4 * widest, "left")))
+            to = int(np.searchsorted(hits, hits[min(end, len(hits)) - 1] + widest, "right"))
+            many = n[at:to]
+            where = np.repeat(hits[at:to], many)
+            entry = np.repeat(low[at:to] - np.cumsum(many) + many, many) + np.arange(len(where))
+            found += self._verified(data, self.item[entry], where - self.place[entry], self.place[entry])
+            at = end if to < len(hits) else len(hits)
+        return found
 
     def _verified(self, data, item, diagonal, place):
-        step = np.array([e + 1 for _, _, e in self.plans], dtype=np.int64)[item]
-        block = diagonal // step
+        if not len(item):
+            return []
+        block = diagonal // np.array([e + 1 for _, _, e in self.plans], dtype=np.int64)[item]
         # every hit counts in two bands: the one that begins with its block of diagonals and the one before
-        item, band, place = np.tile(item, 2), np.concatenate([block, block - 1]), np.tile(place, 2)
-        rows = np.unique(np.stack([item, band, place], axis=1), axis=0)
-        first = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
-        sizes = np.diff(np.append(first, len(rows)))
+        lowest, total = int(block.min()) - 1, int(self.begins[-1])
+        key = (block - lowest) * total + self.begins[item] + place
+        band, place = np.divmod(np.unique(np.concatenate([key, key - total])), total)
+        item = np.searchsorted(self.begins, place, "right") - 1
+        place -= self.begins[item]
+        first = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
+        sizes = np.diff(np.append(first, len(item)))
         wanted = []
         for at, n in zip(first[sizes >= self.least].tolist(), sizes[sizes >= self.least].tolist()):
-            which, where = int(rows[at, 0]), int(rows[at, 1])
-            starts, size, edits = self.plans[which]
-            places = rows[at:at + n, 2]
-            begin = np.array(starts)
+            which, where = int(item[at]), int(band[at]) + lowest
+            _, size, edits = self.plans[which]
+            places, windows = place[at:at + n], self.chosen[which]
+            begin = self.window_start[windows]
             count = np.searchsorted(places, begin + size - self.rule.q, "right") - np.searchsorted(places, begin, "left")
-            wanted += [(which, where, s) for s in begin[count >= self.rule.bound(size, edits)].tolist()]
+            wanted += [(which, where, k) for k in windows[count >= self.rule.bound(size, edits)].tolist()]
         out = []
         text = np.frombuffer(data, dtype=np.uint8)
         by_plan: dict[tuple[int, int], list] = {}
@@ -173,24 +204,35 @@ class Index:
             width = 2 * (edits + 1)
             for at in range(0, len(group), 4096):
                 part = group[at:at + 4096]
-                begins = np.array([s + b * (edits + 1) for _, b, s in part])
-                windows = np.stack([np.frombuffer(self.items[i][s:s + size], dtype=np.uint8) for i, _, s in part])
+                starts = self.window_start[[k for _, _, k in part]]
+                begins = starts + np.array([b * (edits + 1) for _, b, _ in part])
+                windows = np.stack([np.frombuffer(self.items[i][s:s + size], dtype=np.uint8) for (i, _, _), s in zip(part, starts.tolist())])
                 places = begins[:, None] + np.arange(size + width)
                 inside = (places >= 0) & (places < len(text))
                 texts = np.where(inside, text[np.clip(places, 0, len(text) - 1)], 0)
                 cost, at_diagonal = banded(windows, texts, width)
-                for (i, _, s), c, d, b in zip(part, cost.tolist(), at_diagonal.tolist(), begins.tolist()):
+                for (_, _, k), c, d, b in zip(part, cost.tolist(), at_diagonal.tolist(), begins.tolist()):
                     if c <= edits:
-                        out.append((i, s, c, max(b + d, 0), min(b + d + size, len(text))))
+                        out.append((k, c, max(b + d, 0), min(b + d + size, len(text))))
         return out
 
     def documents(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int, int, int]]]:
         """Per text the (item, windows held, least edits, first and last byte of the passage)."""
         found: list[dict] = [{} for _ in texts]
 
-        def note(row: int, item: int, start: int, cost: int, first: int, last: int) -> None:
-            starts, least, a, b = found[row].get(item, (set(), cost, first, last))
-            found[row][item] = (starts | {start}, min(least, cost), min(a, first), max(b, last))
+        def note(row: int, window: int, cost: int, first: int, last: int) -> None:
+            least, a, b = found[row].get(window, (cost, first, last))
+            found[row][window] = (min(least, cost), min(a, first), max(b, last))
+
+        def by_item(held: dict) -> dict[int, tuple[int, int, int, int]]:
+            """The windows held, all that are equal to a found one counted, by item."""
+            out: dict[int, tuple[int, int, int, int]] = {}
+            for window, (cost, first, last) in held.items():
+                same = self.by_equal[np.searchsorted(self.equal, window, "left"):np.searchsorted(self.equal, window, "right")]
+                for item, n in zip(*(x.tolist() for x in np.unique(self.window_item[same], return_counts=True))):
+                    count, least, a, b = out.get(item, (0, cost, first, last))
+                    out[item] = (count + n, min(least, cost), min(a, first), max(b, last))
+            return out
 
         overlap = self.reach + 2 * self.rule.edits + 2
         pending, held = [], 0
@@ -198,11 +240,11 @@ class Index:
         def flush() -> None:
             gap = _GONE * max(self.rule.q, 1)
             begins = np.cumsum([0, *[len(t) + len(gap) for _, _, t in pending]])
-            for item, start, cost, first, last in self.find(gap.join(t for _, _, t in pending)):
+            for window, cost, first, last in self.find(gap.join(t for _, _, t in pending)):
                 k = int(np.searchsorted(begins, min(first + self.rule.edits, last - 1), "right")) - 1
                 row, offset, part = pending[k]
                 at = int(begins[k])
-                note(row, item, start, cost, offset + max(first - at, 0), offset + min(last - at, len(part)))
+                note(row, window, cost, offset + max(first - at, 0), offset + min(last - at, len(part)))
 
         for row, text in enumerate(texts):
             plain = normalise(text) if text else b""
@@ -218,8 +260,8 @@ class Index:
         if pending:
             flush()
         return [
-            [(item, len(starts), least, raw_place(texts[row], a), raw_place(texts[row], b - 1) + 1)
-             for item, (starts, least, a, b) in sorted(items.items())] for row, items in enumerate(found)]
+            [(item, n, least, raw_place(texts[row], a), raw_place(texts[row], b - 1) + 1)
+             for item, (n, least, a, b) in sorted(by_item(held).items())] for row, held in enumerate(found)]
 
 
 _INDEXES: dict[str, Index] = {}

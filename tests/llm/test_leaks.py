@@ -1,6 +1,8 @@
 """Leaks against an edit distance over whole texts."""
 
 import random
+import time
+import tracemalloc
 
 import pytest
 
@@ -54,6 +56,34 @@ def test_windows(rule):
     assert got == want and sum(map(bool, want)) > 15
 
 
+@pytest.mark.parametrize("pairs", [leaks.PAIRS, 1])
+def test_repetitive_texts(monkeypatch, pairs):
+    rnd = random.Random(2)
+    rule = leaks.Rule(window=40, edits=3, q=8, step=3)
+    shapes = [b"a" * 150, b"ab" * 60, b"abc" * 45, b"a" * 70 + b"b" * 70, b"a" * 60 + b"x" + b"a" * 60, b"abcdefghijklm" * 9, b"a" * 30, b"a" * 150]
+    index = leaks.Index(shapes, rule)
+    texts = [b"a" * 300, b"ab" * 90, b"abc" * 70, b"", b"a" * 39, b"b" * 50 + b"a" * 37 + b"c" + b"a" * 50]
+    for _ in range(30):
+        t = bytearray(rnd.choice(shapes) + rnd.choice(shapes))
+        for _ in range(rnd.randint(0, 12)):
+            t[rnd.randrange(len(t))] = rnd.choice(b"abx")
+        texts.append(bytes(t))
+    want = [plain(rule, index.items, t) for t in texts]
+    monkeypatch.setattr(leaks, "PAIRS", pairs)
+    assert [{f[0]: (f[1], f[2]) for f in row} for row in index.documents(texts)] == want and sum(map(len, want)) > 60
+
+
+def test_very_long_repetitive_texts():
+    index = leaks.Index([b"a" * 100_000, b"xyz" * 30_000, b"no such text in the others, nowhere at all"], leaks.Rule())
+    tracemalloc.start()
+    began = time.monotonic()
+    one, two = index.documents([b"a" * 100_000, b"xyz" * 30_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert one == [(0, len(index.plans[0][0]), 0, 0, 100_000)] and two == [(1, len(index.plans[1][0]), 0, 0, 90_000)]
+    assert peak < 300e6 and time.monotonic() - began < 120
+
+
 def test_places_and_long_texts(monkeypatch):
     rnd = random.Random(5)
     item = "".join(rnd.choice("abcdefghijklmnop") for _ in range(150))
