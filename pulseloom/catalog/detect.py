@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.functions import casts, endpoints, rules, texts
-from pulseloom.operators import evaluation, highrisk, histogram, logs, merge, overview
+from pulseloom.operators import evaluation, highrisk, histogram, logs, merge, networks, overview
 from pulseloom.plans.hotgroups import DEFAULT
 from pulseloom.schemas import ALERT_KEYS, OLD_FEATURES
 from pulseloom.sources import lines, sinks, tables
@@ -374,6 +374,27 @@ def jn13(spark, d):
     return e.withColumn("private", endpoints.is_private("address"))
 
 
+@query("jn13_network_lookup", """
+WITH a AS (SELECT event_id, (event_id * 7919) % 256 AS o1, (event_id * 104729) % 256 AS o2, user_id % 256 AS o3,
+                  event_id % 256 AS o4 FROM events),
+x AS (SELECT event_id, o1 || '.' || o2 || '.' || o3 || '.' || o4 AS address, ((o1 * 256 + o2) * 256 + o3) * 256 + o4 AS v FROM a),
+c AS (SELECT c_custkey, 8 + c_custkey % 17 AS bits, (c_custkey * 2654435761) % 4294967296 AS v FROM customer),
+n AS (SELECT *, (v >> 24) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255) || '/' || bits AS network,
+             (v >> (32 - bits)) << (32 - bits) AS first, ((v >> (32 - bits)) + 1) << (32 - bits) AS past FROM c),
+once AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY first, bits ORDER BY network, c_custkey) = 1),
+held AS (SELECT event_id, max(bits) AS bits, arg_max(network, bits) AS network, arg_max(c_custkey, bits) AS owner
+         FROM x JOIN once ON x.v >= first AND x.v < past GROUP BY event_id)
+SELECT x.event_id, address, network, owner, (bits + 96)::INTEGER AS prefix_bits FROM x LEFT JOIN held USING (event_id)""")
+def jn13_networks(spark, d):
+    n, v = F.col("event_id"), (F.col("c_custkey") * 2654435761) % 4294967296
+    parts = [(n * 7919) % 256, (n * 104729) % 256, F.col("user_id") % 256, n % 256]
+    e = A.table(spark, d, "events").select("event_id", F.concat_ws(".", *[p.cast("string") for p in parts]).alias("address"))
+    octets = F.concat_ws(".", *[F.shiftright(v, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    owned = A.table(spark, d, "customer").select(
+        F.concat_ws("/", octets, (F.col("c_custkey") % 17 + 8).cast("string")).alias("network"), F.col("c_custkey").alias("owner"))
+    return networks.with_network(e, "address", owned)
+
+
 @query("agg9_histogram_statistics", f"""
 WITH h AS (
   SELECT event_id, list_filter([{{'v': k * 1.0::DOUBLE, 'c': (event_id % 4)::DOUBLE}}, {{'v': k + 5.0::DOUBLE, 'c': 2.0::DOUBLE}},

@@ -139,6 +139,20 @@ def _v6_sql(groups: str) -> str:
     return _let(f"transform({groups}, x -> int(conv(x, 16, 10)))", "q", " OR ".join(blocks))
 
 
+def address_key(column: str) -> Column:
+    """An address as a struct of two longs, ``high`` and ``low``, IPv4 in its mapped place; null for other text."""
+    text = f"regexp_replace(`{column}`, '%[^%]+$', '')"
+    parts = " + ".join(f"bigint(split_part(v, '.', {i + 1})) * {256 ** (3 - i)}" for i in range(4))
+    v4 = _let(f"`{column}`", "v", f"CASE WHEN v RLIKE r'{_IPV4}' THEN struct(0L AS high, {0xFFFF << 32} + {parts} AS low) END")
+
+    def half(start):
+        digits = f"array_join(transform(slice(g, {start}, 4), x -> lpad(x, 4, '0')), '')"
+        return f"bigint(conv({digits}, 16, -10))"
+
+    v6 = _let(_groups_sql(text), "g", f"CASE WHEN g IS NOT NULL THEN struct({half(1)} AS high, {half(5)} AS low) END")
+    return F.expr(f"CASE WHEN contains(`{column}`, ':') THEN {v6} ELSE {v4} END")
+
+
 def is_private(column: str) -> Column:
     """Whether address text is not globally reachable; a mapped address counts as its IPv4 address and
     text that is no address is false."""
