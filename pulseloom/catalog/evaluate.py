@@ -8,11 +8,11 @@ from pulseloom import adapters as A
 from pulseloom.catalog import query, rounded
 from pulseloom.catalog.core import TIE, WINDOWS
 from pulseloom.catalog.detect import BEACON
-from pulseloom.operators import evaluation, gaps, highrisk, overview, scoring, sequences, training
+from pulseloom.operators import evaluation, gaps, highrisk, overview, postings, scoring, sequences, training
 from pulseloom.operators.training import model_metadata
 from pulseloom.plans import beacons
 from pulseloom.schemas import FEATURES
-from pulseloom.session import materialise
+from pulseloom.session import materialise, shared_folder
 from pulseloom.sources import captures, tables
 
 SCORED = """
@@ -259,6 +259,15 @@ def flt8(spark, d):
     return overview.keyword_filter(c, "t", " %_MACH ").select("c_custkey", "c_name")
 
 
+@query("flt8_indexed_search", """
+SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.org/de/7')""")
+def flt8_indexed(spark, d):
+    pages = A.table(spark, d, "pages").select("page_id", "url")
+    path = shared_folder(spark)
+    postings.write(pages, "page_id", "url", path)
+    return postings.search(pages, "page_id", "url", " Example.org/DE/7", path)
+
+
 @query("top8_history_page", """
 SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders WHERE contains(lower(o_orderpriority), 'high')) AS total,
        greatest(1, ceil((SELECT count(*) FROM orders WHERE contains(lower(o_orderpriority), 'high')) / 10))::BIGINT AS total_pages
