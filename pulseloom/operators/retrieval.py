@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.functions import rules, texts
-from pulseloom.operators.cells import REGION_BYTES, Index, nearest_pruned
+from pulseloom.operators.cells import REGION_BYTES, Index, Nearest, nearest_pruned
 from pulseloom.schemas import TOP_K
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -39,23 +39,12 @@ def _matrix(column) -> np.ndarray:
 
 
 def _top(queries: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int, step: int = 256):
-    """Positions and exact distances of the k nearest documents per query; ids break ties.
-
-    The matrix product only shortlists; everything it cannot separate from the k-th distance is
-    measured again directly.
-    """
-    norms = (docs * docs).sum(axis=1)
-    k = min(k, len(docs))
+    """Places of queries with ids and exact distances of their k nearest documents, for ``step`` queries at a time; ids break ties."""
     for start in range(0, len(queries), step):
-        block = queries[start:start + step]
-        rough = (block * block).sum(axis=1)[:, None] + norms[None, :] - 2.0 * block @ docs.T
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        slack = 1e-9 * (1.0 + np.abs(edge) + norms.max() + (block * block).sum(axis=1))
-        for i in range(len(block)):
-            near = np.flatnonzero(rough[i] <= edge[i] + slack[i])
-            exact = ((docs[near] - block[i]) ** 2).sum(axis=1)
-            order = np.lexsort((ids[near], exact))[:k]
-            yield start + i, near[order], exact[order]
+        near = Nearest(queries[start:start + step], min(k, len(docs)))
+        near.add(docs, ids)
+        query, doc, distance = near.hits()
+        yield start + query, doc, distance
 
 
 def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -84,15 +73,9 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, broadcast_bytes: int =
             ids, vectors = shipped.value
             for batch in batches:
                 names = batch.column("query_id").to_numpy(zero_copy_only=False)
-                q, d, dist = [], [], []
-                for i, at, distances in _top(_matrix(batch.column("vector")), vectors, ids, k):
-                    q.append(np.full(len(at), names[i]))
-                    d.append(ids[at])
-                    dist.append(distances)
-                if q:
+                for own, found, distances in _top(_matrix(batch.column("vector")), vectors, ids, k):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(q)), pa.array(np.concatenate(d)), pa.array(np.concatenate(dist))],
-                        names=["query_id", "doc_id", "distance"])
+                        [pa.array(names[own]), pa.array(found), pa.array(distances)], names=["query_id", "doc_id", "distance"])
 
         # a distance block costs far more than its bytes suggest: use all cores
         cores = max(queries.sparkSession.sparkContext.defaultParallelism, 1)

@@ -1,5 +1,7 @@
 """Exact search against brute force, roll-up and knowledge base."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,30 @@ def test_nearest_is_exact(spark, broadcast_bytes):
         assert [y for _, y in got[i]] == pytest.approx(list(dist[order]))
 
 
+def test_memory_does_not_grow_with_documents():
+    rng = np.random.default_rng(5)
+    q, d = rng.standard_normal((256, 8)), rng.standard_normal((60_000, 8))
+    ids = rng.permutation(len(d))
+    tracemalloc.start()
+    query, doc, distance = (np.concatenate(x) for x in zip(*retrieval._top(q, d, ids, 40)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all distances of the block take 123 MB
+    for i in range(0, 256, 16):
+        exact = ((d - q[i]) ** 2).sum(axis=1)
+        order = np.lexsort((ids, exact))[:40]
+        assert list(doc[query == i]) == list(ids[order]) and distance[query == i] == pytest.approx(exact[order])
+
+
+@pytest.mark.parametrize("scale, shift", [(1e-4, 1e3), (1e18, 0.0), (1.0, 0.0)])
+def test_near_vectors_of_any_size(scale, shift):
+    rng = np.random.default_rng(6)
+    q, d = (np.round(rng.standard_normal((n, 5)), 1) * scale + shift for n in (40, 9000))
+    for i, doc, _ in retrieval._top(q, d, np.arange(len(d)), 20):
+        for n in range(len(q)):
+            assert list(doc[i == n]) == list(np.lexsort((np.arange(len(d)), ((d - q[n]) ** 2).sum(axis=1)))[:20])
+
+
 def test_fewer_documents_than_asked(spark):
     _, qdf = vectors(spark, 8, 4, 1, "query_id", "vector")
     _, ddf = vectors(spark, 6, 4, 2, "doc_id", "embedding")
