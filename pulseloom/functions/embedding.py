@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,6 @@ def embed_text(df: DataFrame, text: str, target: str = "embedding", dimensions:
     """Add a unit vector per text; a text without words gets the zero vector."""
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+", minTokenLength=1)
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dimensions)
-    raw = counts.transform(words.transform(df.withColumn("_text", F.coalesce(text, F.lit("")))))
-    vector = raw.withColumn("_v", vector_to_array("_tf"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    scaled = F.when(norm > 0, F.transform("_v", lambda x: x / norm)).otherwise(F.col("_v"))
-    return vector.withColumn(target, scaled).drop("_text", "_words", "_tf", "_v")
+    unit = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)  # leaves a zero vector as it is
+    out = unit.transform(counts.transform(words.transform(df.withColumn("_text", F.coalesce(text, F.lit(""))))))
+    return out.withColumn(target, vector_to_array("_unit")).drop("_text", "_words", "_tf", "_unit")

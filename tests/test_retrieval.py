@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseloom.functions import embedding
 from pulseloom.operators import knowledge, retrieval
 from pulseloom.plans import attribution
 from pulseloom.schemas import STIX_OBJECT
@@ -132,3 +133,13 @@ def test_attribution_end_to_end(spark):
     threats = spark.createDataFrame([(7, 95.0, "443", "tcp")], "query_id long, beacon_score double, dst_port string, protocol string")
     row = attribution.attribute_threats(threats, docs).first()
     assert row.retrieved_top1 == "One" and row.matched_techniques == ["T1071.001"] and row.query.startswith("使用以下特征")
+
+
+def test_text_vectors_are_scaled_once_per_text(spark, capsys):
+    texts = spark.createDataFrame([(1, "a b b"), (2, "!?"), (3, None)], "i int, t string")
+    out = embedding.embed_text(texts, "t")
+    out.select("embedding").explain()
+    assert "lambda" not in capsys.readouterr().out  # the norm stood in the lambda and was taken again for every component
+    own = {r.i: sorted(x for x in r.embedding if x) for r in out.collect()}
+    assert own[1] == pytest.approx([1 / 5 ** 0.5, 2 / 5 ** 0.5]) and own[2] == own[3] == []
+    assert out.columns == ["i", "t", "embedding"] and len(out.first().embedding) == 256
