@@ -362,7 +362,7 @@ def src7(spark, d):
     bundles = objects.withColumn("bundle", F.pmod(F.xxhash64("type", "pos"), F.lit(objects.count() // 1000 + 1))).groupBy("bundle").agg(
         F.to_json(F.struct(F.collect_list(F.struct(*[c for c in objects.columns if c not in ("file_ord", "pos")]))
                            .alias("objects"))).alias("value"))
-    bundles.write.partitionBy("bundle").text(folder)
+    bundles.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     back = tables.read_bundle_folder(spark, folder)
     return back.groupBy("type").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("id").alias("ids"))
 

@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from pulseloom.catalog import streams
 from pulseloom import session
 from pulseloom.operators.connections import connections_from_packets
 from pulseloom.operators.highrisk import high_risk_rows
@@ -228,3 +229,12 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_bundles_are_files_of_one_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(streams, "shared_folder", lambda spark: str(tmp_path / "bundles"))
+    kinds = streams.src7(spark, "/root/testdata/sf0.001").collect()
+    parts = [p for p in (tmp_path / "bundles").rglob("*.txt")]
+    assert len(parts) > 2 and all(p.parent == tmp_path / "bundles" for p in parts)  # no folder of its own to be made and moved
+    assert all(p.read_text().count("\n") == 1 for p in parts if p.stat().st_size)
+    assert {r.type: r.objects for r in kinds}["relationship"] > 5000
