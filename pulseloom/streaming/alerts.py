@@ -9,6 +9,8 @@ however the input is cut into micro-batches.  A group's row is written again whe
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulseloom.operators import scoring
-from pulseloom.operators.connections import PAIR, with_pairs
+from pulseloom.operators.connections import PAIR
 from pulseloom.schemas import GAP_HISTORY, GROUP_KEYS, IDLE_SECONDS, SEQUENCE_LENGTH
-from pulseloom.streaming.connections import ConnectionBuilder
+from pulseloom.streaming.connections import ConnectionBuilder, bucketed, key_of, pair_packets
 
 _STARTS = (
     "source_file string, src_ip string, src_port int, dst_ip string, dst_port int, ip_protocol string, conn_start long, "
@@ -31,28 +33,39 @@ _BEST = (
     "window_start_time double, window_end_time double"
 )
 _BEST_NAMES = [f.split()[0] for f in _BEST.split(", ")]
+_REST = [c for c in _BEST_NAMES if c not in ("window_count", "window_index")]
+_RUN = f"<qqq{len(_REST)}d"  # number of rows, window_count, window_index, _REST; then the last rows
 _KEY_TYPES = "source_file string, src_ip string, dst_ip string, dst_port int, ip_protocol string"
 
 
 class ConnectionStarts(ConnectionBuilder):
     """Gives out a connection with its first packet, by the rules of :class:`ConnectionBuilder`."""
 
+    _lists = False  # nothing is given out when a connection ends
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, started = self._advance(rows)
+        if not started:
+            return
+        out = []
+        for name, side, no, start in started:
+            source, lo_ip, lo_port, hi_ip, hi_port = key_of(name, PAIR)
+            out.append((source, *((lo_ip, lo_port, hi_ip, hi_port) if side else (hi_ip, hi_port, lo_ip, lo_port)), "tcp", no, start))
+        frame = pd.DataFrame(out, columns=[f.split()[0] for f in _STARTS.split(", ")][:-1])
         # rows must not be older than the watermark; the start itself is a column of its own
-        floor = max(timerValues.getCurrentWatermarkInMs(), 0) / 1000.0
-        source, lo_ip, lo_port, hi_ip, hi_port = key
-        out = [
-            (source, *((lo_ip, lo_port, hi_ip, hi_port) if side else (hi_ip, hi_port, lo_ip, lo_port)), "tcp", no, start,
-             pd.Timestamp(max(start, floor), unit="s").ceil("us"))
-            for side, no, start in started]
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in _STARTS.split(", ")])
+        floor = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        micros = np.maximum(np.ceil(frame["start_time"].to_numpy(np.float64) * 1e6).astype(np.int64), floor)
+        yield frame.assign(event_time=pd.to_datetime(micros, unit="us", utc=True))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from ()
 
 
+def _passed(start: float) -> int:
+    """The watermark that has passed the second of a start, in ms."""
+    return (int(start // 1) + 1) * 1000
+
+
 def rolled(before: np.ndarray, gaps: np.ndarray) -> np.ndarray:
     """Variation of every new gap and the up to four before it; ``before`` holds the last gaps of the group."""
     every = np.concatenate([before, gaps])
@@ -71,36 +84,56 @@ def rolled(before: np.ndarray, gaps: np.ndarray) -> np.ndarray:
 class GroupScores(StatefulProcessor):
     """The best window of a group so far.
 
-    State: starts that the watermark hasn't passed; the last nine rows (start, gap, variation); the number of rows, the best window
-    and the second of the timer that is set.
+    State of a bucket: starts that the watermark hasn't passed, and the second of the timer that is set.  State of a group: the number
+    of rows and the last nine of them (start, gap, variation), and the best window.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "start_time double, conn_start long")
-        self._run = handle.getValueState(
-            "run", "n long, starts array<double>, gaps array<double>, variations array<double>, timer long, " + _BEST)
-
-    def _advance(self, key, new: list[tuple[float, int]], watermark: int) -> Iterator[pd.DataFrame]:
-        run = dict(zip(["n", "starts", "gaps", "variations", "timer", *_BEST_NAMES], self._run.get())) if self._run.exists() else {
-            "n": 0, "starts": [], "gaps": [], "variations": [], "timer": -1, **dict.fromkeys(_BEST_NAMES, 0.0), "probability": -1.0,
-            "window_count": 0, "window_index": 0}
-        waiting = [(float(s), int(c)) for s, c in self._waiting.get()] + new
-        ready = sorted(x for x in waiting if (int(x[0] // 1) + 1) * 1000 <= watermark)
-        left = [x for x in waiting if (int(x[0] // 1) + 1) * 1000 > watermark]
-        better = self._take(run, np.array([s for s, _ in ready])) if ready else False
-        if ready or new:
-            self._waiting.put(left) if left else self._waiting.clear()
+        self._waiting = handle.getValueState("waiting", "timer long, starts string")  # {group: [[start, connection]]}
+        self._runs = handle.getMapState("runs", "group string", "run binary")
+
+    def _load(self, group: str) -> dict:
+        found = self._runs.getValue((group,))
+        if found is None:
+            return {"n": 0, "starts": [], "gaps": [], "variations": [], **dict.fromkeys(_BEST_NAMES, 0.0), "probability": -1.0,
+                    "window_count": 0, "window_index": 0}
+        held = bytes(found[0])
+        n, count, index, *rest = struct.unpack_from(_RUN, held)
+        starts, gaps, variations = np.frombuffer(held, np.float64, offset=struct.calcsize(_RUN)).reshape(3, -1)
+        return {"n": n, "starts": starts, "gaps": gaps, "variations": variations, "window_count": count, "window_index": index,
+                **dict(zip(_REST, rest))}
+
+    def _store(self, group: str, run: dict) -> None:
+        rows = np.concatenate([run["starts"], run["gaps"], run["variations"]], dtype=np.float64)
+        held = struct.pack(_RUN, run["n"], run["window_count"], run["window_index"], *(run[c] for c in _REST)) + rows.tobytes()
+        self._runs.updateValue((group,), (held,))
+
+    def _advance(self, new: dict[str, list], watermark: int) -> Iterator[pd.DataFrame]:
+        timer, text = self._waiting.get() if self._waiting.exists() else (-1, "{}")
+        waiting = json.loads(text)
+        for group, rows in new.items():
+            waiting.setdefault(group, []).extend(rows)
+        left, better = {}, []
+        for group, rows in waiting.items():
+            ready = sorted((s, c) for s, c in rows if _passed(s) <= watermark)
+            if ready:
+                run = self._load(group)
+                if self._take(run, np.array([s for s, _ in ready])):
+                    better.append((*key_of(group, GROUP_KEYS), *(run[c] for c in _BEST_NAMES)))
+                self._store(group, run)
+            if len(ready) < len(rows):
+                left[group] = [x for x in rows if _passed(x[0]) > watermark]
         if left:
-            due = (int(min(left)[0] // 1) + 1) * 1000
-            if run["timer"] <= watermark or due < run["timer"]:
+            due = _passed(min(x[0] for rows in left.values() for x in rows))
+            if timer <= watermark or due < timer:
                 self._handle.registerTimer(due)
-                run["timer"] = due
-        self._run.update((
-            int(run["n"]), *([float(x) for x in run[c]] for c in ("starts", "gaps", "variations")), int(run["timer"]), float(run["probability"]),
-            int(run["window_count"]), int(run["window_index"]), *(float(run[c]) for c in _BEST_NAMES[3:])))
+                timer = due
+            self._waiting.update((timer, json.dumps(left)))
+        elif waiting:
+            self._waiting.clear()
         if better:
-            yield pd.DataFrame([(*key, *(run[c] for c in _BEST_NAMES))], columns=[*GROUP_KEYS, *_BEST_NAMES])
+            yield pd.DataFrame(better, columns=[*GROUP_KEYS, *_BEST_NAMES])
 
     def _take(self, run: dict, starts: np.ndarray) -> bool:
         """Add rows in time order; is a window complete?"""
@@ -125,11 +158,14 @@ class GroupScores(StatefulProcessor):
         return complete
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [x for piece in rows for x in zip(piece["start_time"].astype(float).tolist(), piece["conn_start"].astype(int).tolist())]
-        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs())
+        new: dict[str, list] = {}
+        for piece in rows:
+            for name, start, no in zip(piece["name"], piece["start_time"].astype(float).tolist(), piece["conn_start"].astype(int).tolist()):
+                new.setdefault(name, []).append((start, no))
+        yield from self._advance(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance({}, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -140,11 +176,11 @@ def best_window_stream(packets: DataFrame, lateness: str = "10 minutes", idle_se
 
     Packets later than ``lateness`` are dropped.  Needs the RocksDB state store provider.
     """
-    timed = with_pairs(packets).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", lateness)
-    starts = timed.groupBy(*PAIR).transformWithStateInPandas(
+    starts = pair_packets(packets, lateness).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=ConnectionStarts(idle_seconds), outputStructType=_STARTS, outputMode="Append", timeMode="EventTime",
         eventTimeColumnName="event_time")
-    return starts.groupBy(*GROUP_KEYS).transformWithStateInPandas(
+    named = bucketed(starts, GROUP_KEYS).select("bucket", "name", "event_time", "start_time", "conn_start")
+    return named.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=GroupScores(), outputStructType=f"{_KEY_TYPES}, {_BEST}", outputMode="Append", timeMode="EventTime")
 
 
