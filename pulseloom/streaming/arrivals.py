@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pulseloom.operators.connections import connections_from_packets
 from pulseloom.plans.beacons import beacon_alerts
 from pulseloom.plans.hotgroups import join_null_safe
-from pulseloom.schemas import IDLE_SECONDS, PACKETS
-from pulseloom.session import shared_folder
+from pulseloom.schemas import GROUP_KEYS, IDLE_SECONDS, PACKETS, SORT_COLUMN
+from pulseloom.session import _delete, shared_folder
 
 #: Groups of a capture and two hosts share no connection with any other rows.
 HOSTS = ["source_file", "lo_ip", "hi_ip"]
@@ -40,8 +40,13 @@ def start_arrivals(spark: SparkSession, folder: str, out: str, threshold: float,
         # only earlier batches: a batch that runs again must not see later ones
         seen = session.read.option("basePath", f"{root}/packets").parquet(f"{root}/packets").where(F.col("batch_id") <= batch_id)
         again = join_null_safe(seen, touched, HOSTS, "left_semi").select(*PACKETS.fieldNames())
-        connections = connections_from_packets(again, idle_seconds)
-        beacon_alerts(connections, ["conn_start"], threshold).write.mode("overwrite").parquet(f"{root}/alerts/batch_id={batch_id}")
+        connections = connections_from_packets(again, idle_seconds).select(*GROUP_KEYS, "conn_start", SORT_COLUMN)
+        # counted by group and then scored, so they are built once
+        starts = f"{root}/starts/batch_id={batch_id}"
+        connections.write.mode("overwrite").parquet(starts)
+        alerts = beacon_alerts(session.read.schema(connections.schema).parquet(starts), ["conn_start"], threshold)
+        alerts.write.mode("overwrite").parquet(f"{root}/alerts/batch_id={batch_id}")
+        _delete(session, [starts])
 
     stream = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     writer = stream.writeStream.foreachBatch(analyse).option(

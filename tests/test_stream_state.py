@@ -6,7 +6,9 @@ from types import SimpleNamespace
 import pandas as pd
 
 from pulseloom.operators.connections import PAIR
-from pulseloom.schemas import GROUP_KEYS
+from pulseloom.schemas import GROUP_KEYS, PACKETS
+from pulseloom.session import shared_folder
+from pulseloom.streaming import arrivals
 from pulseloom.streaming.alerts import GroupScores
 from pulseloom.streaming.connections import ConnectionBuilder, bucketed, key_of
 
@@ -131,3 +133,13 @@ def test_names_of_keys_with_nulls(spark):
     found = bucketed(spark.createDataFrame(rows, kind), PAIR).collect()
     assert [key_of(r["name"], PAIR) for r in found] == rows and len({r["name"] for r in found}) == 4
     assert all(0 <= r["bucket"] < 256 for r in found)
+
+
+def test_connections_of_a_batch_are_built_once(spark, monkeypatch):
+    read, alerts = [], arrivals.beacon_alerts
+    monkeypatch.setattr(arrivals, "beacon_alerts", lambda rows, *rest: read.extend(rows.inputFiles()) or alerts(rows, *rest))
+    folder = shared_folder(spark)
+    rows = [("cap", i, 1e6 + i * 1000.0, "10.0.0.1", 4000 + i, "10.0.0.2", 443, 0x02, i, 60) for i in range(18)]
+    spark.createDataFrame(rows, PACKETS).coalesce(1).write.parquet(f"{folder}/in")
+    arrivals.start_arrivals(spark, f"{folder}/in", f"{folder}/out", 0.5, checkpoint=f"{folder}/c", available_now=True).awaitTermination()
+    assert read and all("/starts/batch_id=" in f for f in read) and arrivals.current_alerts(spark, f"{folder}/out").count() == 1
