@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.functions import rules, texts
-from pulseloom.operators.cells import REGION_BYTES, Index, Nearest, nearest_pruned
+from pulseloom.operators.cells import REGION_BYTES, Index, Nearest, nearest_pruned, tiles
 from pulseloom.schemas import TOP_K
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -40,9 +40,12 @@ def _matrix(column) -> np.ndarray:
 
 def _top(queries: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int, step: int = 256):
     """Places of queries with ids and exact distances of their k nearest documents, for ``step`` queries at a time; ids break ties."""
-    for start in range(0, len(queries), step):
-        near = Nearest(queries[start:start + step], min(k, len(docs)))
-        near.add(docs, ids)
+    starts = range(0, len(queries), step)
+    groups = [Nearest(queries[start:start + step], min(k, len(docs))) for start in starts]
+    for tile in tiles(docs, ids):
+        for near in groups:
+            near.add(tile)
+    for start, near in zip(starts, groups):
         query, doc, distance = near.hits()
         yield start + query, doc, distance
 
